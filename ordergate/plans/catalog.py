@@ -455,3 +455,177 @@ def _clean_typed(spark, sf):
     """The typed projection that is published."""
     from ordergate.plans.publish import clean_typed
     return clean_typed(_clean(spark, sf), P.SYNC_ID)
+
+
+# ------------------------------------------------------------------ refresh / publish
+
+@register("quality_report")
+def _quality_report(spark, sf):
+    """The run row as stored (summary + incident list)."""
+    g = gate_of(spark, sf)
+    inc = R.incidents(g).agg(F.sort_array(F.collect_list(F.struct("orden", "regla", "filas", "accion")))
+                             .alias("l"))
+    inc = inc.select(F.to_json(F.transform("l", lambda x: F.struct(
+        x["regla"].alias("regla"), x["filas"].alias("filas"), x["accion"].alias("accion"))))
+        .alias("incidencias"))
+    return R.run_summary(g).crossJoin(inc).select(
+        "filas_crudas", "filas_limpias", "facturacion_cruda", "facturacion_limpia", "incidencias",
+        F.lit(S.RULE_VERSION).cast("bigint").alias("version_puerta"))
+
+
+@register("raw_landing")
+def _raw_landing(spark, sf):
+    """Raw landing rows (text columns + JSON payload)."""
+    from ordergate.plans.publish import raw_landing
+    return raw_landing(dirty_orders(spark, sf), P.SYNC_ID)
+
+
+@register("fingerprint")
+def _fingerprint(spark, sf):
+    """Content fingerprint of the sheet."""
+    from ordergate.plans.refresh import fingerprint
+    return fingerprint(dirty_orders(spark, sf))
+
+
+@register("refresh_delta")
+def _refresh_delta(spark, sf):
+    """C4: what changed since the run with the previous cut-off."""
+    from ordergate.plans.refresh import delta
+    now = R.run_summary(gate_of(spark, sf, P.HOY))
+    before = R.run_summary(gate_of(spark, sf, P.HOY_ANTERIOR))
+    return delta(now, before)
+
+
+_SCENARIOS: dict[tuple, dict] = {}
+
+
+def scenario(spark: SparkSession, sf: str) -> dict:
+    """A refresh history on the shared folder, run once per session/input:
+    first load, unchanged re-run, primary source lost (cache), forced re-run."""
+    import uuid
+    from ordergate.plans import publish as PB
+    from ordergate.plans.refresh import refresh
+    from ordergate.session import work_dir
+    from ordergate.sources.sheet import Source
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    if key in _SCENARIOS:
+        return _SCENARIOS[key]
+    root = work_dir(spark, "registro", uuid.uuid4().hex)
+    sheet = f"{root}/hoja/Pedidos"
+    dirty_orders(spark, sf).write.parquet(sheet)
+    primary = Source("source", f"{root}/hoja")
+    cache = Source("cache", f"{root}/pub/cache")
+    pub = f"{root}/pub"
+    runs = []
+    try:                       # strict checks: NULL amounts/ids block the publish
+        runs.append(refresh(spark, [primary, cache], pub, P.HOY))
+    except Exception as exc:
+        runs.append(exc)
+    runs += [refresh(spark, [primary, cache], pub, P.HOY, quarantine=True),
+             refresh(spark, [primary, cache], pub, P.HOY, quarantine=True),
+             refresh(spark, [Source("source", f"{root}/no-such-sheet"), cache], pub, P.HOY,
+                     quarantine=True),
+             refresh(spark, [primary, cache], pub, P.HOY, forzar=True, quarantine=True)]
+    staged_root = f"{root}/staged"
+    g = gate_of(spark, sf)
+    paths = PB.stage(PB.raw_landing(g.verdicts.select(*[c for c in g.verdicts.columns
+                                                        if not c.startswith("_") and c != VERDICT]),
+                                    P.SYNC_ID),
+                     PB.clean_typed(g.clean, P.SYNC_ID), staged_root, P.SYNC_ID)
+    saved = f"{root}/limpio"
+    from ordergate.sources.tables import save_clean
+    save_clean(g.clean, saved)
+    _SCENARIOS[key] = dict(root=root, pub=f"{root}/pub", runs=runs, sheet=sheet,
+                           staged=paths, saved=saved)
+    return _SCENARIOS[key]
+
+
+@register("run_log")
+def _run_log(spark, sf):
+    """The run log of the refresh history (latest record per run)."""
+    from ordergate.plans.publish import read_runs
+    runs = read_runs(spark, scenario(spark, sf)["pub"])
+    return runs.select("id", "origen", "estado", "filas_crudas", "filas_limpias", "version_puerta",
+                       "mensaje", F.to_json("incidencias").alias("incidencias"))
+
+
+@register("state_read")
+def _state_read(spark, sf):
+    """The state row after the refresh history."""
+    from ordergate.plans.publish import read_state_frame
+    return read_state_frame(spark, scenario(spark, sf)["pub"]).drop(
+        "ultima_sincronizacion", "ultima_comprobacion", "updated_at")
+
+
+@register("refresh_unchanged")
+def _refresh_unchanged(spark, sf):
+    """Runs that were skipped because nothing changed."""
+    from ordergate.plans.publish import read_runs
+    runs = read_runs(spark, scenario(spark, sf)["pub"])
+    return runs.where(F.col("estado") == "unchanged").select("id", "estado", "huella", "mensaje")
+
+
+@register("refresh_outcome")
+def _refresh_outcome(spark, sf):
+    """Outcome class of each run of the history."""
+    from ordergate.plans.publish import read_runs
+    runs = read_runs(spark, scenario(spark, sf)["pub"])
+    return runs.select("id", "estado", F.split("mensaje", ":")[0].alias("resultado"))
+
+
+@register("publish_staged")
+def _publish_staged(spark, sf):
+    """The staged clean table, read back."""
+    return spark.read.parquet(scenario(spark, sf)["staged"]["clean"])
+
+
+@register("publish_current")
+def _publish_current(spark, sf):
+    """The clean table the current pointer names."""
+    from ordergate.plans.publish import load_current
+    return load_current(spark, scenario(spark, sf)["pub"])
+
+
+@register("publish_expired")
+def _publish_expired(spark, sf):
+    """P5: versions retention would drop a month from now."""
+    import datetime as dt
+    from ordergate.plans.publish import expired_versions
+    sc = scenario(spark, sf)
+    later = dt.datetime.now(dt.timezone.utc) + dt.timedelta(days=30)
+    rows = [(v["tabla"], v["version"]) for v in expired_versions(spark, sc["pub"], later)]
+    return spark.createDataFrame(rows, "tabla string, version string")
+
+
+@register("dash_quality")
+def _dash_quality(spark, sf):
+    """Latest run and state as the dashboard reads them."""
+    from ordergate.plans.publish import read_runs, read_state_frame
+    sc = scenario(spark, sf)
+    return D.dash_quality(read_runs(spark, sc["pub"]), read_state_frame(spark, sc["pub"]))
+
+
+@register("load_clean")
+def _load_clean(spark, sf):
+    """The saved clean table, read back with its schema."""
+    from ordergate.sources.tables import load_clean
+    return load_clean(spark, scenario(spark, sf)["saved"])
+
+
+@register("save_clean_roundtrip")
+def _save_clean_roundtrip(spark, sf):
+    """Save then load gives the same table."""
+    from ordergate.sources.tables import load_clean
+    return load_clean(spark, scenario(spark, sf)["saved"])
+
+
+@register("src_fallback")
+def _src_fallback(spark, sf):
+    """First readable source meeting the contract (primary missing,
+    a table without the columns, then the sheet)."""
+    from ordergate.sources.sheet import Source, first_available, with_origin
+    sc = scenario(spark, sf)
+    fetched = first_available(spark, [Source("source", f"{sc['root']}/no-such-sheet"),
+                                      Source("cache", f"{sf}/orders.parquet"),
+                                      Source("reference", sc["sheet"])])
+    return with_origin(fetched)

@@ -361,8 +361,15 @@ def build() -> dict[str, str]:
     # ---- checks
     o["constraint_violations"] = _constraints_select()
     o["invariants"] = gate(_invariants_select())
-    # ---- refresh
+    # ---- refresh / publish
     o["refresh_delta"] = _refresh_delta()
+    o["publish_staged"] = o["clean_typed"]
+    o["quality_report"] = gate(f"""select
+  (select count(*) from verdicts) as filas_crudas, (select count(*) from base) as filas_limpias,
+  (select cast(coalesce(sum({MONEY}), 0) as double) from verdicts) as facturacion_cruda,
+  (select cast(coalesce(sum({MONEY}), 0) as double) from base) as facturacion_limpia,
+  (select to_json(list({{'regla': regla, 'filas': filas, 'accion': accion}} order by orden)) from inc) as incidencias,
+  cast({S.RULE_VERSION} as bigint) as version_puerta""", *_incident_ctes(), f"inc as ({_incidents_select()})")
     return o
 
 

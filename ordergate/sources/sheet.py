@@ -142,6 +142,7 @@ class Fetched:
     origen: str
     aviso: str | None
     path: str
+    fmt: str = "parquet"
 
 
 def first_available(spark: SparkSession, candidates: list[Source]) -> Fetched:
@@ -161,7 +162,7 @@ def first_available(spark: SparkSession, candidates: list[Source]) -> Fetched:
         if i > 0:
             aviso = (f"Primary source unavailable ({'; '.join(reasons)}). "
                      f"Serving the {cand.origen} copy; newer orders may be missing.")
-        return Fetched(df, cand.origen, aviso, cand.path)
+        return Fetched(df, cand.origen, aviso, cand.path, cand.fmt)
     raise NoSource("No source could be read: " + "; ".join(reasons))
 
 
