@@ -105,13 +105,15 @@ def totals(filt: DataFrame, half_even: bool = True) -> DataFrame:
 
 def project_rows(df: DataFrame) -> DataFrame:
     """The row fields shown (amounts to cents, dates as days)."""
+    position = (F.col(S.ROW_POSITION) if S.ROW_POSITION in df.columns
+                else F.lit(None).cast("long").alias(S.ROW_POSITION))
     return df.select(
         "pedido_id", F.to_date("fecha").alias("fecha"), "comercial", "zona", "cliente",
         "tipo_cliente", "producto", "familia", "cantidad",
         F.round("precio_unitario", 2).alias("precio"), F.round("importe", 2).alias("importe"),
         F.coalesce(F.col("es_devolucion"), F.lit(False)).alias("devolucion"),
         F.coalesce(F.col("sospechoso"), F.lit(False)).alias("senalado"),
-        S.ROW_POSITION, "posicion")
+        position, "posicion")
 
 
 def page(clean: DataFrame, query: Query, by_day: bool = False) -> DataFrame:
