@@ -44,16 +44,18 @@ def main() -> None:
     spark = local_session(cores=cpus, shuffle_partitions=int(cpus) * 2, memory="16g")
     scratch = tempfile.mkdtemp(prefix="ordergate-bench-")
     sheet = f"{scratch}/sheet"
-    dirty_orders(spark, sf_dir).write.parquet(sheet)
+    # An exported sheet in position-ordered parts (one file per part).
+    (dirty_orders(spark, sf_dir).repartitionByRange(int(cpus) * 2, "fila_origen")
+        .sortWithinPartitions("fila_origen").write.parquet(sheet))
     raw = read_orders(spark, sheet)
 
     # B1 writes a new clean table each run; the read workloads use the first.
     clean_path = f"{scratch}/clean-0"
-    save_clean(run_gate(raw, TESTDATA_TODAY, eager_counts=False).clean, clean_path)
+    save_clean(run_gate(raw, TESTDATA_TODAY, eager_counts=False, materialize=True).clean, clean_path)
     clean = load_clean(spark, clean_path)
 
     def b1():
-        res = run_gate(read_orders(spark, sheet), TESTDATA_TODAY, checkpoint=True, eager_counts=False)
+        res = run_gate(read_orders(spark, sheet), TESTDATA_TODAY, materialize=True, eager_counts=False)
         save_clean(res.clean, f"{scratch}/clean-{uuid.uuid4().hex}")
         R.incidents(res).collect()
 

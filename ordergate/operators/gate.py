@@ -99,7 +99,11 @@ def flag_duplicates(typed: DataFrame) -> DataFrame:
     first = (typed.groupBy("pedido_id")
                   .agg(F.min(S.ROW_POSITION).alias("_first"))
                   .withColumnRenamed("pedido_id", "_id"))
-    joined = typed.join(first, typed["pedido_id"].eqNullSafe(first["_id"]), "left")
+    # One row per distinct id on the right: as large as the data, so a
+    # shuffle (sort-merge) join -- the plan that holds at scale, where AQE
+    # splits a hot id's partition (skew join) -- rather than a broadcast
+    # that only small inputs allow.
+    joined = typed.join(first.hint("merge"), typed["pedido_id"].eqNullSafe(first["_id"]), "left")
     return joined.withColumn("_dup", F.col(S.ROW_POSITION) > F.col("_first")).drop("_id", "_first")
 
 
@@ -144,6 +148,7 @@ class GateResult:
     counts: dict                 # every count of the incident report
     threshold: float | None      # p99.9 of passing non-return amounts
     labelled: tuple = field(default_factory=tuple)   # blank-labelled columns
+    spell: DataFrame | None = None                   # distinct spellings + key
 
     def incident_rows(self) -> list[tuple[int, str, int, str]]:
         """The report lines, fixed order, only counts > 0."""
@@ -168,25 +173,32 @@ class GateResult:
 
 
 def run_gate(raw: DataFrame, hoy, checkpoint: bool = False,
-             eager_counts: bool = True) -> GateResult:
+             eager_counts: bool = True, materialize: bool = False) -> GateResult:
     """G11 ``limpiar``: clean table + counts. Pure: the input is not touched.
 
     The outlier threshold is the only value needed before the clean plan can
     be built. ``eager_counts`` also reads the report counts (one aggregate
     over the verdict table plus the spelling aggregate).
 
-    ``checkpoint=True`` (refresh jobs) materialises the verdict table in the
-    shared checkpoint folder once; the threshold, the counts and the clean
-    write then read it instead of recomputing the joins, and a lost executor
-    does not replay the lineage.
+    ``materialize=True`` (refresh jobs, the query catalog) writes the verdict
+    table and the small spelling table once as Parquet in the shared
+    checkpoint folder; the threshold, the counts and the clean write then
+    scan those files instead of recomputing the joins and the customer-key
+    UDF, and a lost executor does not replay the lineage. ``checkpoint=True``
+    does the same with ``DataFrame.checkpoint`` (row-serialised, slower).
     """
     hoy = as_date(hoy)
     typed = prepare(raw)
     labelled = tuple(c for c in S.BLANK_LABEL_COLUMNS if c in raw.columns)
-    spell = spellings(typed)
     v = verdict_table(typed, hoy)
-    if checkpoint:
-        v = v.checkpoint(eager=True)
+    if materialize:
+        from ordergate.plans.storage import materialize as write_back
+        v = write_back(v, "verdicts")
+        spell = write_back(spellings(v.select("cliente")), "spellings")
+    else:
+        if checkpoint:
+            v = v.checkpoint(eager=True)
+        spell = spellings(typed)
 
     passing = v.where(F.col(VERDICT) == S.VERDICT_PASS)
     ret = F.coalesce(F.col("cantidad") < 0, F.lit(False))
@@ -209,7 +221,7 @@ def run_gate(raw: DataFrame, hoy, checkpoint: bool = False,
     clean = marked.na.fill(fill) if fill else marked
     clean = clean.select(*[f.name for f in S.CLEAN_SCHEMA.fields])
     res = GateResult(hoy=hoy, verdicts=v, clean=clean, counts={},
-                     threshold=threshold, labelled=labelled)
+                     threshold=threshold, labelled=labelled, spell=spell)
     if eager_counts:
         from ordergate.operators.report import count_row
         res.counts = count_row(res).first().asDict()

@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 10_000
 COLLECT_LIMIT = 200_000
+# Below this many values Spark's exact ``percentile`` (whose buffer holds at
+# most this many distinct values in one task) answers in a single job.
+DIRECT_LIMIT = 2_000_000
 
 
 def _order_statistics(df: DataFrame, x: str, lo, hi, ranks: list[int]) -> list[float]:
@@ -46,7 +49,8 @@ def _order_statistics(df: DataFrame, x: str, lo, hi, ranks: list[int]) -> list[f
 
 
 def exact_quantile(df: DataFrame, x: str, p: float, n: int | None = None,
-                   collect_limit: int = COLLECT_LIMIT) -> float | None:
+                   collect_limit: int = COLLECT_LIMIT,
+                   direct_limit: int = DIRECT_LIMIT) -> float | None:
     """Linear-interpolated ``p`` quantile of non-null ``x`` (NULL if none).
 
     Same definition as pandas ``Series.quantile`` and DuckDB
@@ -56,6 +60,8 @@ def exact_quantile(df: DataFrame, x: str, p: float, n: int | None = None,
     n = d.count() if n is None else n
     if n == 0:
         return None
+    if n <= direct_limit:
+        return float(d.agg(F.percentile(x, p).alias("q")).first()["q"])
     h = (n - 1) * p
     r0, r1 = math.floor(h), math.ceil(h)
     lo = hi = None

@@ -46,7 +46,7 @@ def count_row(res: GateResult) -> DataFrame:
 
 
 def spellings_of(res: GateResult) -> DataFrame:
-    return spellings(res.verdicts.select("cliente"))
+    return res.spell if res.spell is not None else spellings(res.verdicts.select("cliente"))
 
 
 def incidents(res: GateResult) -> DataFrame:

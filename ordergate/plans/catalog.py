@@ -31,7 +31,8 @@ _GATES: dict[tuple, GateResult] = {}
 def gate_of(spark: SparkSession, sf_dir: str, hoy: str = P.HOY) -> GateResult:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), hoy)
     if key not in _GATES:
-        _GATES[key] = run_gate(dirty_orders(spark, sf_dir), hoy, eager_counts=False)
+        _GATES[key] = run_gate(dirty_orders(spark, sf_dir), hoy, eager_counts=False,
+                               materialize=True)
     return _GATES[key]
 
 

@@ -36,9 +36,10 @@ def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     nation = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
 
-    # Plain equi-joins: lineitem x orders is the only large-large join; the
-    # others are dimensions that AQE broadcasts from runtime sizes.
-    b = (li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    # lineitem x orders is the only large-large join: a sort-merge join on the
+    # order key, as at any scale; the others are dimensions that AQE
+    # broadcasts from their runtime sizes.
+    b = (li.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
            .join(customer, F.col("o_custkey") == F.col("c_custkey"))
            .join(part, F.col("l_partkey") == F.col("p_partkey"))
            .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))

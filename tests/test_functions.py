@@ -39,13 +39,13 @@ def test_parse_fecha(spark):
                    None, None, None, None, None]
 
 
-@pytest.mark.parametrize("limit", [10, 1_000_000])
-def test_exact_quantile_matches_numpy(spark, limit):
+@pytest.mark.parametrize("limit,direct", [(10, 0), (1_000_000, 0), (10, 10**9)])
+def test_exact_quantile_matches_numpy(spark, limit, direct):
     rng = random.Random(7)
     vals = [round(rng.lognormvariate(8, 1.5), 2) for _ in range(20_000)] + [5.0] * 300 + [None] * 10
     df = spark.createDataFrame([(v,) for v in vals], "x double").repartition(7)
     want = float(np.quantile([v for v in vals if v is not None], 0.999))
-    got = exact_quantile(df, "x", 0.999, collect_limit=limit)
+    got = exact_quantile(df, "x", 0.999, collect_limit=limit, direct_limit=direct)
     assert got == pytest.approx(want, rel=1e-12)
 
 
