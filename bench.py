@@ -71,9 +71,9 @@ def main() -> None:
                         familia="SMALL", tipo_cliente="BUILDING")
 
     def b4():
-        D.dash_kpis(clean, filters).collect()
-        D.dash_monthly(clean, filters).collect()
-        D.dash_rankings(clean, filters).collect()
+        parts = D.dash_summary(clean, filters)
+        for key in ("kpis", "mes", "rankings"):
+            parts[key].collect()
         D.dash_filter_values(clean).collect()
 
     def b5():

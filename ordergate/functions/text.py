@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The customer-key UDF below runs on executors. Ship this module's code with
+# the task (by value) so workers need no copy of the package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed value: the characters Python's str.strip()/str.split() treat as
 # whitespace. Java's (?U)\s covers all of them except the four ASCII
 # separators \x1c-\x1f, which are added explicitly.

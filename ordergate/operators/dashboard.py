@@ -83,11 +83,11 @@ def dash_windows(clean: DataFrame, f: Filters) -> DataFrame:
                     "desde", "hasta")
 
 
-def dash_kpis(clean: DataFrame, f: Filters) -> DataFrame:
+def dash_kpis(clean: DataFrame, f: Filters, win: Window_ | None = None) -> DataFrame:
     """KPI row with numeric half-up rounding; null variation when the
     previous window sums to 0; returns % is 0 when gross is 0."""
     base = dash_filtered(clean, f)
-    win, _, _ = dash_window(base, f)
+    win = win or dash_window(base, f)[0]
     k = kpi_frame(base, win)
     fact, prev = F.col("facturacion").cast("double"), F.col("facturacion_anterior").cast("double")
     bru, dev = F.col("bruta").cast("double"), F.col("devoluciones").cast("double")
@@ -102,20 +102,20 @@ def dash_kpis(clean: DataFrame, f: Filters) -> DataFrame:
         "desde", "hasta")
 
 
-def dash_monthly(clean: DataFrame, f: Filters) -> DataFrame:
+def dash_monthly(clean: DataFrame, f: Filters, win: Window_ | None = None) -> DataFrame:
     """Months of the window: rounded amount and row count."""
     base = dash_filtered(clean, f)
-    win, _, _ = dash_window(base, f)
+    win = win or dash_window(base, f)[0]
     return (actual(base, win).groupBy(F.date_format("fecha", "yyyy-MM").alias("mes"))
             .agg(whole_up(money_sum(F.col("importe"))).alias("facturacion"),
                  F.count(F.lit(1)).alias("pedidos")))
 
 
-def dash_rankings(clean: DataFrame, f: Filters) -> DataFrame:
+def dash_rankings(clean: DataFrame, f: Filters, win: Window_ | None = None) -> DataFrame:
     """The six rankings of the window in one aggregate:
     ``(dimension, nombre, importe, posicion)``; NULL zone labelled."""
     base = dash_filtered(clean, f)
-    win, _, _ = dash_window(base, f)
+    win = win or dash_window(base, f)[0]
     cur = actual(base, win).withColumn("zona", F.coalesce(F.col("zona"), F.lit(S.BLANK_LABEL)))
     dims = ", ".join(f"'{name}', {col}" for name, col, _ in S.RANKINGS)
     long = cur.select(F.expr(f"stack({len(S.RANKINGS)}, {dims}) as (dimension, nombre)"), "importe")
@@ -136,13 +136,21 @@ def dash_top(clean: DataFrame, f: Filters, dimension: str) -> DataFrame:
             .select("nombre", "importe", "posicion"))
 
 
+def dash_summary(clean: DataFrame, f: Filters) -> dict[str, DataFrame]:
+    """D2-D6 sharing one bounds aggregate: KPI row, months, six rankings."""
+    win, lo, hi = dash_window(dash_filtered(clean, f), f)
+    return {"kpis": dash_kpis(clean, f, win), "mes": dash_monthly(clean, f, win),
+            "rankings": dash_rankings(clean, f, win), "rango": (lo, hi)}
+
+
 def dash_json(clean: DataFrame, f: Filters) -> DataFrame:
     """The whole summary as one JSON document (the thin edge). Each part
     is aggregated in Spark first; only the small results are nested."""
-    kpi = dash_kpis(clean, f)
-    mes = dash_monthly(clean, f).agg(F.sort_array(F.collect_list(F.struct(
+    parts = dash_summary(clean, f)
+    kpi = parts["kpis"]
+    mes = parts["mes"].agg(F.sort_array(F.collect_list(F.struct(
         "mes", "facturacion", "pedidos"))).alias("mes"))
-    tops = dash_rankings(clean, f)
+    tops = parts["rankings"]
     parts = [tops.where(F.col("dimension") == name).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("posicion", "nombre", "importe"))),
                     lambda s: F.struct(s["nombre"].alias("nombre"), s["importe"].alias("importe")))

@@ -209,10 +209,20 @@ def kpi_alert(kpi: DataFrame) -> DataFrame:
 
 
 def payload(clean: DataFrame, hoy=None) -> dict[str, DataFrame]:
-    """M8: everything the dashboard shows, as DataFrames (JSON only at the edge)."""
+    """M8: everything the dashboard shows, as DataFrames (JSON only at the edge).
+
+    One small aggregate reads the first and last day; the KPI window and the
+    range both come from it, so the payload costs four scans, not six.
+    """
     base = metric_base(clean)
-    out = {"kpi": kpis(clean), "mes": monthly_series(clean), "tops": top_all(clean),
-           "rango": date_range(base)}
+    row = base.agg(F.min("fecha").alias("a"), F.max("fecha").alias("b")).first()
+    first = row["a"].date() if row["a"] is not None else None
+    last = row["b"].date() if row["b"] is not None else None
+    win = Window_(minus_months(last, 12) if last else None, last)
+    spark = clean.sparkSession
+    rango = spark.range(1).select(F.lit(first).cast("date").alias("desde"),
+                                  F.lit(last).cast("date").alias("hasta"))
     if hoy is not None:
-        out["rango"] = out["rango"].withColumn("actualizado", F.lit(as_date(hoy)))
-    return out
+        rango = rango.withColumn("actualizado", F.lit(as_date(hoy)))
+    return {"kpi": kpis(clean, win.desde, win.hasta), "mes": monthly_series(clean),
+            "tops": top_all(clean), "rango": rango}
