@@ -159,7 +159,7 @@ def dash_json(clean: DataFrame, f: Filters) -> DataFrame:
     for p in parts:
         doc = doc.crossJoin(p)
     cols = ["kpis", "mes", *[name for name, _, _ in S.RANKINGS]]
-    return doc.select(F.to_json(F.struct(*cols)).alias("resumen"))
+    return doc.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("resumen"))
 
 
 def dash_filter_values(clean: DataFrame) -> DataFrame:

@@ -347,6 +347,22 @@ def build() -> dict[str, str]:
                      ("dash_top_type", "tipo"), ("dash_top_customer", "clientes")):
         o[key] = gate(f"select nombre, importe, posicion from ranks where dimension = '{dim}'",
                       *_dash_ctes(f), *reversed(_dash_rankings(f)))
+    tops = ", ".join(
+        f"'{name}': coalesce((select list({{'nombre': nombre, 'importe': importe}} order by posicion) "
+        f"from ranks where dimension = '{name}'), [])" for name, _, _ in S.RANKINGS)
+    o["dash_json"] = gate(f"""select to_json({{
+  'kpis': (select {{'facturacion': facturacion, 'var_pct': var_pct, 'pedidos': pedidos, 'ticket': ticket,
+                   'clientes': clientes, 'devoluciones': devoluciones, 'dev_pct': dev_pct,
+                   'desde': desde, 'hasta': hasta}} from kv),
+  'mes': coalesce((select list({{'mes': mes, 'facturacion': facturacion, 'pedidos': pedidos}} order by mes)
+                   from mensual), []),
+  {tops}}}) as resumen""", *_dash_ctes(f), *reversed(_dash_rankings(f)),
+        KPI_V2.replace("cast(desde as varchar) as desde, cast(hasta as varchar) as hasta",
+                       "desde, hasta").replace("select ", "kv as (select ", 1) + " from k)",
+        f"""mensual as (select strftime(fecha, '%Y-%m') as mes,
+  cast(round(sum({MONEY}), 0) as bigint) as facturacion, count(*) as pedidos
+  from dbase cross join bounds where cast(fecha as date) between desde and hasta
+  group by strftime(fecha, '%Y-%m'))""")
     o["dash_filter_values"] = gate("""select lista, valor, row_number() over (partition by lista order by valor) as posicion
   from (select distinct lista, valor from (
     select 'comerciales' as lista, comercial as valor from base
@@ -364,6 +380,16 @@ def build() -> dict[str, str]:
     # ---- refresh / publish
     o["refresh_delta"] = _refresh_delta()
     o["publish_staged"] = o["clean_typed"]
+    o["src_fallback"] = gate("select *, 'reference' as origen from dirty")
+    o["publish_current"] = gate(f"""select pedido_id, strftime(fecha, '%Y-%m-%d') as fecha, comercial, zona,
+  cliente, tipo_cliente, producto, familia, cast(cantidad as double) as cantidad,
+  cast(precio_unitario as double) as precio_unitario, cast(importe as double) as importe,
+  fila_origen, es_devolucion, sospechoso
+  from pub where coalesce(pedido_id is not null and length(trim(pedido_id)) > 0 and fecha is not null
+    and cliente is not null and producto is not null and cantidad is not null
+    and precio_unitario is not null and importe is not null and importe <> 0
+    and es_devolucion = (cantidad < 0) and abs(importe - cantidad * precio_unitario) <= 0.02, false)""",
+                                PUB)
     o["quality_report"] = gate(f"""select
   (select count(*) from verdicts) as filas_crudas, (select count(*) from base) as filas_limpias,
   (select cast(coalesce(sum({MONEY}), 0) as double) from verdicts) as facturacion_cruda,
@@ -424,10 +450,16 @@ def _incidents_select() -> str:
     return f"select * from ({body}) where filas > 0"
 
 
-def _constraints_select() -> str:
-    pub = """pub as (select pedido_id, cast(fecha as date) as fecha, cliente, producto,
+PUB = """pub as (select pedido_id, cast(fecha as date) as fecha,
+  coalesce(comercial, '(sin informar)') as comercial, zona, cliente,
+  coalesce(tipo_cliente, '(sin informar)') as tipo_cliente, producto,
+  coalesce(familia, '(sin informar)') as familia,
   cast(cantidad as decimal(14,3)) as cantidad, cast(precio_unitario as decimal(14,2)) as precio_unitario,
-  cast(importe as decimal(18,2)) as importe, es_devolucion from clean)"""
+  cast(importe as decimal(18,2)) as importe, fila_origen, es_devolucion, sospechoso from clean)"""
+
+
+def _constraints_select() -> str:
+    pub = PUB
     checks = {
         "pedido_id_nulo": "pedido_id is null",
         "pedido_id_vacio": "length(trim(pedido_id)) = 0",
