@@ -381,6 +381,10 @@ def build() -> dict[str, str]:
     o["refresh_delta"] = _refresh_delta()
     o["publish_staged"] = o["clean_typed"]
     o["src_fallback"] = gate("select *, 'reference' as origen from dirty")
+    payload = ", ".join(f"{c} := {c}" for c in S.SOURCE_COLUMNS)
+    texts = ", ".join(f"cast({c} as varchar) as {c}" for c in S.SOURCE_COLUMNS)
+    o["raw_landing"] = gate(f"""select {q(P.SYNC_ID)} as sync_id, fila_origen, {texts},
+  to_json(struct_pack({payload})) as raw_payload from dirty""")
     o["publish_current"] = gate(f"""select pedido_id, strftime(fecha, '%Y-%m-%d') as fecha, comercial, zona,
   cliente, tipo_cliente, producto, familia, cast(cantidad as double) as cantidad,
   cast(precio_unitario as double) as precio_unitario, cast(importe as double) as importe,
