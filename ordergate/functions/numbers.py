@@ -51,30 +51,20 @@ def python_float_text(c: Column) -> Column:
     """A double as Python's ``repr`` prints it (the raw landing's text form):
     plain digits for 1e-4 <= |x| < 1e16, else ``1.5e+16`` / ``1e-05``.
 
-    Spark's text form differs only by using exponent notation outside
-    [1e-3, 1e7); those cases are rewritten here from the mantissa digits.
-    On Java 17, ``Double.toString`` is not always the shortest form for some
-    values above 1e16, whose last digits can then differ from Python's.
+    Spark prints the same shortest digits but switches to exponent notation
+    outside [1e-3, 1e7): inside Python's plain range those are expanded by an
+    exact decimal cast, outside it the exponent is reformatted. (On Java 17,
+    ``Double.toString`` is not always the shortest form for some values above
+    1e16, whose last digits can then differ from Python's.)
     """
-    s = c.cast("double").cast("string")
-    body = F.regexp_replace(s, "^-", "")
-    sign = F.when(s.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    pattern = r"^([0-9])\.([0-9]+)E(-?[0-9]+)$"
-    lead = F.regexp_extract(body, pattern, 1)
-    frac = F.regexp_replace(F.regexp_extract(body, pattern, 2), "0+$", "")
-    exp = F.regexp_extract(body, pattern, 3).cast("int")
-    digits = F.concat(lead, frac)
-    n = F.length(digits)
-    int_len = exp + 1
-    big = F.when(n <= int_len, F.concat(F.rpad(digits, int_len, "0"), F.lit(".0"))).otherwise(
-        F.concat(F.left(digits, int_len), F.lit("."), F.right(digits, n - int_len)))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
-    mant = F.when(frac == "", lead).otherwise(F.concat(lead, F.lit("."), frac))
-    e_abs = F.abs(exp).cast("string")
-    sci = F.concat(mant, F.lit("e"), F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")),
-                   F.when(F.length(e_abs) < 2, F.concat(F.lit("0"), e_abs)).otherwise(e_abs))
-    text = (F.when(~body.contains("E"), body)
-             .when((exp >= 0) & (exp < 16), big)
-             .when((exp < 0) & (exp >= -4), small)
-             .otherwise(sci))
-    return F.when(c.isNotNull() & ~F.isnan(c.cast("double")), F.concat(sign, text))
+    x = c.cast("double")
+    s = x.cast("string")
+    plain = F.regexp_replace(F.regexp_replace(s.try_cast("decimal(38,20)").cast("string"),
+                                              "0+$", ""), r"\.$", ".0")
+    sci = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(
+        s, r"\.0E", "E"), r"E-(\d)$", "e-0$1"), "E-", "e-"), "E", "e+")
+    ax = F.abs(x)
+    return (F.when(x.isNull() | F.isnan(x), F.lit(None).cast("string"))
+             .when(~s.contains("E"), s)
+             .when((ax >= F.lit(1e16)) | (ax < F.lit(1e-4)), sci)
+             .otherwise(plain))
