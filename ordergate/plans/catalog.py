@@ -293,9 +293,8 @@ def _date_range(spark, sf):
 def _kpi_bounds(spark, sf):
     """M4: default KPI window."""
     base = M.metric_base(_clean(spark, sf))
-    w = M.kpi_bounds(base)
-    return base.agg(F.count(F.lit(1)).alias("_n")).select(
-        F.lit(w.desde).cast("date").alias("desde"), F.lit(w.hasta).cast("date").alias("hasta"))
+    hasta = F.to_date(F.max("fecha"))
+    return base.agg(F.add_months(hasta, -12).alias("desde"), hasta.alias("hasta"))
 
 
 @register("kpi_default")

@@ -80,3 +80,19 @@ def test_partition_invariance(spark, gate, parts):
         assert sorted(v.collect()) == sorted(R.verdict_summary(gate.verdicts).collect())
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_gate_idempotent_on_testdata(gate):
+    again = run_gate(gate.clean, TESTDATA_TODAY)
+    assert again.threshold == gate.threshold
+    assert gate.clean.exceptAll(again.clean).count() == 0
+    assert again.clean.exceptAll(gate.clean).count() == 0
+
+
+def test_invariants_hold(gate):
+    from ordergate.operators.checks import invariants
+    broken = {r.invariante: r.filas_que_lo_rompen for r in invariants(gate.clean, TESTDATA_TODAY).collect()}
+    assert set(broken) >= {"pedidos_duplicados", "fechas_futuras", "importes_no_cuadran", "importes_cero",
+                           "claves_con_varios_nombres", "nombres_sin_recortar", "huecos_sin_etiqueta",
+                           "neta_no_menor_que_bruta"}
+    assert all(v == 0 for v in broken.values()), broken
