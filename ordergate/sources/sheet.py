@@ -92,33 +92,41 @@ def missing_columns(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, "columna string, presente boolean")
 
 
-def with_row_position(df: DataFrame, from_files: bool = False) -> DataFrame:
+def with_row_position(df: DataFrame, from_files: bool | None = None) -> DataFrame:
     """S3: ``fila_origen``, the 0-based input position, if not supplied.
 
-    ``from_files=True`` (a Parquet scan): position = rows in earlier files
-    (by name) + ``_metadata.row_index``. Otherwise the frame must be a file
-    scan or a checkpointed frame, whose partitions are stable: position = rows
-    in earlier partitions + index within the partition. Both need only a
-    per-file / per-partition count table (one row per file or partition, a
-    bounded broadcast) -- never a global sort of the rows.
+    For a file scan (any format) the position follows file name, then byte
+    offset of the split, then order within the split: rows of earlier
+    (file, split) pairs plus the row's index inside its split. Only a count
+    table with one row per split is broadcast (bounded by the number of
+    scan tasks); rows are never sorted. A frame that is not a file scan must
+    be checkpointed first: its partitions then play the role of splits.
     """
     if S.ROW_POSITION in df.columns:
         return df
     cols = df.columns
+    if from_files is None:
+        from_files = _is_file_scan(df)
+    d = df.withColumn("_mid", F.monotonically_increasing_id())
     if from_files:
-        d = df.select("*", F.col("_metadata.file_path").alias("_part"),
-                      F.col("_metadata.row_index").alias("_idx"))
+        d = d.withColumn("_f", F.col("_metadata.file_path")).withColumn(
+            "_b", F.col("_metadata.file_block_start"))
     else:
-        d = (df.withColumn("_part", F.spark_partition_id())
-               .withColumn("_mid", F.monotonically_increasing_id())
-               .withColumn("_idx", F.col("_mid") - F.shiftleft(F.col("_part").cast("long"), 33))
-               .drop("_mid"))
-    sizes = d.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.select(
-        "_part",
-        (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_off"))
-    return (d.join(F.broadcast(offsets), "_part")
-             .select((F.col("_off") + F.col("_idx")).alias(S.ROW_POSITION), *cols))
+        d = d.withColumn("_f", F.lit("")).withColumn("_b", F.spark_partition_id().cast("long"))
+    splits = d.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
+    offsets = splits.select(
+        "_f", "_b", "_m0",
+        (F.sum("_n").over(Window.orderBy("_f", "_b")) - F.col("_n")).alias("_off"))
+    return (d.join(F.broadcast(offsets), ["_f", "_b"])
+             .select((F.col("_off") + F.col("_mid") - F.col("_m0")).alias(S.ROW_POSITION), *cols))
+
+
+def _is_file_scan(df: DataFrame) -> bool:
+    try:
+        df.select("_metadata.file_block_start").schema
+        return True
+    except Exception:
+        return False
 
 
 def conform(df: DataFrame) -> DataFrame:

@@ -52,3 +52,28 @@ def test_exact_quantile_matches_numpy(spark, limit, direct):
 def test_exact_quantile_empty_and_single(spark):
     assert exact_quantile(spark.createDataFrame([(None,)], "x double"), "x", 0.5) is None
     assert exact_quantile(spark.createDataFrame([(3.0,)], "x double"), "x", 0.999) == 3.0
+
+
+def test_row_position_multi_file_csv(spark, tmp_path):
+    """Positions follow file name, then byte offset, across many splits."""
+    import shutil
+
+    from ordergate.sources.sheet import read_orders, with_row_position
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        flat = tmp_path / "flat"
+        flat.mkdir()
+        for i, (lo, hi) in enumerate([(0, 3000), (3000, 15000), (15000, 20000)]):
+            out = tmp_path / f"part{i}"
+            (spark.range(lo, hi, numPartitions=1).select(F.col("id").alias("k"),
+                                                         F.lit("x" * 30).alias("pad"))
+             .write.option("header", "true").csv(str(out)))
+            shutil.copy(next(out.glob("*.csv")), flat / f"sheet-{i}.csv")
+        df = read_orders(spark, str(flat), "csv")
+        assert df.rdd.getNumPartitions() > 3
+        pos = with_row_position(df)
+        assert pos.count() == 20000
+        assert pos.where(F.col("fila_origen") != F.col("k").cast("long")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
