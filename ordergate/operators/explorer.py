@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ordergate import schema as S
 from ordergate.functions import as_date, contains_ci, money_sum, whole_even, whole_up
-from ordergate.operators.metrics import day_at_least, day_at_most
+from ordergate.operators.metrics import day_at_least, day_at_most, ntz
 
 
 @dataclass(frozen=True)
@@ -132,8 +132,9 @@ def page_after(clean: DataFrame, query: Query, last_fecha, last_fila: int) -> Da
     The key is a range predicate, so no rows before it are sorted or skipped."""
     q = query.clamped()
     filt = filtered(clean, q)
-    key = ((F.col("fecha") < F.lit(last_fecha))
-           | ((F.col("fecha") == F.lit(last_fecha)) & (F.col(S.ROW_POSITION) < F.lit(last_fila))))
+    last = ntz(last_fecha)
+    key = ((F.col("fecha") < last)
+           | ((F.col("fecha") == last) & (F.col(S.ROW_POSITION) < F.lit(last_fila))))
     order = order_columns(filt, "fecha")
     rows = filt.where(key).orderBy(*order).limit(q.limite)
     w = Window.orderBy(*order)

@@ -26,18 +26,28 @@ def metric_base(clean: DataFrame) -> DataFrame:
     return clean
 
 
+def midnight(d: dt.date) -> Column:
+    """``timestamp_ntz`` literal for the start of day ``d``, built from text so
+    no session or process time zone can move it."""
+    return F.lit(f"{d.isoformat()} 00:00:00").cast("timestamp_ntz")
+
+
+def ntz(value: dt.datetime) -> Column:
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def day_at_least(d: dt.date) -> Column:
     """``day(fecha) >= d`` written on the raw column so Parquet can skip."""
-    return F.col("fecha") >= F.lit(dt.datetime.combine(d, dt.time()))
+    return F.col("fecha") >= midnight(d)
 
 
 def day_at_most(d: dt.date) -> Column:
     """``day(fecha) <= d`` as ``fecha < d + 1 day`` (pushable)."""
-    return F.col("fecha") < F.lit(dt.datetime.combine(d + dt.timedelta(days=1), dt.time()))
+    return F.col("fecha") < midnight(d + dt.timedelta(days=1))
 
 
 def day_before(d: dt.date) -> Column:
-    return F.col("fecha") < F.lit(dt.datetime.combine(d, dt.time()))
+    return F.col("fecha") < midnight(d)
 
 
 # --------------------------------------------------------------------------
