@@ -58,6 +58,7 @@ def main() -> None:
         res = run_gate(read_orders(spark, sheet), TESTDATA_TODAY, materialize=True, eager_counts=False)
         save_clean(res.clean, f"{scratch}/clean-{uuid.uuid4().hex}")
         R.incidents(res).collect()
+        res.release()
 
     def b2():
         R.verdict_summary(verdicts(read_orders(spark, sheet), TESTDATA_TODAY)).collect()

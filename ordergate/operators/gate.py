@@ -150,6 +150,13 @@ class GateResult:
     labelled: tuple = field(default_factory=tuple)   # blank-labelled columns
     spell: DataFrame | None = None                   # distinct spellings + key
 
+    def release(self) -> None:
+        """Drop the materialised verdict and spelling tables (refresh done)."""
+        from ordergate.plans.storage import release
+        release(self.verdicts)
+        if self.spell is not None:
+            release(self.spell)
+
     def incident_rows(self) -> list[tuple[int, str, int, str]]:
         """The report lines, fixed order, only counts > 0."""
         c, hoy = self.counts, self.hoy.isoformat()

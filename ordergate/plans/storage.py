@@ -50,4 +50,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     from ordergate.session import work_dir
     path = work_dir(df.sparkSession, "materialized", f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    MATERIALIZED[id(out)] = path
+    return out
+
+
+# DataFrame id -> the folder backing it, so its owner can release it.
+MATERIALIZED: dict[int, str] = {}
+
+
+def release(df: DataFrame) -> None:
+    """Delete the folder behind a materialised frame (after its last use)."""
+    path = MATERIALIZED.pop(id(df), None)
+    if path:
+        from ordergate.sources.sheet import _fs
+        fs, jpath = _fs(df.sparkSession, path)
+        if fs.exists(jpath):
+            fs.delete(jpath, True)
