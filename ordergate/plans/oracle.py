@@ -204,7 +204,7 @@ def build() -> dict[str, str]:
     o: dict[str, str] = {}
     # ---- sources
     o["src_orders"] = gate("select * from dirty")
-    o["src_row_position"] = ("select l_orderkey, l_linenumber, l_partkey, "
+    o["src_row_position"] = ("select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, l_partkey, "
                              "row_number() over () - 1 as fila_origen from lineitem")
     o["load_clean"] = gate(f"select {CLEAN_COLS} from clean")
     o["save_clean_roundtrip"] = o["load_clean"]
@@ -350,13 +350,13 @@ def build() -> dict[str, str]:
     tops = ", ".join(
         f"'{name}': coalesce((select list({{'nombre': nombre, 'importe': importe}} order by posicion) "
         f"from ranks where dimension = '{name}'), [])" for name, _, _ in S.RANKINGS)
-    o["dash_json"] = gate(f"""select to_json({{
+    o["dash_json"] = gate(f"""select cast(to_json({{
   'kpis': (select {{'facturacion': facturacion, 'var_pct': var_pct, 'pedidos': pedidos, 'ticket': ticket,
                    'clientes': clientes, 'devoluciones': devoluciones, 'dev_pct': dev_pct,
                    'desde': desde, 'hasta': hasta}} from kv),
   'mes': coalesce((select list({{'mes': mes, 'facturacion': facturacion, 'pedidos': pedidos}} order by mes)
                    from mensual), []),
-  {tops}}}) as resumen""", *_dash_ctes(f), *reversed(_dash_rankings(f)),
+  {tops}}}) as varchar) as resumen""", *_dash_ctes(f), *reversed(_dash_rankings(f)),
         KPI_V2.replace("cast(desde as varchar) as desde, cast(hasta as varchar) as hasta",
                        "desde, hasta").replace("select ", "kv as (select ", 1) + " from k)",
         f"""mensual as (select strftime(fecha, '%Y-%m') as mes,
@@ -384,7 +384,7 @@ def build() -> dict[str, str]:
     payload = ", ".join(f"{c} := {c}" for c in S.SOURCE_COLUMNS)
     texts = ", ".join(f"cast({c} as varchar) as {c}" for c in S.SOURCE_COLUMNS)
     o["raw_landing"] = gate(f"""select {q(P.SYNC_ID)} as sync_id, fila_origen, {texts},
-  to_json(struct_pack({payload})) as raw_payload from dirty""")
+  cast(to_json(struct_pack({payload})) as varchar) as raw_payload from dirty""")
     o["publish_current"] = gate(f"""select pedido_id, strftime(fecha, '%Y-%m-%d') as fecha, comercial, zona,
   cliente, tipo_cliente, producto, familia, cast(cantidad as double) as cantidad,
   cast(precio_unitario as double) as precio_unitario, cast(importe as double) as importe,
@@ -398,7 +398,8 @@ def build() -> dict[str, str]:
   (select count(*) from verdicts) as filas_crudas, (select count(*) from base) as filas_limpias,
   (select cast(coalesce(sum({MONEY}), 0) as double) from verdicts) as facturacion_cruda,
   (select cast(coalesce(sum({MONEY}), 0) as double) from base) as facturacion_limpia,
-  (select to_json(list({{'regla': regla, 'filas': filas, 'accion': accion}} order by orden)) from inc) as incidencias,
+  (select cast(to_json(list({{'regla': regla, 'filas': filas, 'accion': accion}} order by orden)) as varchar)
+   from inc) as incidencias,
   cast({S.RULE_VERSION} as bigint) as version_puerta""", *_incident_ctes(), f"inc as ({_incidents_select()})")
     return o
 
@@ -449,7 +450,7 @@ def _incidents_select() -> str:
         (11, S.RULE_BLANKS.format(columna="familia"), "c.huecos_familia", q(S.ACTION_BLANKS)),
     ]
     body = " union all ".join(
-        f"select {o} as orden, {q(r)} as regla, cast({n} as bigint) as filas, {a} as accion "
+        f"select cast({o} as bigint) as orden, {q(r)} as regla, cast({n} as bigint) as filas, {a} as accion "
         "from c cross join sp cross join fl" for o, r, n, a in rows)
     return f"select * from ({body}) where filas > 0"
 

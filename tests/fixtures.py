@@ -63,7 +63,7 @@ def six_rows(spark):
          "Tubo corrugado M20", "Canalización", 50.0, 0.50, 25.00, False, False),
         ("P5", d(2026, 7, 3), "Xavier Puig", "Girona", "Comercial Delta SA", "Distribuidor",
          "Cuadro eléctrico 24 mód", "Cuadros", 20.0, 80.00, 1600.00, False, False),
-        ("P6", d(2025, 3, 5), "Andreu Roca", "Lleida", "Grup Elèctric Ponent", "Distribuidor",
+        ("P6", d(2025, 3, 5), "Andreu Roca", "Lleida", "Grup Elèctric Segrià", "Distribuidor",
          "Cuadro eléctrico 24 mód", "Cuadros", 99999.0, 80.00, 7999920.00, False, True),
     ]
     return spark.createDataFrame(rows, CLEAN)

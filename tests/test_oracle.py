@@ -43,13 +43,18 @@ def _canon(rows, cols):
 SQL = entry.oracle_sql()
 
 
+SPARK_TO_DUCKDB = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, con, name):
     df = entry.queries()[name](spark, SF_SMALL)
     rows, cols = df.collect(), df.columns
-    cur = con.execute(SQL[name])
-    drows, dcols = cur.fetchall(), [d[0] for d in cur.description]
+    rel = con.sql(SQL[name])
+    types = dict(zip(rel.columns, map(str, rel.types)))
+    drows, dcols = rel.fetchall(), rel.columns
     assert sorted(cols) == sorted(dcols)
+    assert {f.name: SPARK_TO_DUCKDB.get(f.dataType.simpleString()) for f in df.schema.fields} == types
     assert _canon(rows, cols) == _canon(drows, dcols)
 
 
