@@ -91,9 +91,9 @@ def main() -> None:
         sync = uuid.uuid4().hex
         root = f"{scratch}/pub"
         paths = PB.stage(PB.raw_landing(raw, sync), PB.clean_typed(clean, sync), root, sync)
-        checks.constraint_violations(spark.read.parquet(paths["clean"]),
-                                     spark.read.parquet(paths["raw"])).collect()
-        counts = PB.guards(spark, paths)
+        row = checks.constraint_counts(spark.read.parquet(paths["clean"]),
+                                       spark.read.parquet(paths["raw"])).first()
+        counts = PB.guards(spark, paths, {"raw": row["filas_crudas"], "clean": row["filas_limpias"]})
         PB.publish_pointer(spark, root, sync, paths, counts)
 
     work = {"B1_gate_write": b1, "B2_verdict_summary": b2, "B3_payload": b3,
