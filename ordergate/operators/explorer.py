@@ -116,11 +116,21 @@ def project_rows(df: DataFrame) -> DataFrame:
         position, "posicion")
 
 
+# Beyond this offset a page is cut from distributed global positions instead
+# of a per-task top-(offset + limit).
+DEEP_OFFSET = 100_000
+
+
 def page(clean: DataFrame, query: Query, by_day: bool = False) -> DataFrame:
     """One page of rows with its 1-based position in the ordering."""
     q = query.clamped()
     filt = filtered(clean, q)
     order = order_columns(filt, q.orden, by_day)
+    if q.offset > DEEP_OFFSET:
+        from ordergate.plans.storage import ordered_position
+        pos = ordered_position(filt, order)
+        rows = pos.where((F.col("posicion") >= q.offset) & (F.col("posicion") < q.offset + q.limite))
+        return project_rows(rows.withColumn("posicion", F.col("posicion") + 1))
     rows = filt.orderBy(*order).offset(q.offset).limit(q.limite)
     w = Window.orderBy(*order)        # over at most 200 rows
     return project_rows(rows.withColumn("posicion", F.row_number().over(w) + F.lit(q.offset)))

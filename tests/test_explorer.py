@@ -86,3 +86,13 @@ def test_input_not_mutated(clean):
     before = clean.count()
     E.page(clean, E.Query(marca="senalados")).collect()
     assert clean.count() == before and "posicion" not in clean.columns
+
+
+def test_deep_offset_path_matches(spark, monkeypatch):
+    from ordergate.plans.catalog import gate_of
+    clean = gate_of(spark, "/root/testdata/sf0.001").clean
+    want = [r.fila_origen for r in E.page(clean, E.Query(limite=30, offset=1000)).orderBy("posicion").collect()]
+    monkeypatch.setattr(E, "DEEP_OFFSET", 10)
+    got = E.page(clean, E.Query(limite=30, offset=1000)).orderBy("posicion").collect()
+    assert [r.fila_origen for r in got] == want
+    assert [r.posicion for r in got] == list(range(1001, 1031))
