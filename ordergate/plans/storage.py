@@ -26,7 +26,9 @@ def ordered_position(df: DataFrame, keys: list[str]) -> DataFrame:
     be unique for the position to be deterministic.
     """
     # Materialised once in the shared checkpoint folder: both uses below see
-    # the same partitions, and a lost executor does not re-sort.
+    # the same partitions, and a lost executor does not re-sort. (Without it
+    # the two branches are planned separately and AQE may coalesce upstream
+    # shuffles differently in each, giving different partitions.)
     s = (df.orderBy(*keys).checkpoint(eager=True)
            .withColumn("_part", F.spark_partition_id())
            .withColumn("_mid", F.monotonically_increasing_id()))
