@@ -123,9 +123,9 @@ def verdict_column(hoy: dt.date) -> Column:
              .otherwise(F.lit(S.VERDICT_PASS)))
 
 
-def verdict_table(typed: DataFrame, hoy: dt.date) -> DataFrame:
+def verdict_table(typed: DataFrame, hoy) -> DataFrame:
     """Raw rows (raw ``cliente``) + ``veredicto`` + internal flags."""
-    return flag_duplicates(typed).withColumn(VERDICT, verdict_column(hoy))
+    return flag_duplicates(typed).withColumn(VERDICT, verdict_column(as_date(hoy)))
 
 
 def verdicts(raw: DataFrame, hoy) -> DataFrame:
