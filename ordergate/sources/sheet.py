@@ -99,8 +99,8 @@ def with_row_position(df: DataFrame, from_files: bool | None = None) -> DataFram
     offset of the split, then order within the split: rows of earlier
     (file, split) pairs plus the row's index inside its split. Only a count
     table with one row per split is broadcast (bounded by the number of
-    scan tasks); rows are never sorted. A frame that is not a file scan must
-    be checkpointed first: its partitions then play the role of splits.
+    scan tasks); rows are never sorted. A frame that is not a file scan is
+    checkpointed first; its partitions then play the role of splits.
     """
     if S.ROW_POSITION in df.columns:
         return df
@@ -112,7 +112,11 @@ def with_row_position(df: DataFrame, from_files: bool | None = None) -> DataFram
         d = d.withColumn("_f", F.col("_metadata.file_path")).withColumn(
             "_b", F.col("_metadata.file_block_start"))
     else:
-        d = d.withColumn("_f", F.lit("")).withColumn("_b", F.spark_partition_id().cast("long"))
+        # Fix partitions and their row order first (reliable checkpoint in the
+        # shared folder): a retried task after a shuffle may see its rows in
+        # another order, which would move positions.
+        d = (df.checkpoint(eager=True).withColumn("_mid", F.monotonically_increasing_id())
+               .withColumn("_f", F.lit("")).withColumn("_b", F.spark_partition_id().cast("long")))
     splits = d.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     offsets = splits.select(
         "_f", "_b", "_m0",
