@@ -19,6 +19,7 @@ Plan shape (per refresh):
 from __future__ import annotations
 
 import datetime as dt
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -100,9 +101,13 @@ def flag_duplicates(typed: DataFrame) -> DataFrame:
                   .agg(F.min(S.ROW_POSITION).alias("_first"))
                   .withColumnRenamed("pedido_id", "_id"))
     # One row per distinct id on the right: as large as the data, so a
-    # shuffle (sort-merge) join -- the plan that holds at scale, where AQE
-    # splits a hot id's partition (skew join) -- rather than a broadcast
-    # that only small inputs allow.
+    # shuffle (sort-merge) join -- the plan that holds at scale -- rather than
+    # a broadcast that only small inputs allow. The null-safe keys differ from
+    # the aggregate's grouping, so both join sides arrive as plain shuffle
+    # stages: that is the shape AQE's skew-join rule splits when one id (or
+    # the NULL-id group) holds a large share of the rows. Grouping by the
+    # join keys instead would save the shuffle of the small minima table but
+    # lose that split (tests/test_skew.py).
     joined = typed.join(first.hint("merge"), typed["pedido_id"].eqNullSafe(first["_id"]), "left")
     return joined.withColumn("_dup", F.col(S.ROW_POSITION) > F.col("_first")).drop("_id", "_first")
 
@@ -220,6 +225,8 @@ def run_gate(raw: DataFrame, hoy, checkpoint: bool = False,
                if limit is not None else F.lit(False))
 
     names = name_map(spell).select("cliente", "canonico")
+    if materialize and _fits_broadcast(spell):
+        names = F.broadcast(names)      # size measured: no shuffle of the order lines
     marked = (passing.withColumn("es_devolucion", ret)
                      .withColumn("sospechoso", flagged)
                      .join(names, "cliente", "left")
@@ -235,6 +242,26 @@ def run_gate(raw: DataFrame, hoy, checkpoint: bool = False,
     return res
 
 
+def _bytes(text: str) -> int:
+    """A Spark size setting ('10485760b', '10MB', '-1') in bytes."""
+    m = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)i?b?\s*", text.lower())
+    if not m:
+        return -1
+    return int(m.group(1)) * 1024 ** " kmgtp".index(m.group(2) or " ")
+
+
+def _fits_broadcast(spell: DataFrame) -> bool:
+    """Measured size of the spelling -> name map against the session's
+    broadcast threshold (text bytes of both names plus per-row overhead).
+    Above it, the join stays a shuffle join and AQE handles a hot customer."""
+    limit = _bytes(spell.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB"))
+    if limit <= 0:
+        return False
+    row = spell.agg(F.count(F.lit(1)).alias("n"),
+                    F.coalesce(F.sum(F.length("cliente")), F.lit(0)).alias("chars")).first()
+    return 2 * 4 * row["chars"] + 64 * row["n"] <= limit
+
+
 def limpiar(raw: DataFrame, hoy) -> tuple[DataFrame, list[dict]]:
     """The reference's entry point: (clean table, incident list)."""
     res = run_gate(raw, hoy)
