@@ -21,7 +21,6 @@ import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
 
 from ordergate.operators import dashboard as D, explorer as E, metrics as M, report as R  # noqa: E402
 from ordergate.operators.gate import run_gate, verdicts  # noqa: E402

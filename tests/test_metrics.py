@@ -4,7 +4,6 @@ partition-count invariance of the results."""
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from ordergate.operators import dashboard as D, metrics as M, report as R
 from ordergate.operators.gate import run_gate, verdicts
