@@ -7,8 +7,7 @@ global position needs no single-task sort.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 
 def sorted_for_storage(df: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
@@ -17,27 +16,21 @@ def sorted_for_storage(df: DataFrame, keys: list[str], partitions: int | None =
     return df.repartitionByRange(int(n), *keys).sortWithinPartitions(*keys)
 
 
-def ordered_position(df: DataFrame, keys: list[str]) -> DataFrame:
-    """0-based position of each row in ``keys`` order, without one-task sort.
+def ordered_position(df: DataFrame, keys: list) -> DataFrame:
+    """0-based position ``posicion`` of each row in ``keys`` order, without a
+    one-task sort.
 
-    ``orderBy`` range-partitions and sorts in parallel; each row's position is
-    the row count of the earlier partitions (a table with one row per
-    partition, broadcast) plus its index within its partition. The keys must
-    be unique for the position to be deterministic.
+    ``orderBy`` range-partitions and sorts in parallel and the write names its
+    part files in range order; reading them back, a row's position is the
+    row count of the earlier files/splits (a table with one row per split,
+    broadcast) plus its index within its split. Written once as Parquet in the
+    shared folder, so later reads and a lost executor see the same files. The
+    keys must be unique for ties not to move rows.
     """
-    # Materialised once in the shared checkpoint folder: both uses below see
-    # the same partitions, and a lost executor does not re-sort. (Without it
-    # the two branches are planned separately and AQE may coalesce upstream
-    # shuffles differently in each, giving different partitions.)
-    s = (df.orderBy(*keys).checkpoint(eager=True)
-           .withColumn("_part", F.spark_partition_id())
-           .withColumn("_mid", F.monotonically_increasing_id()))
-    s = s.withColumn("_idx", F.col("_mid") - F.shiftleft(F.col("_part").cast("long"), 33))
-    sizes = s.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_off"))
-    return (s.join(F.broadcast(offsets), "_part")
-             .withColumn("posicion", F.col("_off") + F.col("_idx"))
-             .drop("_part", "_mid", "_idx", "_off"))
+    from ordergate.sources.sheet import with_row_position
+    cols = df.columns
+    ordered = materialize(df.orderBy(*keys), "ordered")
+    return with_row_position(ordered, from_files=True, name="posicion").select(*cols, "posicion")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

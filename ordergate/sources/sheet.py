@@ -92,7 +92,8 @@ def missing_columns(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, "columna string, presente boolean")
 
 
-def with_row_position(df: DataFrame, from_files: bool | None = None) -> DataFrame:
+def with_row_position(df: DataFrame, from_files: bool | None = None,
+                      name: str = S.ROW_POSITION) -> DataFrame:
     """S3: ``fila_origen``, the 0-based input position, if not supplied.
 
     For a file scan (any format) the position follows file name, then byte
@@ -102,7 +103,7 @@ def with_row_position(df: DataFrame, from_files: bool | None = None) -> DataFram
     scan tasks); rows are never sorted. A frame that is not a file scan is
     checkpointed first; its partitions then play the role of splits.
     """
-    if S.ROW_POSITION in df.columns:
+    if name in df.columns:
         return df
     cols = df.columns
     if from_files is None:
@@ -122,7 +123,7 @@ def with_row_position(df: DataFrame, from_files: bool | None = None) -> DataFram
         "_f", "_b", "_m0",
         (F.sum("_n").over(Window.orderBy("_f", "_b")) - F.col("_n")).alias("_off"))
     return (d.join(F.broadcast(offsets), ["_f", "_b"])
-             .select((F.col("_off") + F.col("_mid") - F.col("_m0")).alias(S.ROW_POSITION), *cols))
+             .select((F.col("_off") + F.col("_mid") - F.col("_m0")).alias(name), *cols))
 
 
 def _is_file_scan(df: DataFrame) -> bool:
