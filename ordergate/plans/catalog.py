@@ -576,7 +576,7 @@ def _refresh_outcome(spark, sf):
 @register("publish_staged")
 def _publish_staged(spark, sf):
     """The staged clean table, read back."""
-    return spark.read.parquet(scenario(spark, sf)["staged"]["clean"])
+    return spark.read.parquet(scenario(spark, sf)["staged"]["clean"]).drop("created_at", "updated_at")
 
 
 @register("publish_current")
@@ -584,7 +584,7 @@ def _publish_current(spark, sf):
     """The clean table the current pointer names (rows breaking a
     constraint were quarantined; the generated sync id is left out)."""
     from ordergate.plans.publish import load_current
-    return load_current(spark, scenario(spark, sf)["pub"]).drop("sync_id")
+    return load_current(spark, scenario(spark, sf)["pub"]).drop("sync_id", "created_at", "updated_at")
 
 
 @register("publish_expired")
