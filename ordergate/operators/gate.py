@@ -215,7 +215,13 @@ def run_gate(raw: DataFrame, hoy, checkpoint: bool = False,
     passing = v.where(F.col(VERDICT) == S.VERDICT_PASS)
     ret = F.coalesce(F.col("cantidad") < 0, F.lit(False))
     sales = passing.where(~ret)
-    n_rows, n_amounts = sales.agg(F.count(F.lit(1)), F.count("importe")).first()
+    stats = sales.agg(F.count(F.lit(1)).alias("n_rows"), F.count("importe").alias("n_amounts"))
+    if materialize:                 # the name map's size, in the same job
+        stats = stats.crossJoin(spell.agg(
+            F.count(F.lit(1)).alias("spell_rows"),
+            F.coalesce(F.sum(F.length("cliente")), F.lit(0)).alias("spell_chars")))
+    stats = stats.first()
+    n_rows, n_amounts = stats["n_rows"], stats["n_amounts"]
     if n_rows == 0:
         threshold = 0.0
     else:
@@ -225,7 +231,7 @@ def run_gate(raw: DataFrame, hoy, checkpoint: bool = False,
                if limit is not None else F.lit(False))
 
     names = name_map(spell).select("cliente", "canonico")
-    if materialize and _fits_broadcast(spell):
+    if materialize and _fits_broadcast(spell, stats["spell_rows"], stats["spell_chars"]):
         names = F.broadcast(names)      # size measured: no shuffle of the order lines
     marked = (passing.withColumn("es_devolucion", ret)
                      .withColumn("sospechoso", flagged)
@@ -250,16 +256,12 @@ def _bytes(text: str) -> int:
     return int(m.group(1)) * 1024 ** " kmgtp".index(m.group(2) or " ")
 
 
-def _fits_broadcast(spell: DataFrame) -> bool:
+def _fits_broadcast(spell: DataFrame, rows: int, chars: int) -> bool:
     """Measured size of the spelling -> name map against the session's
     broadcast threshold (text bytes of both names plus per-row overhead).
     Above it, the join stays a shuffle join and AQE handles a hot customer."""
     limit = _bytes(spell.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB"))
-    if limit <= 0:
-        return False
-    row = spell.agg(F.count(F.lit(1)).alias("n"),
-                    F.coalesce(F.sum(F.length("cliente")), F.lit(0)).alias("chars")).first()
-    return 2 * 4 * row["chars"] + 64 * row["n"] <= limit
+    return limit > 0 and 2 * 4 * chars + 64 * rows <= limit
 
 
 def limpiar(raw: DataFrame, hoy) -> tuple[DataFrame, list[dict]]:
