@@ -1,6 +1,7 @@
 """Column helpers: customer key, Unicode trim, dates, exact quantile."""
 
 import datetime as dt
+import math
 import random
 
 import numpy as np
@@ -77,3 +78,18 @@ def test_row_position_multi_file_csv(spark, tmp_path):
         assert pos.where(F.col("fila_origen") != F.col("k").cast("long")).count() == 0
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_python_float_text(spark):
+    """Doubles print as Python's repr in the plain range (raw landing text)."""
+    from ordergate.functions.numbers import python_float_text
+    rng = random.Random(11)
+    vals = [17.0, 5.5e7, 15317.169999999998, 0.0001, 1e-5, 1e16, -2.5e7, 123456789.125, 0.1 + 0.2,
+            9999999.0, 10000000.0, 0.0, -0.0, 0.001, 0.00012345, -1.5e-7, None, float("nan")]
+    vals += [rng.uniform(-1e9, 1e9) for _ in range(500)] + [round(rng.uniform(0, 1e8), 2) for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    for r in df.select("x", python_float_text(F.col("x")).alias("t")).collect():
+        if r.x is None or math.isnan(r.x):
+            assert r.t is None
+        elif abs(r.x) < 1e16:
+            assert r.t == repr(r.x), (r.x, r.t)
