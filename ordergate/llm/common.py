@@ -141,6 +141,25 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+SLOT_BITS = 24
+
+
+def bitmap(spark: SparkSession, hashes: DataFrame):
+    """Broadcast bitmap over the top SLOT_BITS bits of the column ``hash``: 2 MB for any number
+    of hashes. What it lets through must be joined exactly afterwards."""
+    slots = hashes.select(F.shiftrightunsigned("hash", 64 - SLOT_BITS).cast("int").alias("slot")).distinct()
+    marks = np.zeros(1 << SLOT_BITS, bool)
+    for batch in slots.toArrow().to_batches():
+        marks[batch.column(0).to_numpy()] = True
+    return spark.sparkContext.broadcast(np.packbits(marks))
+
+
+def marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of the uint64 hashes whose slot is set."""
+    slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    return np.flatnonzero(bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
+
+
 def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id is not in ``dropped`` (null ids stay)."""
     gone = dropped.select(F.col(id_col).alias("_gone")).where("_gone IS NOT NULL")
