@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordergate.llm import decontaminate, exact_dedup, ngram_join, packing, quality_crf
+from ordergate.llm import decontaminate, exact_dedup, html_wrapper, ngram_join, packing, quality_crf
 from ordergate.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ def op3_quality_crf(spark, sf_dir):
 @query
 def op8_ngram_join(spark, sf_dir):
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_html_wrapper(spark, sf_dir):
+    return html_wrapper.extract(table(spark, sf_dir, "pages"))
