@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordergate.llm import decontaminate, exact_dedup, html_wrapper, ngram_join, packing, quality_crf
+from ordergate.llm import (decontaminate, exact_dedup, html_wrapper, ngram_join, packing, quality_crf,
+                           warc_zstd)
 from ordergate.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +81,23 @@ def op8_ngram_join(spark, sf_dir):
 @query
 def op1_html_wrapper(spark, sf_dir):
     return html_wrapper.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_warc_zstd(spark, sf_dir):
+    return warc_zstd.archive_round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
+SQL["op5_warc_zstd"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+r AS (SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS hex,
+             max(page_id) OVER (PARTITION BY payload) AS keep FROM p),
+b AS (SELECT *, array_to_string(list_transform(string_split(hex, ''),
+                 lambda d: lpad(bin(instr('0123456789abcdef', d) - 1), 4, '0')), '') AS bits FROM r)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + list_sum(list_transform(range(5), lambda k: CAST(substr(bits, CAST(5 * i + k + 1 AS INT), 1) AS INT) * (16 >> k::INT)))::INT,
+           1)), '') AS payload_digest,
+       CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to
+FROM b"""
