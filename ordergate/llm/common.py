@@ -40,6 +40,15 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/ordergate-llm/{label}-{uuid.uuid4().hex}"
 
 
+def new_folder(spark: SparkSession, path: str) -> str:
+    """Create the folder; its full URI, as pyarrow's file systems in tasks take it."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(jpath)
+    uri = fs.makeQualified(jpath).toUri().toString()
+    return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def store(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: the
     lineage ends there, and a lost executor re-reads files."""

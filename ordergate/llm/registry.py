@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordergate.llm import (decontaminate, exact_dedup, html_wrapper, ngram_join, packing, quality_crf,
+from ordergate.llm import (decontaminate, exact_dedup, html_wrapper, ngram_join, packing, quality_crf, token_shards,
                            warc_zstd)
 from ordergate.llm.common import table
 
@@ -101,3 +101,8 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
        CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to
 FROM b"""
+
+
+@query
+def op6_token_shards(spark, sf_dir):
+    return token_shards.shard_round_trip(table(spark, sf_dir, "documents"))

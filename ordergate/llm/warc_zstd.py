@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordergate.llm.common import new_path, store
+from ordergate.llm.common import new_folder, new_path, store
 
 ARCHIVE_BYTES = 16 << 20
 DICTIONARY_BYTES = 64 << 10
@@ -203,9 +203,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         yield pa.RecordBatch.from_pydict({"archive": [m[0] for m in made], "records": [m[1] for m in made]},
                                          pa.schema([("archive", pa.string()), ("records", pa.int64())]))
 
-    spark = pages.sparkSession
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(jpath)
+    folder = new_folder(pages.sparkSession, folder)
     joined = (rows.join(copies, "digest", "left").sortWithinPartitions("page_id", "digest")
               .select("page_id", "url", "payload", "refers_to"))
     return store(joined.mapInArrow(run, "archive string, records bigint"), "manifest")
