@@ -320,7 +320,7 @@ def partial_wrappers(pages: DataFrame, url_col: str, html_col: str) -> DataFrame
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, state): one wrapper per host."""
-    def run(key, group: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         whole = Wrapper()
         for _, state in sorted(zip(group["part"].to_pylist(), group["state"].to_pylist())):
             whole.join(Wrapper(state))

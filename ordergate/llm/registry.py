@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordergate.llm import (decontaminate, exact_dedup, html_wrapper, ngram_join, packing, quality_crf, token_shards,
-                           warc_zstd)
+from ordergate.llm import (chat_hmm, decontaminate, exact_dedup, html_wrapper, ngram_join, packing, quality_crf,
+                           token_counts, token_shards, warc_zstd)
 from ordergate.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,16 @@ FROM b"""
 @query
 def op6_token_shards(spark, sf_dir):
     return token_shards.shard_round_trip(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_chat_hmm(spark, sf_dir):
+    """Raw transcripts made from all conversations; the model is counted on those whose id has an even crc32."""
+    raw = chat_hmm.raw_transcripts(table(spark, sf_dir, "conversations"))
+    model = chat_hmm.train(raw.where(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 2 == 0))
+    return chat_hmm.parse(raw.drop("role"), model)
