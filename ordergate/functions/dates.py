@@ -8,24 +8,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed value: the accepted text shapes of ``fecha`` (ISO date, optionally a
-# time with or without seconds and fraction, space or 'T' separated).
-# Anything else -- words, bare numbers, day-first dates -- is unreadable.
-DATE_TEXT_PATTERN = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$"
+# Fixed value: the text shapes of ``fecha`` that every source may use (ISO date,
+# optionally a time with or without seconds and fraction, space or 'T' separated, and
+# a zone, whose wall-clock time is kept). Other shapes are named per source.
+DATE_TEXT_PATTERN = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+_ZONE = r"(?<=\d{2}:\d{2}.{0,10})(Z|[+-]\d{2}:?\d{2})$"
 
 
-def parse_fecha(c: Column, dtype: T.DataType) -> Column:
+def parse_fecha(c: Column, dtype: T.DataType, formats: tuple[str, ...] = ()) -> Column:
     """``fecha`` as ``timestamp_ntz``; anything unreadable becomes NULL.
 
     Text is checked against :data:`DATE_TEXT_PATTERN` and then ``try_cast``,
-    so impossible dates (2025-02-30) are NULL as well. Never raises.
+    so impossible dates (2025-02-30) are NULL as well; what that does not read is
+    tried with the source's own ``formats`` (datetime patterns such as
+    ``dd/MM/yyyy``), in order. Never raises.
     """
     if isinstance(dtype, T.TimestampNTZType):
         return c
     if isinstance(dtype, (T.TimestampType, T.DateType)):
         return c.cast("timestamp_ntz")
     text = F.trim(c.cast("string"))
-    return F.when(text.rlike(DATE_TEXT_PATTERN), text.try_cast("timestamp_ntz"))
+    iso = F.when(text.rlike(DATE_TEXT_PATTERN), F.regexp_replace(text, _ZONE, "").try_cast("timestamp_ntz"))
+    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats])
 
 
 def as_date(value: str | dt.date | None) -> dt.date | None:

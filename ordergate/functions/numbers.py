@@ -28,8 +28,15 @@ def unreadable_number(c: Column, dtype: T.DataType) -> Column:
 
 def money(c: Column) -> Column:
     """Amount as ``decimal(18,2)``: sums are exact and independent of the
-    partitioning, so every run and every engine adds to the same cent."""
-    return c.cast(MONEY)
+    partitioning, so every run and every engine adds to the same cent. An
+    amount beyond that range (a typo like 1e300) is NULL and adds nothing; the
+    incident report counts it."""
+    return c.try_cast(MONEY)
+
+
+def beyond_money(c: Column) -> Column:
+    """True for an amount that no ``decimal(18,2)`` holds."""
+    return c.isNotNull() & money(c).isNull()
 
 
 def money_sum(c: Column) -> Column:

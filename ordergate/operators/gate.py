@@ -7,19 +7,17 @@ construction.
 
 Plan shape (per refresh):
   * spellings: ``groupBy(cliente)`` -> key UDF on *distinct* spellings ->
-    canonical name per key (tiny; AQE broadcasts it back);
-  * duplicates: ``groupBy(pedido_id).min(fila_origen)`` (map-side partial
+    canonical name per key, written, then joined back by its known size;
+  * duplicates: first row per repeated ``pedido_id`` (map-side partial
     aggregation, so a hot id costs one row per task) joined back on
     ``pedido_id`` with null-safe equality; AQE splits a hot id's partition;
-  * marks: the outlier threshold is an exact quantile found in bounded
-    rounds (see :mod:`ordergate.operators.quantile`) and enters the plan as a
-    literal.
+  * marks: the outlier threshold is an exact quantile found by narrowing
+    (see :mod:`ordergate.operators.quantile`) and enters the plan as a literal.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,7 +36,7 @@ VERDICT = "veredicto"
 # typing
 # --------------------------------------------------------------------------
 
-def prepare(raw: DataFrame) -> DataFrame:
+def prepare(raw: DataFrame, date_formats: tuple[str, ...] = ()) -> DataFrame:
     """Typed gate input: position, parsed ``fecha``, text as text, numbers as
     double (unreadable text and NaN -> NULL), plus ``_bad_number``."""
     check_columns(raw)
@@ -50,7 +48,7 @@ def prepare(raw: DataFrame) -> DataFrame:
     cols = [F.col(S.ROW_POSITION).cast("long").alias(S.ROW_POSITION)]
     for c in S.TEXT_COLUMNS:
         if c == "fecha":
-            cols.append(parse_fecha(F.col(c), types[c]).alias(c))
+            cols.append(parse_fecha(F.col(c), types[c], date_formats).alias(c))
         else:
             cols.append(F.col(c).cast("string").alias(c))
     cols += [to_number(F.col(c), types[c]).alias(c) for c in S.NUMBER_COLUMNS]
@@ -95,21 +93,28 @@ def spelling_counts(spell: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def flag_duplicates(typed: DataFrame) -> DataFrame:
-    """``_dup`` = an earlier row (by ``fila_origen``) has the same id.
-    NULL ids are one group, as in the reference."""
-    first = (typed.groupBy("pedido_id")
-                  .agg(F.min(S.ROW_POSITION).alias("_first"))
-                  .withColumnRenamed("pedido_id", "_id"))
-    # One row per distinct id on the right: as large as the data, so a
-    # shuffle (sort-merge) join -- the plan that holds at scale -- rather than
-    # a broadcast that only small inputs allow. The null-safe keys differ from
-    # the aggregate's grouping, so both join sides arrive as plain shuffle
-    # stages: that is the shape AQE's skew-join rule splits when one id (or
-    # the NULL-id group) holds a large share of the rows. Grouping by the
-    # join keys instead would save the shuffle of the small minima table but
-    # lose that split (tests/test_skew.py).
-    joined = typed.join(first.hint("merge"), typed["pedido_id"].eqNullSafe(first["_id"]), "left")
-    return joined.withColumn("_dup", F.col(S.ROW_POSITION) > F.col("_first")).drop("_id", "_first")
+    """``_dup`` = another row with the same id comes first. NULL ids are one
+    group, as in the reference.
+
+    Rows are ranked by position (NULL last), then content, then place in the
+    scan, so of rows that share a supplied position still only one stays. Only
+    repeated ids have a partner in the join: a small side when ids are mostly
+    unique, which Spark may broadcast by its runtime size; else a sort-merge join,
+    both of whose sides are plain shuffles, so that AQE splits a hot id (or the
+    NULL-id group).
+    """
+    content = F.xxhash64(*[F.col(c) for c in (*S.TEXT_COLUMNS, *S.NUMBER_COLUMNS)])
+    ranked = typed.withColumn("_rank", F.struct(F.coalesce(F.col(S.ROW_POSITION), F.lit(_LAST)).alias("at"),
+                                                content.alias("content"),
+                                                F.monotonically_increasing_id().alias("place")))
+    first = (ranked.groupBy("pedido_id").agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_n"))
+             .where(F.col("_n") > 1).select(F.col("pedido_id").alias("_id"), "_first"))
+    joined = ranked.join(first, ranked["pedido_id"].eqNullSafe(first["_id"]), "left")
+    return (joined.withColumn("_dup", F.coalesce(F.col("_rank") > F.col("_first"), F.lit(False)))
+            .drop("_id", "_first", "_rank"))
+
+
+_LAST = (1 << 63) - 1
 
 
 def _mismatch() -> Column:
@@ -133,10 +138,10 @@ def verdict_table(typed: DataFrame, hoy) -> DataFrame:
     return flag_duplicates(typed).withColumn(VERDICT, verdict_column(as_date(hoy)))
 
 
-def verdicts(raw: DataFrame, hoy) -> DataFrame:
+def verdicts(raw: DataFrame, hoy, date_formats: tuple[str, ...] = ()) -> DataFrame:
     """Every raw row with its verdict; nothing dropped, nothing renamed."""
     hoy = as_date(hoy)
-    v = verdict_table(prepare(raw), hoy)
+    v = verdict_table(prepare(raw, date_formats), hoy)
     keep = [S.ROW_POSITION, *S.TEXT_COLUMNS, *S.NUMBER_COLUMNS, VERDICT]
     return v.select(*keep)
 
@@ -154,39 +159,24 @@ class GateResult:
     threshold: float | None      # p99.9 of passing non-return amounts
     labelled: tuple = field(default_factory=tuple)   # blank-labelled columns
     spell: DataFrame | None = None                   # distinct spellings + key
+    names: DataFrame | None = None                   # spelling -> canonical name
 
     def release(self) -> None:
-        """Drop the materialised verdict and spelling tables (refresh done)."""
+        """Delete the materialised tables (refresh done)."""
         from ordergate.plans.storage import release
-        release(self.verdicts)
-        if self.spell is not None:
-            release(self.spell)
+        for df in (self.verdicts, self.spell, self.names):
+            if df is not None:
+                release(df)
 
     def incident_rows(self) -> list[tuple[int, str, int, str]]:
         """The report lines, fixed order, only counts > 0."""
-        c, hoy = self.counts, self.hoy.isoformat()
-        lines = [
-            (1, S.RULE_SPELLINGS, c["grafias"] - c["clientes"],
-             S.ACTION_SPELLINGS.format(antes=c["grafias"], despues=c["clientes"])),
-            (2, S.RULE_DUPLICATES, c["duplicados"], S.ACTION_DUPLICATES),
-            (3, S.RULE_BAD_DATE, c["fecha_ilegible"], S.ACTION_BAD_DATE),
-            (4, S.RULE_FUTURE, c["fecha_futura"], S.ACTION_FUTURE.format(hoy=hoy)),
-            (5, S.RULE_MISMATCH, c["no_cuadra"], S.ACTION_MISMATCH),
-            (6, S.RULE_ZERO, c["importe_cero"], S.ACTION_ZERO),
-            (7, S.RULE_RETURNS, c["devoluciones"], S.ACTION_RETURNS),
-            (8, S.RULE_FLAGGED, c["senalados"], S.ACTION_FLAGGED),
-        ]
-        for i, col in enumerate(S.BLANK_LABEL_COLUMNS):
-            if col in self.labelled:
-                lines.append((9 + i, S.RULE_BLANKS.format(columna=col),
-                              c[f"huecos_{col}"], S.ACTION_BLANKS))
-        lines.append((12, S.RULE_BAD_NUMBER, c["numero_ilegible"], S.ACTION_BAD_NUMBER))
-        return [ln for ln in lines if ln[2] > 0]
-
-
-def run_gate(raw: DataFrame, hoy, checkpoint: bool = False,
-             eager_counts: bool = True, materialize: bool = False) -> GateResult:
-    """G11 ``limpiar``: clean table + counts. Pure: the input is not touched.
+        from ordergate.operators.report import incidents
+        return sorted(tuple(r) for r in incidents(self).collect())
+
+
+def run_gate(raw: DataFrame, hoy, eager_counts: bool = True, materialize: bool = False,
+             date_formats: tuple[str, ...] = ()) -> GateResult:
+    """Clean table + counts. Pure: the input is not touched.
 
     The outlier threshold is the only value needed before the clean plan can
     be built. ``eager_counts`` also reads the report counts (one aggregate
@@ -196,11 +186,10 @@ def run_gate(raw: DataFrame, hoy, checkpoint: bool = False,
     table and the small spelling table once as Parquet in the shared
     checkpoint folder; the threshold, the counts and the clean write then
     scan those files instead of recomputing the joins and the customer-key
-    UDF, and a lost executor does not replay the lineage. ``checkpoint=True``
-    does the same with ``DataFrame.checkpoint`` (row-serialised, slower).
+    UDF, and a lost executor does not replay the lineage.
     """
     hoy = as_date(hoy)
-    typed = prepare(raw)
+    typed = prepare(raw, date_formats)
     labelled = tuple(c for c in S.BLANK_LABEL_COLUMNS if c in raw.columns)
     v = verdict_table(typed, hoy)
     if materialize:
@@ -208,31 +197,23 @@ def run_gate(raw: DataFrame, hoy, checkpoint: bool = False,
         v = write_back(v, "verdicts")
         spell = write_back(spellings(v.select("cliente")), "spellings")
     else:
-        if checkpoint:
-            v = v.checkpoint(eager=True)
         spell = spellings(typed)
 
     passing = v.where(F.col(VERDICT) == S.VERDICT_PASS)
     ret = F.coalesce(F.col("cantidad") < 0, F.lit(False))
     sales = passing.where(~ret)
-    stats = sales.agg(F.count(F.lit(1)).alias("n_rows"), F.count("importe").alias("n_amounts"))
-    if materialize:                 # the name map's size, in the same job
-        stats = stats.crossJoin(spell.agg(
-            F.count(F.lit(1)).alias("spell_rows"),
-            F.coalesce(F.sum(F.length("cliente")), F.lit(0)).alias("spell_chars")))
-    stats = stats.first()
-    n_rows, n_amounts = stats["n_rows"], stats["n_amounts"]
-    if n_rows == 0:
+    threshold = exact_quantile(sales, "importe", S.OUTLIER_QUANTILE)
+    if threshold is None and sales.isEmpty():
         threshold = 0.0
-    else:
-        threshold = exact_quantile(sales, "importe", S.OUTLIER_QUANTILE, n=n_amounts)
     limit = None if threshold is None else threshold * S.OUTLIER_FACTOR
     flagged = (~ret & F.coalesce(F.col("importe") > F.lit(limit), F.lit(False))
                if limit is not None else F.lit(False))
 
     names = name_map(spell).select("cliente", "canonico")
-    if materialize and _fits_broadcast(spell, stats["spell_rows"], stats["spell_chars"]):
-        names = F.broadcast(names)      # size measured: no shuffle of the order lines
+    if materialize:
+        # Written, so its size is known: Spark broadcasts it below the session's
+        # threshold, and shuffles (splitting a hot customer) beyond.
+        names = write_back(names, "names")
     marked = (passing.withColumn("es_devolucion", ret)
                      .withColumn("sospechoso", flagged)
                      .join(names, "cliente", "left")
@@ -241,30 +222,8 @@ def run_gate(raw: DataFrame, hoy, checkpoint: bool = False,
     clean = marked.na.fill(fill) if fill else marked
     clean = clean.select(*[f.name for f in S.CLEAN_SCHEMA.fields])
     res = GateResult(hoy=hoy, verdicts=v, clean=clean, counts={},
-                     threshold=threshold, labelled=labelled, spell=spell)
+                     threshold=threshold, labelled=labelled, spell=spell, names=names)
     if eager_counts:
         from ordergate.operators.report import count_row
         res.counts = count_row(res).first().asDict()
     return res
-
-
-def _bytes(text: str) -> int:
-    """A Spark size setting ('10485760b', '10MB', '-1') in bytes."""
-    m = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)i?b?\s*", text.lower())
-    if not m:
-        return -1
-    return int(m.group(1)) * 1024 ** " kmgtp".index(m.group(2) or " ")
-
-
-def _fits_broadcast(spell: DataFrame, rows: int, chars: int) -> bool:
-    """Measured size of the spelling -> name map against the session's
-    broadcast threshold (text bytes of both names plus per-row overhead).
-    Above it, the join stays a shuffle join and AQE handles a hot customer."""
-    limit = _bytes(spell.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB"))
-    return limit > 0 and 2 * 4 * chars + 64 * rows <= limit
-
-
-def limpiar(raw: DataFrame, hoy) -> tuple[DataFrame, list[dict]]:
-    """The reference's entry point: (clean table, incident list)."""
-    res = run_gate(raw, hoy)
-    return res.clean, [dict(regla=r, filas=n, accion=a) for _, r, n, a in res.incident_rows()]

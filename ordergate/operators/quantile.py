@@ -1,100 +1,65 @@
-"""Exact linear-interpolated quantile that scales past one task's memory.
+"""Exact linear-interpolated quantile without sorting or gathering values.
 
-Spark's exact ``percentile`` keeps every distinct value of a group in one
-buffer; for one global group that is one task holding all distinct amounts.
-Here the exact answer is found in rounds:
-
-1. one distributed pass: count, plus ``percentile_approx`` around the target
-   ranks (a bracket whose rank error is bounded by the sketch accuracy);
-2. one pass counting rows below / inside the bracket, which proves the
-   bracket holds both target order statistics (else it is widened);
-3. once the bracket holds at most ``collect_limit`` rows, their
-   ``(value, count)`` pairs -- a proven-small set -- are read and the two
-   order statistics are picked exactly.
-
-At small n round 1 already leaves a bracket of a few hundred values.
+The value at a rank is found by narrowing: the current value range is cut into
+BUCKETS equal parts, one aggregate counts each part and takes its smallest and
+largest value, and the part that holds the rank becomes the next range. It ends
+when that part holds one distinct value, whatever the number of rows. Every
+round moves at most BUCKETS rows per task, and BUCKETS rows reach the driver.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SKETCH_ACCURACY = 10_000
-COLLECT_LIMIT = 200_000
-# Below this many values Spark's exact ``percentile`` (whose buffer holds at
-# most this many distinct values in one task) answers in a single job.
-DIRECT_LIMIT = 2_000_000
+BUCKETS = 4096
+_MAX = sys.float_info.max
 
 
-def _order_statistics(df: DataFrame, x: str, lo, hi, ranks: list[int]) -> list[float]:
-    """Values at 0-based ``ranks`` within the rows ``lo <= x <= hi``."""
-    cond = F.col(x).isNotNull()
-    if lo is not None:
-        cond &= F.col(x) >= F.lit(lo)
-    if hi is not None:
-        cond &= F.col(x) <= F.lit(hi)
-    pairs = (df.where(cond).groupBy(x).agg(F.count(F.lit(1)).alias("n"))
-               .orderBy(x).collect())
-    out, seen, it = [], 0, iter(pairs)
-    cur = next(it)
-    for r in sorted(ranks):
-        while seen + cur["n"] <= r:
-            seen += cur["n"]
-            cur = next(it)
-        out.append(float(cur[x]))
-    return out
+def _at_rank(d: DataFrame, rank: int, lo: float, hi: float) -> tuple[float, int, float | None]:
+    """(value at the 0-based ``rank``, number of values up to and including its last
+    equal, next larger value seen in the last range) of column ``x`` in [lo, hi]."""
+    before, n, following = 0, 0, None
+    while lo < hi:
+        span = hi / 2 - lo / 2             # halves: the full range may overflow
+        share = (F.col("x") / 2 - F.lit(lo / 2)) / F.lit(span) if span else (F.col("x") > F.lit(lo)).cast("double")
+        bucket = F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1))
+        parts = (d.where(F.col("x").between(F.lit(lo), F.lit(hi))).groupBy(bucket.alias("b"))
+                 .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("b").collect())
+        i = 0
+        while before + parts[i]["n"] <= rank:
+            before += parts[i]["n"]
+            i += 1
+        part = parts[i]
+        if i + 1 < len(parts):
+            following = parts[i + 1]["lo"]   # ranges only shrink: the nearest one stays
+        lo, hi, n = part["lo"], part["hi"], part["n"]
+    return lo, before + n, following
 
 
-def exact_quantile(df: DataFrame, x: str, p: float, n: int | None = None,
-                   collect_limit: int = COLLECT_LIMIT,
-                   direct_limit: int = DIRECT_LIMIT) -> float | None:
+def exact_quantile(df: DataFrame, x: str, p: float) -> float | None:
     """Linear-interpolated ``p`` quantile of non-null ``x`` (NULL if none).
 
     Same definition as pandas ``Series.quantile`` and DuckDB
     ``quantile_cont``: h = (n-1)p, interpolate between ranks floor(h), ceil(h).
     """
-    d = df.select(F.col(x).cast("double").alias(x)).where(F.col(x).isNotNull())
-    n = d.count() if n is None else n
+    value = F.col(x).cast("double")
+    d = df.where(value.isNotNull()).select(F.greatest(F.least(value, F.lit(_MAX)), F.lit(-_MAX)).alias("x"))
+    stats = d.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    n, lo, hi = stats["n"], stats["lo"], stats["hi"]
     if n == 0:
         return None
-    if n <= direct_limit:
-        return float(d.agg(F.percentile(x, p).alias("q")).first()["q"])
+    if lo == hi:
+        return float(lo)
     h = (n - 1) * p
-    r0, r1 = math.floor(h), math.ceil(h)
-    lo = hi = None
-    below, inside = 0, n
-    delta = 4.0 / SKETCH_ACCURACY
-    while inside > collect_limit:
-        sub = d
-        if lo is not None:
-            sub = sub.where(F.col(x) >= F.lit(lo))
-        if hi is not None:
-            sub = sub.where(F.col(x) <= F.lit(hi))
-        q0 = (r0 - below) / max(inside - 1, 1)
-        q1 = (r1 - below) / max(inside - 1, 1)
-        qs = [max(0.0, q0 - delta), min(1.0, q1 + delta)]
-        new_lo, new_hi = sub.agg(
-            F.percentile_approx(x, qs, SKETCH_ACCURACY).alias("b")).first()["b"]
-        row = d.agg(
-            F.count_if(F.col(x) < F.lit(new_lo)).alias("below"),
-            F.count_if((F.col(x) >= F.lit(new_lo)) & (F.col(x) <= F.lit(new_hi))).alias("inside"),
-        ).first()
-        if row["below"] <= r0 and row["below"] + row["inside"] > r1:
-            if row["inside"] >= inside:      # no progress: the bracket is one value run
-                lo, hi, below, inside = new_lo, new_hi, row["below"], row["inside"]
-                break
-            lo, hi, below, inside = new_lo, new_hi, row["below"], row["inside"]
-        else:
-            delta *= 4                        # sketch missed: widen and retry
-            if delta >= 1:
-                break
-    if inside > collect_limit:
-        if lo is not None and lo == hi:
-            return float(lo)                  # every target rank holds the same value
-        # Last resort (the sketch never narrowed): Spark's exact aggregate.
-        return d.agg(F.percentile(x, p).alias("q")).first()["q"]
-    v0, v1 = _order_statistics(d, x, lo, hi, [r0 - below, r1 - below])
-    return v0 + (h - r0) * (v1 - v0)
+    r0 = math.floor(h)
+    v0, upto, following = _at_rank(d, r0, lo, hi)
+    if h == r0 or upto > r0 + 1:           # both ranks hold the same value
+        return float(v0)
+    v1 = following
+    if v1 is None:                          # the next value lies beyond the last range
+        v1 = d.where(F.col("x") > F.lit(v0)).agg(F.min("x")).first()[0]
+    return float(v0 + (h - r0) * (v1 - v0))

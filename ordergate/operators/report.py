@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordergate import schema as S
-from ordergate.functions import money_sum, whole_even
+from ordergate.functions import beyond_money, money_sum, whole_even
 from ordergate.operators.gate import VERDICT, GateResult, spelling_counts, spellings
 
 
@@ -38,6 +38,7 @@ def count_row(res: GateResult) -> DataFrame:
         F.count_if(passing & ret).alias("devoluciones"),
         F.count_if(flagged).alias("senalados"),
         F.count_if(F.col("_bad_number")).alias("numero_ilegible"),
+        F.count_if(beyond_money(F.col("importe"))).alias("fuera_de_rango"),
         *[F.count_if(passing & F.col(c).isNull()).alias(f"huecos_{c}")
           for c in S.BLANK_LABEL_COLUMNS],
     ]
@@ -68,6 +69,7 @@ def incidents(res: GateResult) -> DataFrame:
             lines.append((9 + i, S.RULE_BLANKS.format(columna=col), f"huecos_{col}",
                           _sql_text(S.ACTION_BLANKS)))
     lines.append((12, S.RULE_BAD_NUMBER, "numero_ilegible", _sql_text(S.ACTION_BAD_NUMBER)))
+    lines.append((13, S.RULE_BEYOND, "fuera_de_rango", _sql_text(S.ACTION_BEYOND)))
     body = ", ".join(f"{o}, {_sql_text(r)}, cast({n} as bigint), {a}" for o, r, n, a in lines)
     return (count_row(res)
             .select(F.expr(f"stack({len(lines)}, {body}) as (orden, regla, filas, accion)"))

@@ -1,8 +1,7 @@
-"""Storage layout helpers: range-sorted writes and global positions.
+"""Storage layout helpers: range-sorted writes and tables in the shared folder.
 
 The clean table is written range-partitioned and sorted on ``fecha`` (G16),
-so Parquet min/max statistics let date filters skip whole row groups and a
-global position needs no single-task sort.
+so Parquet min/max statistics let date filters skip whole row groups.
 """
 
 from __future__ import annotations
@@ -18,15 +17,9 @@ def sorted_for_storage(df: DataFrame, keys: list[str], partitions: int | None =
 
 def ordered_position(df: DataFrame, keys: list) -> DataFrame:
     """0-based position ``posicion`` of each row in ``keys`` order, without a
-    one-task sort.
-
-    ``orderBy`` range-partitions and sorts in parallel and the write names its
-    part files in range order; reading them back, a row's position is the
-    row count of the earlier files/splits (a table with one row per split,
-    broadcast) plus its index within its split. Written once as Parquet in the
-    shared folder, so later reads and a lost executor see the same files. The
-    keys must be unique for ties not to move rows.
-    """
+    one-task sort: ``orderBy`` range-partitions and sorts in parallel, the part
+    files are numbered in that order, and positions follow from them. The keys
+    must be unique for ties not to move rows."""
     from ordergate.sources.sheet import with_row_position
     cols = df.columns
     ordered = materialize(df.orderBy(*keys), "ordered")
@@ -46,19 +39,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = work_dir(df.sparkSession, "materialized", f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     out = df.sparkSession.read.parquet(path)
-    MATERIALIZED[id(out)] = path
+    out._ordergate_folder = path       # owned by this frame, for release()
     return out
 
 
-# DataFrame id -> the folder backing it, so its owner can release it.
-MATERIALIZED: dict[int, str] = {}
-
-
 def release(df: DataFrame) -> None:
     """Delete the folder behind a materialised frame (after its last use)."""
-    path = MATERIALIZED.pop(id(df), None)
+    path = getattr(df, "_ordergate_folder", None)
     if path:
         from ordergate.sources.sheet import _fs
         fs, jpath = _fs(df.sparkSession, path)
-        if fs.exists(jpath):
-            fs.delete(jpath, True)
+        fs.delete(jpath, True)
+        df._ordergate_folder = None

@@ -127,12 +127,15 @@ STATE_SCHEMA = T.StructType([
     T.StructField("filas_limpias", T.LongType()),
     T.StructField("hoy", T.DateType()),
     T.StructField("fechas_futuras", T.LongType()),
+    T.StructField("origen_dato", T.StringType()),       # source, cache or reference
+    T.StructField("dato_de", T.TimestampType()),        # when that copy of the data was read from its source
+    T.StructField("aviso", T.StringType()),
+    T.StructField("fact_limpio", T.LongType()),
     T.StructField("updated_at", T.TimestampType()),
 ])
 
-RUN_STATES = ("running", "ok", "unchanged", "error")
-RUN_ORIGINS = ("github_actions", "apps_script", "manual", "docker")
 DATASET_KEY = "ventas"
+STATE_ERROR_CHARS = 2000      # fixed value: the state keeps this much of an error; the run log keeps all
 
 # --- fixed values: texts of the data contract (must match byte for byte) ----
 
@@ -167,6 +170,10 @@ ACTION_BLANKS = "etiquetados «(sin informar)» — se ven en el gráfico"
 # column, so the null pass-through is visible.
 RULE_BAD_NUMBER = "Número ilegible"
 ACTION_BAD_NUMBER = "convertido a vacío: la fila sigue su curso y lo cuenta esta línea"
+RULE_BEYOND = "Importe fuera de rango"
+ACTION_BEYOND = "no suma en ningún total: ningún importe real tiene tantas cifras"
+RULE_QUARANTINE = "Cuarentena: {restriccion}"
+ACTION_QUARANTINE = "apartadas: pasan la puerta pero no se pueden publicar"
 
 # --- fixed values: thresholds of the rules ----------------------------------
 
@@ -192,7 +199,6 @@ RANKING_SIZE = {name: size for name, _, size in RANKINGS}
 PAGE_DEFAULT = 25
 PAGE_MAX = 200
 MARKS = ("senalados", "devoluciones", "sin_senalados")
-ORDERS = ("fecha", "registro")
 
 # Staging retention for the publish step.
 RETENTION_DAYS = 7

@@ -37,13 +37,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting points at shared storage and is used as is.
-    Only when it is unset (local runs, tests) a private folder is created,
-    once per application.
+    On a cluster the setting points at shared storage and is used as is; unset
+    is an error there, since each executor would write to its own disk. Only a
+    local master (tests) gets a private folder, once per application.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _LOCAL_DIRS.get(sc.applicationId)
         if base is None:
             base = _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="ordergate-")

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,37 +48,112 @@ def list_dir(spark: SparkSession, path: str) -> list[str]:
     return sorted(st.getPath().getName() for st in fs.listStatus(jpath))
 
 
+CURRENT_COPY = "_CURRENT"    # names the live version of a cached sheet
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, or None if it is not there."""
+    fs, jpath = _fs(spark, path)
+    if not fs.exists(jpath):
+        return None
+    stream = fs.open(jpath)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str, replace: bool) -> None:
+    """A small file, whole or not at all: written under another name, then
+    renamed; without ``replace`` the rename fails if the name is taken."""
+    import uuid
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs, target = _fs(spark, path)
+    folder = target.getParent()
+    fs.mkdirs(folder)
+    temporary = jvm.org.apache.hadoop.fs.Path(folder, f"_tmp-{uuid.uuid4().hex}")
+    out = fs.create(temporary, False)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1 if replace else 0)
+    if replace:
+        options[0] = rename.OVERWRITE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else fs.getUri(), conf) \
+            .rename(fs.makeQualified(temporary), fs.makeQualified(target), options)
+    except Exception:
+        fs.delete(temporary, False)
+        raise
+
+
 def resolve_tab(spark: SparkSession, path: str) -> str:
-    """A folder of tabs resolves to ``Pedidos`` if present, else the first tab.
+    """A folder of tabs resolves to ``Pedidos``, or to its only tab.
 
-    A folder that already holds data files (``part-*``) is one tab itself.
+    A folder that holds data files or partition folders (``name=value``) is
+    one tab itself; a cached sheet resolves to its current copy. Several tabs
+    without ``Pedidos`` are an error: reading one of them would lose the others.
     """
+    base = path.rstrip("/")
+    copy = read_text(spark, f"{base}/{CURRENT_COPY}")
+    if copy:
+        return f"{base}/{copy.strip()}"
     names = [n for n in list_dir(spark, path) if not n.startswith(("_", "."))]
-    if not names or any(n.startswith("part-") or "." in n for n in names):
-        if not names and not path_exists(spark, path):
-            raise NoSource(f"The sheet has no tab: {path}")
+    if not names and not path_exists(spark, path):
+        raise NoSource(f"The sheet has no tab: {path}")
+    if not names:
+        return path
+    preferred = [n for n in names if _tab_name(n) == PREFERRED_TAB]
+    if len(preferred) == 1:
+        return f"{base}/{preferred[0]}"
+    tabs = [n for n in names if "=" not in n and is_folder(spark, f"{base}/{n}")]
+    if len(tabs) < len(names) and not preferred:
         return path
-    tab = next((n for n in names if n.split(".")[0] == PREFERRED_TAB), names[0])
-    return f"{path.rstrip('/')}/{tab}"
+    if len(names) > 1:
+        raise NoSource(f"No single tab {PREFERRED_TAB!r} in {path}: {names}")
+    return f"{base}/{tabs[0]}"
+
+
+def _tab_name(name: str) -> str:
+    return name.split(".")[0]
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, jpath = _fs(spark, path)
+    return fs.exists(jpath) and bool(fs.getFileStatus(jpath).isDirectory())
 
 
-def read_orders(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Read the sheet. CSV/JSON are read with an all-text schema built
-    from the header; Parquet keeps its types (the gate types columns itself)."""
-    path = resolve_tab(spark, path)
+CSV_OPTIONS = {"header": "true", "escape": '"', "enforceSchema": "false"}
+
+
+def read_orders(spark: SparkSession, path: str | list[str], fmt: str = "parquet") -> DataFrame:
+    """Read the sheet. CSV/JSON cells are read as text; Parquet keeps its
+    types (the gate types columns itself).
+
+    Every CSV file's header must name the same columns in the same order, else
+    reading fails instead of putting cells under other names. JSON names its
+    cells row by row, so finding all names takes a pass over the data.
+    A list of paths is one sheet in several files.
+    """
+    if isinstance(path, str):
+        path = resolve_tab(spark, path)
     if fmt == "parquet":
-        return spark.read.parquet(path)
+        return spark.read.parquet(*([path] if isinstance(path, str) else path))
     if fmt == "csv":
-        header = spark.read.option("header", "true").csv(path).columns
-        all_text = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        return spark.read.option("header", "true").schema(all_text).csv(path)
+        header = spark.read.options(**CSV_OPTIONS).csv(path).columns
+        return spark.read.options(**CSV_OPTIONS).schema(_all_text(header)).csv(path)
     if fmt == "json":
-        names = spark.read.json(path).columns
-        all_text = T.StructType([T.StructField(c, T.StringType()) for c in names])
-        return spark.read.schema(all_text).json(path)
+        names = spark.read.option("primitivesAsString", "true").json(path).columns
+        return spark.read.schema(_all_text(names)).json(path)
     raise ValueError(f"unknown format {fmt!r}")
 
 
+def _all_text(names) -> T.StructType:
+    return T.StructType([T.StructField(c, T.StringType()) for c in names])
+
+
 def check_columns(df: DataFrame) -> None:
     """The 7 required columns must be present (driver-side, no job)."""
     missing = sorted(set(S.REQUIRED_COLUMNS) - set(df.columns))
@@ -96,41 +173,62 @@ def with_row_position(df: DataFrame, from_files: bool | None = None,
                       name: str = S.ROW_POSITION) -> DataFrame:
     """S3: ``fila_origen``, the 0-based input position, if not supplied.
 
-    For a file scan (any format) the position follows file name, then byte
-    offset of the split, then order within the split: rows of earlier
-    (file, split) pairs plus the row's index inside its split. Only a count
-    table with one row per split is broadcast (bounded by the number of
-    scan tasks); rows are never sorted. A frame that is not a file scan is
-    checkpointed first; its partitions then play the role of splits.
+    Position = rows of earlier files + row index within the file, for Parquet
+    (``_metadata.row_index``); for other files earlier (file, split) pairs and the
+    order within the split. Files follow each other by name, digits by value
+    (part 100000 comes after part 99999). The offsets table, one row per
+    file or split, is written to the shared folder, so the join knows its size
+    and broadcasts it only within the session's threshold. A frame that is not
+    a file scan is written there first.
     """
     if name in df.columns:
         return df
     cols = df.columns
     if from_files is None:
         from_files = _is_file_scan(df)
-    d = df.withColumn("_mid", F.monotonically_increasing_id())
-    if from_files:
-        d = d.withColumn("_f", F.col("_metadata.file_path")).withColumn(
-            "_b", F.col("_metadata.file_block_start"))
+    from ordergate.plans.storage import materialize
+    if not from_files:
+        # Fixes the rows' order: a retried task after a shuffle may see its rows
+        # in another one, which would move positions.
+        df = materialize(df, "unpositioned")
+    d = df.withColumn("_f", F.col("_metadata.file_path"))
+    if _has_row_index(df):
+        d = d.withColumn("_i", F.col("_metadata.row_index"))
+        splits = d.groupBy("_f").agg((F.max("_i") + 1).alias("_n")).withColumn("_b", F.lit(0).cast("long"))
+        keys = ["_f"]
+        index = F.col("_i")
     else:
-        # Fix partitions and their row order first (reliable checkpoint in the
-        # shared folder): a retried task after a shuffle may see its rows in
-        # another order, which would move positions.
-        d = (df.checkpoint(eager=True).withColumn("_mid", F.monotonically_increasing_id())
-               .withColumn("_f", F.lit("")).withColumn("_b", F.spark_partition_id().cast("long")))
-    splits = d.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
-    offsets = splits.select(
-        "_f", "_b", "_m0",
-        (F.sum("_n").over(Window.orderBy("_f", "_b")) - F.col("_n")).alias("_off"))
-    return (d.join(F.broadcast(offsets), ["_f", "_b"])
-             .select((F.col("_off") + F.col("_mid") - F.col("_m0")).alias(name), *cols))
+        d = d.withColumn("_b", F.col("_metadata.file_block_start")).withColumn("_mid", F.monotonically_increasing_id())
+        splits = d.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
+        keys = ["_f", "_b"]
+        index = F.col("_mid") - F.col("_m0")
+    w = Window.orderBy(natural_order(F.col("_f")), "_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    if keys == ["_f"]:
+        offsets = offsets.drop("_b")
+    return d.join(materialize(offsets, "offsets"), keys).select((F.col("_off") + index).alias(name), *cols)
+
+
+def natural_order(c):
+    """Text whose order compares runs of digits by value."""
+    pieces = F.split(c, r"(?<=\d)(?=\D)|(?<=\D)(?=\d)")
+    return F.array_join(F.transform(pieces, lambda p: F.when(
+        p.rlike(r"^\d+$"), F.lpad(p, F.greatest(F.lit(20), F.length(p)), F.lit("0"))).otherwise(p)), "")
+
+
+def _has_row_index(df: DataFrame) -> bool:
+    try:
+        df.select("_metadata.row_index").schema
+        return True
+    except AnalysisException:
+        return False
 
 
 def _is_file_scan(df: DataFrame) -> bool:
     try:
         df.select("_metadata.file_block_start").schema
         return True
-    except Exception:
+    except AnalysisException:
         return False
 
 
@@ -145,8 +243,9 @@ def conform(df: DataFrame) -> DataFrame:
 @dataclass
 class Source:
     origen: str          # 'source', 'cache' or 'reference'
-    path: str
+    path: str | list[str]
     fmt: str = "parquet"
+    date_formats: tuple[str, ...] = ()   # how its text dates look, besides ISO ('dd/MM/yyyy', ...)
 
 
 @dataclass
@@ -154,7 +253,7 @@ class Fetched:
     df: DataFrame
     origen: str
     aviso: str | None
-    path: str
+    path: str | list[str]
     fmt: str = "parquet"
 
 
@@ -168,8 +267,8 @@ def first_available(spark: SparkSession, candidates: list[Source]) -> Fetched:
         try:
             df = read_orders(spark, cand.path, cand.fmt)
             check_columns(df)
-        except Exception as exc:  # unreadable, missing, wrong columns
-            reasons.append(f"{cand.origen}: {type(exc).__name__}: {str(exc)[:200]}")
+        except (NoSource, MissingColumns, AnalysisException, Py4JJavaError) as exc:  # missing, wrong columns, unreadable
+            reasons.append(f"{cand.origen}: {type(exc).__name__}: {exc}")
             continue
         aviso = None
         if i > 0:
@@ -183,6 +282,21 @@ def with_origin(fetched: Fetched) -> DataFrame:
     return fetched.df.withColumn("origen", F.lit(fetched.origen))
 
 
-def cache_snapshot(df: DataFrame, cache_path: str) -> None:
-    """Keep the last good source as Parquet, replacing the previous copy."""
-    df.write.mode("overwrite").parquet(cache_path)
+def cache_snapshot(df: DataFrame, cache_path: str, version: str) -> DataFrame:
+    """Write ``df``, positions included, as a new copy of the cached sheet
+    and read it back. Readers see it once :func:`switch_cache` names it."""
+    spark, path = df.sparkSession, f"{cache_path.rstrip('/')}/{version}"
+    with_row_position(df).write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
+
+
+def switch_cache(spark: SparkSession, cache_path: str, version: str) -> None:
+    """Make a written copy the cached sheet, in one rename; the copies before
+    the last one go."""
+    base = cache_path.rstrip("/")
+    before = (read_text(spark, f"{base}/{CURRENT_COPY}") or "").strip()
+    write_text(spark, f"{base}/{CURRENT_COPY}", version, replace=True)
+    for name in list_dir(spark, base):
+        if not name.startswith(("_", ".")) and name not in (version, before):
+            fs, jpath = _fs(spark, f"{base}/{name}")
+            fs.delete(jpath, True)

@@ -40,14 +40,22 @@ def test_parse_fecha(spark):
                    None, None, None, None, None]
 
 
-@pytest.mark.parametrize("limit,direct", [(10, 0), (1_000_000, 0), (10, 10**9)])
-def test_exact_quantile_matches_numpy(spark, limit, direct):
+@pytest.mark.parametrize("buckets", [2, 64, 4096])
+@pytest.mark.parametrize("p", [0.0, 0.5, 0.999, 1.0])
+def test_exact_quantile_matches_numpy(spark, monkeypatch, buckets, p):
+    from ordergate.operators import quantile
+    monkeypatch.setattr(quantile, "BUCKETS", buckets)
     rng = random.Random(7)
-    vals = [round(rng.lognormvariate(8, 1.5), 2) for _ in range(20_000)] + [5.0] * 300 + [None] * 10
-    df = spark.createDataFrame([(v,) for v in vals], "x double").repartition(7)
-    want = float(np.quantile([v for v in vals if v is not None], 0.999))
-    got = exact_quantile(df, "x", 0.999, collect_limit=limit, direct_limit=direct)
-    assert got == pytest.approx(want, rel=1e-12)
+    # Heavy tails, one value in many copies, a typo, nulls.
+    vals = [round(rng.lognormvariate(8, 1.5), 2) for _ in range(2_000)] + [5.0] * 300 + [1e300, -3.25] + [None] * 10
+    df = spark.createDataFrame([(v,) for v in vals], "x double").repartition(7).cache()
+    want = float(np.quantile([v for v in vals if v is not None], p))
+    assert exact_quantile(df, "x", p) == pytest.approx(want, rel=1e-12)
+
+
+def test_exact_quantile_of_few_distinct_values(spark):
+    df = spark.range(40_000).select((F.col("id") % 3).cast("double").alias("x"))
+    assert [exact_quantile(df, "x", p) for p in (0.0, 0.3, 0.5, 0.999)] == [0.0, 0.0, 1.0, 2.0]
 
 
 def test_exact_quantile_empty_and_single(spark):

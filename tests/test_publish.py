@@ -98,7 +98,79 @@ def test_retention(spark, sheet, root):
     src = [Source("source", sheet)]
     refresh(spark, src, root, TESTDATA_TODAY, quarantine=True)
     refresh(spark, src, root, TESTDATA_TODAY, forzar=True, quarantine=True)
+    # Written long ago but replaced just now: its readers may still be at work.
+    soon = dt.datetime.now(dt.timezone.utc) + dt.timedelta(hours=1)
+    assert PB.expired_versions(spark, root, soon) == []
     later = dt.datetime.now(dt.timezone.utc) + dt.timedelta(days=8)
     gone = PB.apply_retention(spark, root, later)
     assert len(gone) == 2                   # raw + clean of the first run; current kept
     assert PB.load_current(spark, root).count() > 0
+
+
+@pytest.mark.parametrize("step", ["apply_retention", "append_run", "write_state", "switch_cache"])
+def test_failures_after_the_pointer_lose_nothing(spark, sheet, root, monkeypatch, step):
+    """What fails after the commit is a warning; readers get the new version in full."""
+    from ordergate.plans import refresh as RF
+    src = [Source("source", sheet)]
+    first = refresh(spark, src, root, TESTDATA_TODAY, quarantine=True)
+    published = {"yes": False}
+    pointer = PB.publish_pointer
+
+    def commit(*a, **k):
+        out = pointer(*a, **k)
+        published["yes"] = True
+        return out
+    monkeypatch.setattr(PB, "publish_pointer", commit)
+    where = RF if step == "switch_cache" else PB
+    real = getattr(where, step)
+
+    def broken(*a, **k):
+        if published["yes"]:
+            raise OSError("disk gone")
+        return real(*a, **k)
+    monkeypatch.setattr(where, step, broken)
+    second = refresh(spark, src, root, TESTDATA_TODAY, forzar=True, quarantine=True)
+    assert second.estado == "ok" and any("disk gone" in w for w in second.advertencias)
+    assert PB.current_pointer(spark, root)["sync_id"] == second.sync_id
+    assert PB.load_current(spark, root).count() == first.pointer["filas"]["clean"]
+
+
+def test_half_written_pointer_is_passed_over(spark, sheet, root):
+    import os
+    src = [Source("source", sheet)]
+    first = refresh(spark, src, root, TESTDATA_TODAY, quarantine=True)
+    with open(f"{root}/_pointers/{2:012d}.json", "w"):
+        pass
+    assert PB.load_current(spark, root).count() == first.pointer["filas"]["clean"]
+    again = refresh(spark, src, root, TESTDATA_TODAY, forzar=True, quarantine=True)
+    assert again.pointer["seq"] == 3 and PB.current_pointer(spark, root)["sync_id"] == again.sync_id
+    with pytest.raises(Exception):
+        PB.write_text(spark, f"{root}/_pointers/{3:012d}.json", "{}", replace=False)
+    assert not [n for n in os.listdir(f"{root}/_pointers") if n.startswith("_tmp")]
+
+
+def test_every_row_accounted_for(spark, sheet, root):
+    run = refresh(spark, [Source("source", sheet)], root, TESTDATA_TODAY, quarantine=True)
+    aside = {line["regla"]: line["filas"] for line in run.incidencias if line["regla"].startswith("Cuarentena")}
+    assert sum(aside.values()) == run.pointer["filas"]["cuarentena"] > 0
+    assert run.resumen["filas_publicadas"] == run.pointer["filas"]["clean"] + run.pointer["filas"]["cuarentena"]
+    assert f"{run.pointer['filas']['clean']:,} rows published" in run.mensaje
+    later = refresh(spark, [Source("source", sheet)], root, "2001-12-31", quarantine=True)
+    assert later.antes["filas_limpias"] == run.resumen["filas_limpias"]
+    assert later.delta["filas_limpias"] == later.resumen["filas_limpias"] - run.resumen["filas_limpias"] != 0
+    assert f"{later.delta['filas_limpias']:+,}" in later.mensaje
+    state = PB.read_state(spark, root)
+    assert state["origen_dato"] == "source" and state["dato_de"] is not None and state["aviso"] is None
+
+
+def test_quality_documents(spark, root):
+    import json
+    from ordergate.operators.dashboard import dash_quality
+    empty = dash_quality(PB.read_runs(spark, root), PB.read_state_frame(spark, root)).first()
+    assert (empty.sync, empty.calidad) == ("{}", "{}")
+    now = dt.datetime.now(dt.timezone.utc)
+    PB.append_run(spark, root, {"id": "x", "estado": "running", "created_at": now, "started_at": now})
+    PB.write_state(spark, root, {"ultimo_estado": "running"})
+    got = dash_quality(PB.read_runs(spark, root), PB.read_state_frame(spark, root)).first()
+    assert len(json.loads(got.sync)) == 7 and len(json.loads(got.calidad)) == 12
+    assert json.loads(got.calidad)["mensaje"] is None

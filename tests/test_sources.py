@@ -53,3 +53,53 @@ def test_fallback_order(spark, small, tmp_path):
     assert first_available(spark, [Source("source", str(tmp_path / "good"))]).aviso is None
     with pytest.raises(NoSource):
         first_available(spark, [Source("source", str(tmp_path / "wrong"))])
+
+
+def test_partitioned_folder_is_one_sheet(spark, small, tmp_path):
+    """Partition folders are not tabs, and several tabs without Pedidos are refused."""
+    path = str(tmp_path / "by_year")
+    small.withColumn("year", F.when(F.col("fila_origen") % 2 == 0, 2024).otherwise(2025)).write.partitionBy("year").parquet(path)
+    assert read_orders(spark, path).count() == small.count()
+    for tab in ("A", "B"):
+        small.write.parquet(str(tmp_path / "tabs" / tab))
+    with pytest.raises(NoSource, match="Pedidos"):
+        read_orders(spark, str(tmp_path / "tabs"))
+
+
+def test_csv_headers_and_quotes(spark, tmp_path):
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text('cliente,producto\n"Say ""hi""",p1\n')
+    df = read_orders(spark, str(folder), "csv")
+    assert [tuple(r) for r in df.collect()] == [('Say "hi"', "p1")]
+    (folder / "b.csv").write_text("producto,cliente\np2,c2\n")
+    with pytest.raises(Exception, match="header"):
+        read_orders(spark, str(folder), "csv").collect()
+
+
+def test_positions_over_files(spark, small, tmp_path):
+    """Files follow each other by the value of their numbers; the cache keeps positions and fingerprint."""
+    import os
+    from ordergate.plans.refresh import fingerprint
+    from ordergate.sources.sheet import cache_snapshot, natural_order, switch_cache, with_row_position
+    names = ["part-99999-x.parquet", "part-100000-x.parquet", "part-00002-x.parquet", "a10b2", "a9b10"]
+    got = [r.n for r in spark.createDataFrame([(n,) for n in names], "n string").orderBy(natural_order(F.col("n"))).collect()]
+    assert got == ["a9b10", "a10b2", "part-00002-x.parquet", "part-99999-x.parquet", "part-100000-x.parquet"]
+    rows = [r.pedido_id for r in small.orderBy("fila_origen").collect()]
+    sheet = tmp_path / "sheet"
+    for name, part in (("part-100000.parquet", rows[35:]), ("part-99999.parquet", rows[5:35]), ("part-7.parquet", rows[:5])):
+        spark.createDataFrame([(p,) for p in part], "pedido_id string").coalesce(1).write.parquet(str(tmp_path / "one"), mode="overwrite")
+        file = next(f for f in os.listdir(tmp_path / "one") if f.endswith(".parquet"))
+        os.makedirs(sheet, exist_ok=True)
+        os.rename(tmp_path / "one" / file, sheet / name)
+    df = spark.read.parquet(str(sheet))
+    placed = {r.fila_origen: r.pedido_id for r in with_row_position(df).collect()}
+    assert [placed[i] for i in range(len(rows))] == rows
+    cache = str(tmp_path / "cache")
+    copy = cache_snapshot(df, cache, "v1")
+    switch_cache(spark, cache, "v1")
+    again = read_orders(spark, cache)
+    assert again.exceptAll(copy).count() == 0
+    assert fingerprint(again).first().huella == fingerprint(with_row_position(df)).first().huella
+    cache_snapshot(df.limit(3), cache, "v2")              # written, not yet the cached sheet
+    assert read_orders(spark, cache).count() == len(rows)
