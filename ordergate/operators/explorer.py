@@ -1,9 +1,9 @@
 """The explorer (E1-E10) and its SQL-dashboard twin (D9): filtered, sorted,
 paged order lines plus totals of the whole filtered set.
 
-A page is ``orderBy(...).offset(o).limit(n)``, which Spark plans as a
-top-(o+n) per partition merged once (no full sort). Deep pages use keyset
-paging: the last key of the previous page becomes a range filter.
+A page starts at the key of the row at its offset, found by counting ranges of the
+sort keys, and is a top-n from there (no full sort, no rows skipped one by one).
+Keyset paging (:func:`page_after`) starts at the last key of the page before.
 """
 
 from __future__ import annotations
@@ -116,22 +116,71 @@ def project_rows(df: DataFrame) -> DataFrame:
         position, "posicion")
 
 
-# Beyond this offset a page is cut from distributed global positions instead
-# of a per-task top-(offset + limit).
-DEEP_OFFSET = 100_000
+NARROW = 4096        # parts that a range of keys is cut into per round
+
+
+def _sort_keys(df: DataFrame, orden: str, by_day: bool) -> list[Column]:
+    """The numeric keys of an order, all descending; the last is unique."""
+    moment = F.unix_date(F.to_date("fecha")).cast("long") if by_day else F.unix_micros(F.col("fecha").cast("timestamp"))
+    if S.ROW_POSITION not in df.columns:
+        return [moment]
+    return [F.col(S.ROW_POSITION)] if orden == "registro" else [moment, F.col(S.ROW_POSITION)]
+
+
+def _from_rank(df: DataFrame, keys: list[Column], rank: int, parts_of: Column | None) -> tuple[Column, int]:
+    """(condition that keeps the row at the 0-based ``rank`` and all after it, how many
+    rows it keeps before that one): at most a page, or rows equal in every key.
+
+    Key by key, the range that holds the rank is cut into parts, counted in one
+    aggregate and narrowed to one part, so nothing is sorted or skipped row by row.
+    """
+    equal, after = F.lit(True), F.lit(False)
+    for k, key in enumerate(keys):
+        inside, part = equal, parts_of if k == 0 and parts_of is not None else None
+        while True:
+            rows = df.where(inside)
+            if part is None:
+                lo, hi = rows.agg(F.min(key), F.max(key)).first()
+                width = max(1, -(-(hi - lo + 1) // NARROW)) if lo is not None else 1
+                part = F.floor((key - F.lit(lo)) / F.lit(width)) if lo is not None else F.lit(None).cast("long")
+            counts = (rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"))
+                      .orderBy(F.col("p").desc_nulls_last()).collect())
+            i = 0
+            while i < len(counts) - 1 and rank >= counts[i]["n"]:
+                rank -= counts[i]["n"]
+                i += 1
+            if not counts:
+                return F.lit(False), 0
+            lo, hi, n = counts[i]["lo"], counts[i]["hi"], counts[i]["n"]
+            if lo is None:
+                after, equal = F.lit(False), equal & key.isNull()
+                break
+            inside = equal & key.between(F.lit(lo), F.lit(hi))
+            if n <= S.PAGE_MAX:
+                return after | (equal & ((key <= F.lit(hi)) | key.isNull())), rank
+            if lo == hi:
+                after, equal = after | (equal & ((key < F.lit(lo)) | key.isNull())), equal & (key == F.lit(lo))
+                break
+            part = None
+    return after | equal, rank
 
 
 def page(clean: DataFrame, query: Query, by_day: bool = False) -> DataFrame:
-    """One page of rows with its 1-based position in the ordering."""
+    """One page of rows with its 1-based position in the ordering.
+
+    The row at the offset is found by counting ranges of the sort keys; from
+    there a page is a top-``limite``, so a task never holds more than a page, however
+    deep it is."""
     q = query.clamped()
     filt = filtered(clean, q)
     order = order_columns(filt, q.orden, by_day)
-    if q.offset > DEEP_OFFSET:
-        from ordergate.plans.storage import ordered_position
-        pos = ordered_position(filt, order)
-        rows = pos.where((F.col("posicion") >= q.offset) & (F.col("posicion") < q.offset + q.limite))
-        return project_rows(rows.withColumn("posicion", F.col("posicion") + 1))
-    rows = filt.orderBy(*order).offset(q.offset).limit(q.limite)
+    skip, rows = 0, filt
+    if q.offset:
+        keys = _sort_keys(filt, q.orden, by_day)
+        day = None if len(keys) == 1 and S.ROW_POSITION in filt.columns else F.unix_date(F.to_date("fecha")).cast("long")
+        start, skip = _from_rank(filt, keys, q.offset, day)
+        rows = filt.where(start)
+    rows = rows.orderBy(*order).offset(skip).limit(q.limite)
     w = Window.orderBy(*order)        # over at most 200 rows
     return project_rows(rows.withColumn("posicion", F.row_number().over(w) + F.lit(q.offset)))
 
