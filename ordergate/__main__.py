@@ -60,34 +60,33 @@ def cmd_refresh(args, out=sys.stdout) -> int:
 
 def cmd_diagnose(args, out=sys.stdout) -> int:
     from ordergate.operators.gate import verdicts
-    from ordergate.operators.report import mismatch_explained, verdict_lookup, verdict_newest, verdict_summary
+    from ordergate.operators.report import verdict_lookup, verdict_newest, verdict_summary
     from ordergate.sources.sheet import read_orders
     spark = _session()
     v = verdicts(read_orders(spark, args.source, args.fmt), args.hoy)
     print(f"Cut-off day: {args.hoy}", file=out)
     for row in verdict_summary(v).orderBy(F.desc("filas")).collect():
         print(f"  {row['filas']:>10,}  {row['veredicto']}", file=out)
+    expected = F.bround(F.col("cantidad") * F.col("precio_unitario"), 2)
+    v = v.withColumns({"esperado": F.when(F.col("veredicto") == S.VERDICT_MISMATCH, expected)})
     if args.pedido:
-        rows = verdict_lookup(v, args.pedido)
-        found = rows.limit(15).collect()
-        if not found:
-            print(f"\nOrder {args.pedido!r} is not in the sheet.", file=out)
-            return 1
+        rows = verdict_lookup(v, args.pedido).orderBy(S.ROW_POSITION)
     else:
-        found = verdict_newest(v, 15, discarded_only=args.discarded).orderBy("posicion").collect()
-    explained = {r[S.ROW_POSITION]: r for r in
-                 mismatch_explained(v.where(F.col(S.ROW_POSITION).isin([r[S.ROW_POSITION] for r in found])))
-                 .collect()}
-    for r in found:
+        rows = verdict_newest(v, 15, discarded_only=args.discarded).orderBy("posicion")
+    found = 0
+    for r in rows.toLocalIterator():       # every row of the order, however many
+        found += 1
         day = r["fecha"].date().isoformat() if r["fecha"] else "(empty)"
         mark = "+" if r["veredicto"] == S.VERDICT_PASS else "x"
         print(f"\n  {mark} {r['pedido_id']}  {day}  {r['cliente']}", file=out)
         print(f"      {r['producto']}  {r['cantidad']} x {r['precio_unitario']} = {r['importe']}", file=out)
         print(f"      -> {r['veredicto']}", file=out)
-        if r[S.ROW_POSITION] in explained:
-            e = explained[r[S.ROW_POSITION]]
-            print(f"      quantity x price = {e['esperado']}, the sheet says {r['importe']} "
-                  f"(difference {e['diferencia']})", file=out)
+        if r["esperado"] is not None:
+            print(f"      quantity x price = {r['esperado']}, the sheet says {r['importe']} "
+                  f"(difference {round(r['importe'] - r['esperado'], 2)})", file=out)
+    if args.pedido and not found:
+        print(f"\nOrder {args.pedido!r} is not in the sheet.", file=out)
+        return 1
     return 0
 
 
@@ -105,7 +104,7 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--force", action="store_true", help="reprocess even if unchanged")
     r.add_argument("--quarantine", action="store_true",
                    help="set rows breaking a constraint aside instead of refusing the publish")
-    r.add_argument("--origen", default="manual", choices=S.RUN_ORIGINS)
+    r.add_argument("--origen", default="manual", help="what started the run")
     r.set_defaults(func=cmd_refresh)
 
     d = sub.add_parser("diagnose", help="verdict of every row, nothing stored")
