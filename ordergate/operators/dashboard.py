@@ -132,8 +132,15 @@ def dash_rankings(clean: DataFrame, f: Filters, win: Window_ | None = None) -> D
 
 
 def dash_top(clean: DataFrame, f: Filters, dimension: str) -> DataFrame:
-    return (dash_rankings(clean, f).where(F.col("dimension") == dimension)
-            .select("nombre", "importe", "posicion"))
+    """D6 for one dimension: only its column is read and aggregated."""
+    base = dash_filtered(clean, f)
+    win = dash_window(base, f)[0]
+    column, size = S.RANKING_COLUMN[dimension], S.RANKING_SIZE[dimension]
+    name = F.coalesce(F.col(column), F.lit(S.BLANK_LABEL)) if column == "zona" else F.col(column)
+    sums = actual(base, win).groupBy(name.alias("nombre")).agg(money_sum(F.col("importe")).alias("_s"))
+    order = [F.desc("_s"), F.asc_nulls_last("nombre")]
+    return (sums.orderBy(*order).limit(size).withColumn("posicion", F.row_number().over(Window.orderBy(*order)))
+            .select("nombre", whole_up(F.col("_s")).alias("importe"), "posicion"))
 
 
 def dash_summary(clean: DataFrame, f: Filters) -> dict[str, DataFrame]:
@@ -145,41 +152,42 @@ def dash_summary(clean: DataFrame, f: Filters) -> dict[str, DataFrame]:
 
 def dash_json(clean: DataFrame, f: Filters) -> DataFrame:
     """The whole summary as one JSON document (the thin edge). Each part
-    is aggregated in Spark first; only the small results are nested."""
+    is aggregated in Spark first; only the small results are nested. The bounds, the
+    KPIs, the months and the rankings are one scan each."""
     parts = dash_summary(clean, f)
     kpi = parts["kpis"]
     mes = parts["mes"].agg(F.sort_array(F.collect_list(F.struct(
         "mes", "facturacion", "pedidos"))).alias("mes"))
-    tops = parts["rankings"]
-    parts = [tops.where(F.col("dimension") == name).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("posicion", "nombre", "importe"))),
-                    lambda s: F.struct(s["nombre"].alias("nombre"), s["importe"].alias("importe")))
-        .alias(name)) for name, _, _ in S.RANKINGS]
-    doc = kpi.select(F.struct(*kpi.columns).alias("kpis")).crossJoin(mes)
-    for p in parts:
-        doc = doc.crossJoin(p)
-    cols = ["kpis", "mes", *[name for name, _, _ in S.RANKINGS]]
-    return doc.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("resumen"))
+    names = [name for name, _, _ in S.RANKINGS]
+    # At most 52 rows: one list, split by dimension.
+    tops = parts["rankings"].agg(F.sort_array(F.collect_list(F.struct("posicion", "dimension", "nombre", "importe"))).alias("all"))
+    def top(name):
+        own = F.filter("all", lambda s: s["dimension"] == name)
+        return F.transform(own, lambda s: F.struct(s["nombre"].alias("nombre"), s["importe"].alias("importe")))
+    tops = tops.select(*[top(n).alias(n) for n in names])
+    rango = F.array(*[F.lit(d).cast("date") for d in parts["rango"]])
+    doc = kpi.select(F.struct(*kpi.columns).alias("kpis"), rango.alias("rango_total")).crossJoin(mes).crossJoin(tops)
+    return doc.select(F.to_json(F.struct("kpis", "rango_total", "mes", *names), {"ignoreNullFields": "false"}).alias("resumen"))
 
 
 def dash_filter_values(clean: DataFrame) -> DataFrame:
-    """Sorted distinct non-null values of the four filters, plus the date
-    range, from one scan: ``(lista, valor, posicion)``."""
-    base = metric_base(clean)
+    """Distinct non-null values of the four filters, and the first and last day
+    (``rango_desde``, ``rango_hasta``), from one scan: ``(lista, valor)`` in order. The
+    sort is by ranges over tasks; no list has to fit one."""
     lists = (("comerciales", "comercial"), ("zonas", "zona"),
              ("familias", "familia"), ("tipos_cliente", "tipo_cliente"))
     spec = ", ".join(f"'{name}', {col}" for name, col in lists)
-    vals = (base.select(F.expr(f"stack({len(lists)}, {spec}) as (lista, valor)"))
-                .where(F.col("valor").isNotNull()).distinct())
-    w = Window.partitionBy("lista").orderBy("valor")
-    vals = vals.withColumn("posicion", F.row_number().over(w))
-    rng = base.agg(F.to_date(F.min("fecha")).cast("string").alias("a"),
-                   F.to_date(F.max("fecha")).cast("string").alias("b"))
-    rng = rng.select(F.lit("rango").alias("lista"),
-                     F.explode(F.array(F.struct(F.col("a").alias("valor"), F.lit(1).alias("posicion")),
-                                       F.struct(F.col("b").alias("valor"), F.lit(2).alias("posicion")))
-                               ).alias("v")).select("lista", "v.valor", "v.posicion")
-    return vals.unionByName(rng)
+    cells = metric_base(clean).select(F.expr(
+        f"stack({len(lists) + 1}, {spec}, 'rango', cast(to_date(fecha) as string)) as (lista, valor)"))
+    is_range = F.col("lista") == "rango"
+    found = (cells.where(F.col("valor").isNotNull())
+             .groupBy("lista", F.when(~is_range, F.col("valor")).alias("uno"))
+             .agg(F.min("valor").alias("a"), F.max("valor").alias("b")))
+    def row(name, value):
+        return F.struct(name.alias("lista"), value.alias("valor"))
+    rows = F.when(is_range, F.array(row(F.lit("rango_desde"), F.col("a")), row(F.lit("rango_hasta"), F.col("b")))) \
+            .otherwise(F.array(row(F.col("lista"), F.col("a"))))
+    return found.select(F.inline(rows)).orderBy("lista", "valor")
 
 
 def dash_orders(clean: DataFrame, query: E.Query) -> DataFrame:
@@ -188,11 +196,28 @@ def dash_orders(clean: DataFrame, query: E.Query) -> DataFrame:
     return E.page(clean, q, by_day=True)
 
 
+def dash_orders_totals(clean: DataFrame, query: E.Query) -> DataFrame:
+    """D9's head: rows and half-up amount of the whole filtered set, and the
+    clamped limit, offset and order that the page was cut with."""
+    q = query.clamped()
+    return E.totals(E.filtered(clean, q), half_even=False).select(
+        "total", F.lit(q.offset).cast("long").alias("offset"), F.lit(q.limite).cast("long").alias("limite"),
+        F.lit(q.orden).alias("orden"), "importe")
+
+
+STATE_FIELDS = (("estado", "ultimo_estado"), ("ultima_sincronizacion", "ultima_sincronizacion"),
+                ("ultima_comprobacion", "ultima_comprobacion"), ("version_puerta", "version_puerta"),
+                ("filas_crudas", "filas_crudas"), ("filas_limpias", "filas_limpias"), ("ultimo_error", "ultimo_error"))
+RUN_FIELDS = ("id", "estado", "origen", "started_at", "finished_at", "filas_crudas", "filas_limpias",
+              "facturacion_cruda", "facturacion_limpia", "incidencias", "mensaje", "version_puerta")
+
+
 def dash_quality(runs: DataFrame, state: DataFrame) -> DataFrame:
-    """The latest run (by ``created_at``) beside the state row; each side
-    is ``{}``-like (all NULL) when absent."""
-    last = runs.agg(F.max_by(F.struct(*runs.columns), F.col("created_at")).alias("calidad"))
+    """The state's 7 fields and the latest run's 12 (by ``created_at``) as
+    JSON, null members kept; ``{}`` where there is none."""
+    last = runs.agg(F.max_by(F.struct(*RUN_FIELDS), F.col("created_at")).alias("calidad"))
     st = state.where(F.col("dataset_key") == S.DATASET_KEY).agg(
-        F.max_by(F.struct(*state.columns), F.col("updated_at")).alias("sync"))
-    return st.crossJoin(last).select(F.to_json("sync").alias("sync"),
-                                     F.to_json("calidad").alias("calidad"))
+        F.max_by(F.struct(*[F.col(c).alias(n) for n, c in STATE_FIELDS]), F.col("updated_at")).alias("sync"))
+    keep = {"ignoreNullFields": "false"}
+    return st.crossJoin(last).select(F.coalesce(F.to_json("sync", keep), F.lit("{}")).alias("sync"),
+                                     F.coalesce(F.to_json("calidad", keep), F.lit("{}")).alias("calidad"))

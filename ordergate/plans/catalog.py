@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,10 +79,26 @@ VERDICT_COLS = [S.ROW_POSITION, "pedido_id", VERDICT]
 # ------------------------------------------------------------------ sources
 
 
+_SHEETS: dict[tuple, str] = {}
+
+
+def sheet_of(spark: SparkSession, sf: str) -> str:
+    """The dirty sheet written once per session and input, as an export of one tab."""
+    import uuid
+    from ordergate.session import work_dir
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    if key not in _SHEETS:
+        path = work_dir(spark, "registro", uuid.uuid4().hex, "hoja")
+        dirty_orders(spark, sf).write.parquet(f"{path}/Pedidos")
+        _SHEETS[key] = path
+    return _SHEETS[key]
+
+
 @register("src_orders")
 def _src_orders(spark, sf):
-    """The dirty order sheet as read."""
-    return dirty_orders(spark, sf)
+    """The order sheet, read back from its export."""
+    from ordergate.sources.sheet import read_orders
+    return read_orders(spark, sheet_of(spark, sf))
 
 
 @register("src_row_position")
@@ -434,6 +450,42 @@ def _dash_orders(spark, sf):
                          E.Query(comercial=P.DASH_ORDERS_REP, familia=P.DASH_ORDERS_FAMILY))
 
 
+@register("dash_orders_totals")
+def _dash_orders_totals(spark, sf):
+    """The page's head with all four category filters and dates."""
+    return D.dash_orders_totals(_clean(spark, sf), P.DASH_ORDERS_ALL)
+
+
+@register("dash_orders_filtered")
+def _dash_orders_filtered(spark, sf):
+    """A later page with zone and type filters, dates, and newest entries first."""
+    return D.dash_orders(_clean(spark, sf), P.DASH_ORDERS_ALL)
+
+
+@register("dash_kpis_filtered")
+def _dash_kpis_filtered(spark, sf):
+    """All four category filters and explicit dates."""
+    return D.dash_kpis(_clean(spark, sf), P.DASH_ALL_FILTERS)
+
+
+@register("dash_kpis_none")
+def _dash_kpis_none(spark, sf):
+    """A filter that nothing passes."""
+    return D.dash_kpis(_clean(spark, sf), P.DASH_NO_MATCH)
+
+
+@register("explore_deep")
+def _explore_deep(spark, sf):
+    """A page deep in the list."""
+    return E.page(_clean(spark, sf), E.Query(limite=P.DEEP_LIMIT, offset=P.DEEP_OFFSET))
+
+
+@register("explore_deep_entry")
+def _explore_deep_entry(spark, sf):
+    """A deep page in entry order."""
+    return E.page(_clean(spark, sf), E.Query(limite=P.DEEP_LIMIT, offset=P.DEEP_OFFSET, orden="registro"))
+
+
 # ------------------------------------------------------------------ checks
 
 
@@ -482,9 +534,20 @@ def _raw_landing(spark, sf):
 
 @register("fingerprint")
 def _fingerprint(spark, sf):
-    """Content fingerprint of the sheet."""
+    """The content fingerprint is the same for the same rows in other
+    partitions, and another one if a cell, a position or a null changes."""
     from ordergate.plans.refresh import fingerprint
-    return fingerprint(dirty_orders(spark, sf))
+    raw = dirty_orders(spark, sf)
+    least = raw.agg(F.min(S.ROW_POSITION)).first()[0]
+    first = F.col(S.ROW_POSITION) == F.lit(least)
+    variants = {"igual": raw.repartition(7, "pedido_id"),
+                "celda": raw.withColumn("importe", F.when(first, F.coalesce(F.col("importe"), F.lit(0.0)) + 1).otherwise(F.col("importe"))),
+                "posicion": raw.withColumn(S.ROW_POSITION, F.when(first, F.col(S.ROW_POSITION) - 1).otherwise(F.col(S.ROW_POSITION))),
+                "vacio": raw.withColumn("zona", F.coalesce(F.col("zona"), F.lit("")))}
+    out = fingerprint(raw).select(F.col("huella").alias("h"), "filas")
+    for name, df in variants.items():
+        out = out.crossJoin(fingerprint(df).select(F.col("huella").alias(name)))   # one row each
+    return out.select("filas", *[(F.col(n) == F.col("h")).alias(n) for n in variants])
 
 
 @register("refresh_delta")
@@ -500,9 +563,9 @@ _SCENARIOS: dict[tuple, dict] = {}
 
 
 def scenario(spark: SparkSession, sf: str) -> dict:
-    """A refresh history on the shared folder, run once per session/input:
-    quarantined first load, unchanged re-run, primary source lost (cache),
-    forced re-run."""
+    """A refresh history on the shared folder, run once per session/input: refused
+    by the strict checks, quarantined first load, unchanged re-run, primary source
+    lost (cache), forced re-run."""
     import uuid
     from ordergate.plans import publish as PB
     from ordergate.plans.refresh import refresh
@@ -512,62 +575,81 @@ def scenario(spark: SparkSession, sf: str) -> dict:
     if key in _SCENARIOS:
         return _SCENARIOS[key]
     root = work_dir(spark, "registro", uuid.uuid4().hex)
-    sheet = f"{root}/hoja/Pedidos"
-    dirty_orders(spark, sf).write.parquet(sheet)
-    primary = Source("source", f"{root}/hoja")
-    cache = Source("cache", f"{root}/pub/cache")
+    hoja = sheet_of(spark, sf)
     pub = f"{root}/pub"
-    # (A publish blocked by the strict checks is exercised in tests/test_publish.py.)
-    runs = [refresh(spark, [primary, cache], pub, P.HOY, quarantine=True),
-             refresh(spark, [primary, cache], pub, P.HOY, quarantine=True),
-             refresh(spark, [Source("source", f"{root}/no-such-sheet"), cache], pub, P.HOY,
-                     quarantine=True),
-             refresh(spark, [primary, cache], pub, P.HOY, forzar=True, quarantine=True)]
+    primary, cache = Source("source", hoja), Source("cache", f"{pub}/cache")
+    lost = Source("source", f"{root}/no-such-sheet")
+    try:
+        refresh(spark, [primary, cache], pub, P.HOY)
+    except PB.PublishError:
+        pass                                  # its run is in the log
+    for sources, forced in (([primary, cache], False), ([primary, cache], False), ([lost, cache], False),
+                            ([primary, cache], True)):
+        refresh(spark, sources, pub, P.HOY, forzar=forced, quarantine=True)
     staged_root = f"{root}/staged"
     g = gate_of(spark, sf)
-    paths = PB.stage(PB.raw_landing(g.verdicts.select(*[c for c in g.verdicts.columns
-                                                        if not c.startswith("_") and c != VERDICT]),
-                                    P.SYNC_ID),
-                     PB.clean_typed(g.clean, P.SYNC_ID), staged_root, P.SYNC_ID)
+    paths = PB.stage(PB.raw_landing(dirty_orders(spark, sf), P.SYNC_ID), PB.clean_typed(g.clean, P.SYNC_ID),
+                     staged_root, P.SYNC_ID)
     saved = f"{root}/limpio"
     from ordergate.sources.tables import save_clean
     save_clean(g.clean, saved)
-    _SCENARIOS[key] = dict(root=root, pub=f"{root}/pub", runs=runs, sheet=sheet,
-                           staged=paths, saved=saved)
+    _SCENARIOS[key] = dict(root=root, pub=pub, sheet=f"{hoja}/Pedidos", staged=paths, saved=saved)
     return _SCENARIOS[key]
 
 
-@register("run_log")
-def _run_log(spark, sf):
-    """The run log of the refresh history (latest record per run)."""
+def _history(spark, sf) -> DataFrame:
+    """The run log in order, without generated ids and times."""
     from ordergate.plans.publish import read_runs
     runs = read_runs(spark, scenario(spark, sf)["pub"])
-    return runs.select("id", "origen", "estado", "filas_crudas", "filas_limpias", "version_puerta",
-                       "mensaje", F.to_json("incidencias").alias("incidencias"))
+    # A handful of runs.
+    w = Window.orderBy("started_at")
+    return runs.withColumn("orden", F.row_number().over(w))
+
+
+@register("run_log")
+def _run_log(spark, sf):
+    """The run log of the refresh history."""
+    return _history(spark, sf).select("orden", "origen", "estado", "filas_crudas", "filas_limpias",
+                                      "facturacion_cruda", "facturacion_limpia", "version_puerta",
+                                      F.coalesce(F.size("incidencias"), F.lit(0)).alias("lineas"))
 
 
 @register("state_read")
 def _state_read(spark, sf):
-    """The state row after the refresh history."""
+    """The state row after the refresh history, without generated ids and times."""
     from ordergate.plans.publish import read_state_frame
-    return read_state_frame(spark, scenario(spark, sf)["pub"]).drop(
-        "ultima_sincronizacion", "ultima_comprobacion", "updated_at")
+    return read_state_frame(spark, scenario(spark, sf)["pub"]).select(
+        "dataset_key", "ultimo_estado", "ultimo_error", "version_puerta", "filas_crudas", "filas_limpias", "fact_limpio",
+        "hoy", "fechas_futuras", "origen_dato", "aviso")
 
 
 @register("refresh_unchanged")
 def _refresh_unchanged(spark, sf):
-    """Runs that were skipped because nothing changed."""
-    from ordergate.plans.publish import read_runs
-    runs = read_runs(spark, scenario(spark, sf)["pub"])
-    return runs.where(F.col("estado") == "unchanged").select("id", "estado", "huella", "mensaje")
+    """Runs that were skipped because nothing changed: same fingerprint as the load before."""
+    h = _history(spark, sf)
+    loaded = h.where("estado = 'ok'").select(F.col("huella").alias("_h")).distinct()
+    return h.where("estado = 'unchanged'").join(loaded, h["huella"] == loaded["_h"], "left").select(
+        "orden", "estado", F.col("_h").isNotNull().alias("misma_huella"))
 
 
 @register("refresh_outcome")
 def _refresh_outcome(spark, sf):
     """Outcome class of each run of the history."""
-    from ordergate.plans.publish import read_runs
-    runs = read_runs(spark, scenario(spark, sf)["pub"])
-    return runs.select("id", "estado", F.split("mensaje", ":")[0].alias("resultado"))
+    return _history(spark, sf).select("orden", "estado", F.split("mensaje", ":")[0].alias("resultado"))
+
+
+@register("publish_conservation")
+def _publish_conservation(spark, sf):
+    """Every raw row of the published version is published, discarded or quarantined."""
+    from ordergate.plans.publish import current_pointer
+    pub = scenario(spark, sf)["pub"]
+    ptr = current_pointer(spark, pub)
+    one = [spark.read.parquet(ptr["raw"]).agg(F.count("*").alias("crudas")),
+           spark.read.parquet(ptr["clean"]).agg(F.count("*").alias("publicadas")),
+           spark.read.parquet(f"{pub}/quarantine/sync_id={ptr['sync_id']}").agg(F.count("*").alias("cuarentena")),
+           _verdicts(spark, sf).agg(F.count_if(F.col(VERDICT) != S.VERDICT_PASS).alias("descartadas"))]
+    row = one[0].crossJoin(one[1]).crossJoin(one[2]).crossJoin(one[3])
+    return row.withColumn("cuadra", F.col("crudas") == F.col("publicadas") + F.col("cuarentena") + F.col("descartadas"))
 
 
 @register("publish_staged")
@@ -584,23 +666,20 @@ def _publish_current(spark, sf):
     return load_current(spark, scenario(spark, sf)["pub"]).drop("sync_id", "created_at", "updated_at")
 
 
-@register("publish_expired")
-def _publish_expired(spark, sf):
-    """P5: versions retention would drop a month from now."""
-    import datetime as dt
-    from ordergate.plans.publish import expired_versions
-    sc = scenario(spark, sf)
-    later = dt.datetime.now(dt.timezone.utc) + dt.timedelta(days=30)
-    rows = [(v["tabla"], v["version"]) for v in expired_versions(spark, sc["pub"], later)]
-    return spark.createDataFrame(rows, "tabla string, version string")
-
-
 @register("dash_quality")
 def _dash_quality(spark, sf):
-    """Latest run and state as the dashboard reads them."""
+    """The two documents the dashboard reads, without generated ids and times."""
     from ordergate.plans.publish import read_runs, read_state_frame
-    sc = scenario(spark, sf)
-    return D.dash_quality(read_runs(spark, sc["pub"]), read_state_frame(spark, sc["pub"]))
+    pub = scenario(spark, sf)["pub"]
+    docs = D.dash_quality(read_runs(spark, pub), read_state_frame(spark, pub))
+    def of(doc, name):
+        return F.get_json_object(doc, f"$.{name}")
+    return docs.select(
+        F.array_join(F.json_object_keys("sync"), ",").alias("sync_claves"),
+        F.array_join(F.json_object_keys("calidad"), ",").alias("calidad_claves"),
+        of("sync", "estado").alias("sync_estado"), of("sync", "filas_limpias").cast("bigint").alias("sync_limpias"),
+        of("calidad", "estado").alias("calidad_estado"), of("calidad", "filas_crudas").cast("bigint").alias("calidad_crudas"),
+        of("calidad", "facturacion_limpia").cast("double").alias("calidad_facturacion"))
 
 
 @register("load_clean")

@@ -12,7 +12,6 @@ are ISO text, money is double, counts and positions are BIGINT.
 from __future__ import annotations
 
 from ordergate import schema as S
-from ordergate.functions.dates import DATE_TEXT_PATTERN
 from ordergate.plans import params as P
 from ordergate.sources.testdata import dirty_sql_duckdb
 
@@ -30,7 +29,8 @@ GATE = rf"""
 with dirty as ({dirty_sql_duckdb()}),
 typed as (
   select fila_origen, pedido_id,
-    case when regexp_full_match(trim(fecha), '{DATE_TEXT_PATTERN}')
+    case when regexp_full_match(trim(fecha),
+           '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}([ T][0-9]{{2}}:[0-9]{{2}}(:[0-9]{{2}}([.][0-9]{{1,6}})?)?)?')
          then try_cast(trim(fecha) as timestamp) end as fecha,
     comercial, zona, cliente, tipo_cliente, producto, familia,
     case when isnan(cantidad) then null else cantidad end as cantidad,
@@ -126,7 +126,7 @@ def _kpi_ctes(desde: str | None, hasta: str | None, source: str = "base") -> lis
     coalesce(-sum({MONEY}) filter (where cast(fecha as date) between desde and hasta and es_devolucion), 0) as dev,
     count(*) filter (where cast(fecha as date) >= prev_start and cast(fecha as date) < desde) as pedidos_ant,
     coalesce(sum({MONEY}) filter (where cast(fecha as date) >= prev_start and cast(fecha as date) < desde), 0) as fact_ant,
-    min(desde) as desde, min(hasta) as hasta
+    (select desde from bounds) as desde, (select hasta from bounds) as hasta
   from {source} cross join bounds)""",
     ]
 
@@ -354,6 +354,7 @@ def build() -> dict[str, str]:
   'kpis': (select {{'facturacion': facturacion, 'var_pct': var_pct, 'pedidos': pedidos, 'ticket': ticket,
                    'clientes': clientes, 'devoluciones': devoluciones, 'dev_pct': dev_pct,
                    'desde': desde, 'hasta': hasta}} from kv),
+  'rango_total': (select [cast(min(fecha) as date), cast(max(fecha) as date)] from dbase),
   'mes': coalesce((select list({{'mes': mes, 'facturacion': facturacion, 'pedidos': pedidos}} order by mes)
                    from mensual), []),
   {tops}}}) as varchar) as resumen""", *_dash_ctes(f), *reversed(_dash_rankings(f)),
@@ -363,17 +364,28 @@ def build() -> dict[str, str]:
   cast(round(sum({MONEY}), 0) as bigint) as facturacion, count(*) as pedidos
   from dbase cross join bounds where cast(fecha as date) between desde and hasta
   group by strftime(fecha, '%Y-%m'))""")
-    o["dash_filter_values"] = gate("""select lista, valor, row_number() over (partition by lista order by valor) as posicion
-  from (select distinct lista, valor from (
+    o["dash_filter_values"] = gate("""select distinct lista, valor from (
     select 'comerciales' as lista, comercial as valor from base
     union all select 'zonas', zona from base
     union all select 'familias', familia from base
-    union all select 'tipos_cliente', tipo_cliente from base) where valor is not null)
-  union all select 'rango', strftime(min(fecha), '%Y-%m-%d'), 1 from base
-  union all select 'rango', strftime(max(fecha), '%Y-%m-%d'), 2 from base""")
+    union all select 'tipos_cliente', tipo_cliente from base
+    union all select 'rango_desde', strftime(min(fecha), '%Y-%m-%d') from base
+    union all select 'rango_hasta', strftime(max(fecha), '%Y-%m-%d') from base) where valor is not null""")
     o["dash_orders"] = _explore(
         f"comercial = {q(P.DASH_ORDERS_REP)} and familia = {q(P.DASH_ORDERS_FAMILY)}",
         ORDER_DIA, 25, 0)
+    dq = P.DASH_ORDERS_ALL
+    dwhere = (f"comercial = {q(dq.comercial)} and zona = {q(dq.zona)} and familia = {q(dq.familia)} "
+              f"and tipo_cliente = {q(dq.tipo_cliente)} "
+              f"and cast(fecha as date) between date '{dq.desde}' and date '{dq.hasta}'")
+    o["dash_orders_filtered"] = _explore(dwhere, ORDER_REGISTRO, dq.limite, dq.offset)
+    o["dash_orders_totals"] = gate(f"""select count(*) as total, cast({dq.offset} as bigint) as "offset",
+  cast({dq.limite} as bigint) as limite, 'registro' as orden,
+  cast(round(coalesce(sum({MONEY}), 0), 0) as bigint) as importe from clean where {dwhere}""")
+    o["dash_kpis_filtered"] = gate(f"{KPI_V2} from k", *_dash_ctes(P.DASH_ALL_FILTERS))
+    o["dash_kpis_none"] = gate(f"{KPI_V2} from k", *_dash_ctes(P.DASH_NO_MATCH))
+    o["explore_deep"] = _explore("true", ORDER_FECHA, P.DEEP_LIMIT, P.DEEP_OFFSET)
+    o["explore_deep_entry"] = _explore("true", ORDER_REGISTRO, P.DEEP_LIMIT, P.DEEP_OFFSET)
     # ---- checks
     o["constraint_violations"] = _constraints_select()
     o["invariants"] = gate(_invariants_select())
@@ -385,15 +397,45 @@ def build() -> dict[str, str]:
     texts = ", ".join(f"cast({c} as varchar) as {c}" for c in S.SOURCE_COLUMNS)
     o["raw_landing"] = gate(f"""select {q(P.SYNC_ID)} as sync_id, fila_origen, {texts},
   cast(to_json(struct_pack({payload})) as varchar) as raw_payload from dirty""")
+    o["fingerprint"] = gate("select count(*) as filas, true as igual, false as celda, false as posicion, false as vacio from dirty")
     o["publish_current"] = gate(f"""select pedido_id, strftime(fecha, '%Y-%m-%d') as fecha, comercial, zona,
   cliente, tipo_cliente, producto, familia, cast(cantidad as double) as cantidad,
   cast(precio_unitario as double) as precio_unitario, cast(importe as double) as importe,
-  fila_origen, es_devolucion, sospechoso
-  from pub where coalesce(pedido_id is not null and length(trim(pedido_id)) > 0 and fecha is not null
-    and cliente is not null and producto is not null and cantidad is not null
-    and precio_unitario is not null and importe is not null and importe <> 0
-    and es_devolucion = (cantidad < 0) and abs(importe - cantidad * precio_unitario) <= 0.02, false)""",
-                                PUB)
+  fila_origen, es_devolucion, sospechoso from pub where {PUBLISHABLE}""", PUB)
+    o["publish_conservation"] = gate(f"""select crudas, publicadas, cuarentena, descartadas,
+  crudas = publicadas + cuarentena + descartadas as cuadra from (select
+  (select count(*) from dirty) as crudas, (select count(*) from pub where {PUBLISHABLE}) as publicadas,
+  (select count(*) from pub where not {PUBLISHABLE}) as cuarentena,
+  (select count(*) from verdicts where veredicto <> {PASS}) as descartadas)""", PUB)
+    # The history: refused, first load, unchanged, unchanged from the cache, forced.
+    history = f"""hist as (select * from (values (1, 'error', false), (2, 'ok', true), (3, 'unchanged', true),
+  (4, 'unchanged', true), (5, 'ok', true)) as t(orden, estado, contado)),
+totals as (select (select count(*) from dirty) as crudas, (select count(*) from base) as limpias,
+  (select cast(coalesce(sum({MONEY}), 0) as decimal(18,2)) from verdicts) as cruda,
+  (select cast(coalesce(sum({MONEY}), 0) as decimal(18,2)) from base) as limpia),
+broken as (select count(distinct razon) as n from (select case {_reasons()} end as razon from pub) where razon is not null)"""
+    o["run_log"] = gate(f"""select cast(orden as bigint) as orden, 'manual' as origen, estado,
+  case when contado then crudas else 0 end as filas_crudas, case when contado then limpias else 0 end as filas_limpias,
+  case when estado = 'ok' then cast(cruda as double) end as facturacion_cruda,
+  case when estado = 'ok' then cast(limpia as double) end as facturacion_limpia,
+  cast({S.RULE_VERSION} as bigint) as version_puerta,
+  case when estado = 'ok' then (select count(*) from inc) + (select n from broken) else 0 end as lineas
+  from hist cross join totals""", PUB, history, *_incident_ctes(), f"inc as ({_incidents_select()})")
+    o["state_read"] = gate(f"""select 'ventas' as dataset_key, 'ok' as ultimo_estado, cast(null as varchar) as ultimo_error,
+  cast({S.RULE_VERSION} as bigint) as version_puerta, crudas as filas_crudas, limpias as filas_limpias,
+  cast(round_even(limpia, 0) as bigint) as fact_limpio, '{HOY}' as hoy,
+  (select count(*) from verdicts where veredicto = {q(S.VERDICT_FUTURE.format(hoy=HOY))}) as fechas_futuras,
+  'source' as origen_dato, cast(null as varchar) as aviso from totals""", PUB, history)
+    o["refresh_unchanged"] = gate("select cast(orden as bigint) as orden, estado, true as misma_huella from hist "
+                                  "where estado = 'unchanged'", PUB, history)
+    o["refresh_outcome"] = gate("""select cast(orden as bigint) as orden, estado,
+  case orden when 1 then 'PublishError' when 2 then 'primera_carga' when 5 then 'dato_nuevo' else 'unchanged' end as resultado
+  from hist""", PUB, history)
+    o["dash_quality"] = gate("""select
+  'estado,ultima_sincronizacion,ultima_comprobacion,version_puerta,filas_crudas,filas_limpias,ultimo_error' as sync_claves,
+  'id,estado,origen,started_at,finished_at,filas_crudas,filas_limpias,facturacion_cruda,facturacion_limpia,incidencias,mensaje,version_puerta'
+  as calidad_claves, 'ok' as sync_estado, limpias as sync_limpias, 'ok' as calidad_estado, crudas as calidad_crudas,
+  cast(limpia as double) as calidad_facturacion from totals""", PUB, history)
     o["quality_report"] = gate(f"""select
   (select count(*) from verdicts) as filas_crudas, (select count(*) from base) as filas_limpias,
   (select cast(coalesce(sum({MONEY}), 0) as double) from verdicts) as facturacion_cruda,
@@ -463,9 +505,26 @@ PUB = """pub as (select pedido_id, cast(fecha as date) as fecha,
   cast(importe as decimal(18,2)) as importe, fila_origen, es_devolucion, sospechoso from clean)"""
 
 
+PUBLISHABLE = """coalesce(pedido_id is not null and length(trim(pedido_id)) > 0 and fecha is not null
+    and cliente is not null and producto is not null and cantidad is not null
+    and precio_unitario is not null and importe is not null and importe <> 0
+    and es_devolucion = (cantidad < 0) and abs(importe - cantidad * precio_unitario) <= 0.02, false)"""
+
+
+def _reasons() -> str:
+    """First broken constraint of a published row."""
+    return " ".join(f"when coalesce({cond}, false) then '{name}'" for name, cond in _row_checks().items())
+
+
 def _constraints_select() -> str:
-    pub = PUB
-    checks = {
+    parts = [f"select '{n}' as restriccion, count(*) filter (where coalesce({c}, false)) as filas from pub"
+             for n, c in _row_checks().items()]
+    parts.append("select 'pedido_id_repetido', count(pedido_id) - count(distinct pedido_id) from pub")
+    return gate("select * from (" + " union all ".join(parts) + ")", PUB)
+
+
+def _row_checks() -> dict[str, str]:
+    return {
         "pedido_id_nulo": "pedido_id is null",
         "pedido_id_vacio": "length(trim(pedido_id)) = 0",
         "fecha_nula": "fecha is null",
@@ -478,10 +537,6 @@ def _constraints_select() -> str:
         "devolucion_inconsistente": "es_devolucion <> (cantidad < 0)",
         "importe_inconsistente": "abs(importe - cantidad * precio_unitario) > 0.02",
     }
-    parts = [f"select '{n}' as restriccion, count(*) filter (where coalesce({c}, false)) as filas from pub"
-             for n, c in checks.items()]
-    parts.append("select 'pedido_id_repetido', count(pedido_id) - count(distinct pedido_id) from pub")
-    return gate("select * from (" + " union all ".join(parts) + ")", pub)
 
 
 def _invariants_select() -> str:

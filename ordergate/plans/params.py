@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ordergate.operators.dashboard import Filters
+from ordergate.operators.explorer import Query
 from ordergate.sources.testdata import TESTDATA_TODAY
 
 # The cut-off dates and the parameters each registered query uses.
@@ -20,6 +21,13 @@ NO_FILTERS = Filters()
 DASH_ORDERS_REP = "Supplier#000000003"
 DASH_ORDERS_FAMILY = "SMALL"
 
+DASH_ALL_FILTERS = Filters(comercial="Supplier#000000012", zona="NATION_16", tipo_cliente="MACHINERY",
+                           familia="MEDIUM", desde="1995-01-01", hasta="2000-12-31")
+DASH_NO_MATCH = Filters(zona="no such zone")
+DASH_ORDERS_ALL = Query(limite=7, offset=3, comercial="Supplier#000000012", zona="NATION_16",
+                        tipo_cliente="MACHINERY", familia="MEDIUM", desde="1995-01-01", hasta="2000-12-31", orden="registro")
+DEEP_LIMIT, DEEP_OFFSET = 40, 2990
+
 
 def as_text(value) -> str | None:
     return None if value in (None, "") else str(value)[:10]
