@@ -46,13 +46,12 @@ MARKER = re.compile(r"^[\s#*\[<>|_-]*(" + "|".join(sorted(_OF, key=len, reverse=
                     r"|^[\s]*(?:\*\*|\[|<\|?|#+\s*)(" + "|".join(sorted(_OF, key=len, reverse=True)) + r")(?:\*\*|\]|\|?>)?\s*$", re.I)
 
 
-def observed(text: str | None, blank: bool) -> tuple[list[tuple[str, str, tuple[int, ...]]], bool]:
-    """(line, line without its marker, features) of each line that is not blank, and
-    whether the text ends in a blank line."""
-    out = []
+def observed(text: str | None) -> list[tuple[str, str, tuple[int, ...]]]:
+    """(line, line without its marker, features) of each line that is not blank."""
+    out, blank = [], False
     for line in (text or "").split("\n"):
         if not line.strip():
-            blank = bool(text)
+            blank = True
             continue
         m = MARKER.match(line)
         name = (m.group(1) or m.group(2)).lower() if m else None
@@ -60,7 +59,7 @@ def observed(text: str | None, blank: bool) -> tuple[list[tuple[str, str, tuple[
         size = sum(len(rest) >= b for b in LENGTHS)
         out.append((line, rest, (_OF.get(name, 0), int(blank), size, int(line.rstrip().endswith("?")))))
         blank = False
-    return out, blank
+    return out
 
 
 @dataclass
@@ -120,25 +119,19 @@ def _segment_matrices(model: Model, lines, opens: bool) -> list[np.ndarray]:
 
 
 def _rows(group: pa.Table) -> list[tuple]:
-    rows = list(zip(group["place"].to_pylist(), group["text"].to_pylist(), group["blank"].to_pylist()))
+    rows = list(zip(group["place"].to_pylist(), group["text"].to_pylist()))
     return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
 
 
 def _lines(rows: list[tuple]) -> list[list[tuple]]:
-    """Lines of each row of a segment; blank lines count across rows."""
-    out, blank = [], bool(rows and rows[0][2])
-    for _, text, _ in rows:
-        own, blank_after = observed(text, blank)
-        out.append(own)
-        blank = blank_after
-    return out
+    """Lines of each row of a segment; a row's end is no blank line."""
+    return [observed(text) for _, text in rows]
 
 
 def segments(transcripts: DataFrame, id_col: str, place_col: str, text_col: str, segment: int) -> DataFrame:
-    """(conv_id, place, text, segment, blank): ``blank``: a blank line or nothing precedes the segment."""
+    """(conv_id, place, text, segment): runs of ``segment`` places."""
     return transcripts.select(F.col(id_col).alias("conv_id"), F.col(place_col).cast("bigint").alias("place"), F.col(text_col).alias("text"),
-                              F.floor(F.coalesce(F.col(place_col), F.lit(0)) / segment).cast("bigint").alias("segment"),
-                              F.lit(True).alias("blank"))
+                              F.floor(F.coalesce(F.col(place_col), F.lit(0)) / segment).cast("bigint").alias("segment"))
 
 
 def _combine(matrices: DataFrame, fan: int) -> DataFrame:
@@ -242,9 +235,7 @@ def train(transcripts: DataFrame, id_col: str = "conv_id", place_col: str = "tur
         for batch in batches:
             found: dict[tuple, int] = {}
             for text, role in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                # A blank line may close the row before; without one, only rows that begin blank count as such.
-                own, _ = observed(text, False)
-                for i, (*_, f) in enumerate(own):
+                for i, (*_, f) in enumerate(observed(text)):
                     key = (2 * ROLES.index(role) + (i > 0), *f)
                     found[key] = found.get(key, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in found], pa.int32()) for i in range(1 + len(FEATURES))]
