@@ -1,0 +1,56 @@
+import os
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from ordergate.llm import token_shards as S
+from ordergate.llm.common import new_path, table
+from ordergate.llm.tokens import vocabulary_path, word_ids
+from tests.llm.helpers import documents, empty
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 16, 17, 1000, 4097, 60_000])
+def test_permutation(n):
+    p = S.Permutation(n, 7)
+    slots = p.slots(np.arange(n))
+    assert sorted(slots.tolist()) == list(range(n)) and (p.numbers(slots) == np.arange(n)).all()
+    if n >= 1000:
+        assert (S.Permutation(n, 8).slots(np.arange(n)) != slots).mean() > 0.9
+        assert abs(np.corrcoef(np.arange(n), slots)[0, 1]) < 0.15
+
+
+def test_round_trip_and_resume(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents").repartition(3, "doc_id").cache()
+    folder = new_path(spark, "test-shards")
+    manifest, total = S.write_shards(docs, folder, sequence=64, shard=50)
+    rows = S.read_shards(spark, folder, total, 64, 50).toPandas().sort_values("slot")
+    assert rows.slot.tolist() == list(range(total)) and sorted(rows.sequence) == list(range(total))
+    assert (rows.shard == rows.slot // 50).all() and (rows.place == rows.slot % 50 * 128).all()
+    assert all(zlib.crc32(i) == c for i, c in zip(rows.ids, rows.ids_crc32))
+    # In sequence order the ids are the documents', task by task.
+    ids = np.concatenate([np.frombuffer(i, "<u2") for i in rows.sort_values("sequence").ids])
+    want = []
+    for part in docs.select("text").rdd.glom().collect():
+        own, first = word_ids(vocabulary_path()).of_texts(pa.array([r.text or "" for r in part], pa.large_string()))
+        want.append(np.insert(own, first[1:], 1))
+    assert (ids[ids != S.PAD] == np.concatenate(want)).all()
+    assert rows.n_tokens.sum() == sum(map(len, want))
+    tail = S.read_shards(spark, folder, total, 64, 50, resume_at=total - 75, with_ids=False).toPandas()
+    assert sorted(tail.slot) == list(range(total - 75, total))
+    base = new_path(spark, "x").rsplit("/", 1)[0].removeprefix("file://") + "/" + folder.rsplit("/", 1)[1]
+    files = sorted(f for f in os.listdir(base) if f.startswith("shard-") and not f.endswith(".crc"))
+    before = [os.stat(f"{base}/{f}").st_mtime_ns for f in files]
+    with open(f"{base}/{files[1]}", "r+b") as f:
+        f.truncate(10)                                   # an unfinished shard is written again, whole ones are not
+    again, _ = S.write_shards(docs, folder, sequence=64, shard=50)
+    after = [os.stat(f"{base}/{f}").st_mtime_ns for f in files]
+    assert [a != b for a, b in zip(after, before)] == [i == 1 for i in range(len(files))]
+    assert sorted(again.collect()) == sorted(manifest.collect())
+
+
+def test_odd_rows(spark):
+    got = S.shard_round_trip(documents(spark, [(1, None), (2, ""), (None, "word " * 3000), (1, "again")], partitions=1), sequence=64, shard=8).collect()
+    assert sum(r.n_tokens for r in got) == 3000 + 1 + 4
+    assert S.shard_round_trip(empty(spark)).collect() == []
