@@ -158,6 +158,17 @@ def train(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
         return b"".join(samples)[:size]
 
 
+def _samples(rows: DataFrame) -> list[bytes]:
+    """The heads of the SAMPLE_PAGES pages with the smallest id hashes: the hashes are
+    picked first, so no task sends more than that many numbers or heads."""
+    rank = F.xxhash64("page_id")
+    last = rows.select(rank.alias("h")).orderBy("h").limit(SAMPLE_PAGES).agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    found = rows.where(rank <= F.lit(last)).select(F.substring("payload", 1, SAMPLE_BYTES)).limit(SAMPLE_PAGES).collect()
+    return sorted(bytes(r[0]) for r in found if r[0])
+
+
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                    least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write all pages below ``folder`` (a URI that all executors reach); returns
@@ -167,9 +178,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
     copies = store(rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest")
                    .agg(F.count("*").alias("k"), F.max("page_id").alias("refers_to")).where("k > 1").drop("k"), "copies")
-    samples = [bytes(r[0]) for r in rows.orderBy(F.xxhash64("page_id", "digest")).limit(SAMPLE_PAGES)
-               .select(F.substring("payload", 1, SAMPLE_BYTES)).collect() if r[0]]
-    dictionary = train(samples)
+    dictionary = train(_samples(rows))
 
     def run(batches):
         from pyarrow.fs import FileSystem
