@@ -147,7 +147,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
                     closed += packer.add(doc, len(own) // 4)
                     doc += 1
                 yield rows(closed)
-        yield rows(packer.finish())
+        if packer.open:
+            yield rows(packer.finish())
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, " + ", ".join(f"{c} bigint" for c in names[1:7]) + ", ids binary" * with_ids

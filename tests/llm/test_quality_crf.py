@@ -40,7 +40,7 @@ def test_lines_and_features():
     different = features[:, 7]
     assert different[1] == 0.5 and different[0] == 1
     assert features[4, 1] == pytest.approx(3 / 4) and features[4, 2] == pytest.approx(2 / 12)
-    assert features[:, 11].tolist() == [0, 0, 0, 0, 0, 0, 1, 1]
+    assert features[:, 11].tolist() == [0, 0, 0, 0, 0, 0, 1, 0]
 
 
 def test_held_out_accuracy(spark):
