@@ -96,16 +96,14 @@ def flag_duplicates(typed: DataFrame) -> DataFrame:
     """``_dup`` = another row with the same id comes first. NULL ids are one
     group, as in the reference.
 
-    Rows are ranked by position (NULL last), then content, then place in the
-    scan, so of rows that share a supplied position still only one stays. Only
-    repeated ids have a partner in the join: a small side when ids are mostly
+    Rows are ranked by position (NULL last), then place in the scan, so of rows
+    that share a supplied position still only one stays. The aggregate reads the id
+    and the position alone. Only repeated ids have a partner in the join: a small side when ids are mostly
     unique, which Spark may broadcast by its runtime size; else a sort-merge join,
     both of whose sides are plain shuffles, so that AQE splits a hot id (or the
     NULL-id group).
     """
-    content = F.xxhash64(*[F.col(c) for c in (*S.TEXT_COLUMNS, *S.NUMBER_COLUMNS)])
     ranked = typed.withColumn("_rank", F.struct(F.coalesce(F.col(S.ROW_POSITION), F.lit(_LAST)).alias("at"),
-                                                content.alias("content"),
                                                 F.monotonically_increasing_id().alias("place")))
     first = (ranked.groupBy("pedido_id").agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_n"))
              .where(F.col("_n") > 1).select(F.col("pedido_id").alias("_id"), "_first"))
