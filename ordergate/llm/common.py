@@ -60,9 +60,8 @@ def store(df: DataFrame, label: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Delete a table written by :func:`store` that nothing reads any more."""
     spark = df.sparkSession
-    root = f"{shared_dir(spark)}/ordergate-llm/".replace("file:///", "file:/")
     for parent in {os.path.dirname(f) for f in df.inputFiles()}:
-        if not parent.replace("file:///", "file:/").startswith(root):
+        if os.path.basename(os.path.dirname(parent)) != "ordergate-llm":
             raise ValueError(f"{parent} is not a table of the shared folder")
         jpath = spark._jvm.org.apache.hadoop.fs.Path(parent)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordergate.llm.common import store
+from ordergate.llm.common import discard, store
 
 
 def _contract(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -32,13 +32,18 @@ def components(edges: DataFrame) -> DataFrame:
     edges = store(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     rounds = []
     while not edges.isEmpty():
-        names, edges = _contract(edges)
+        names, renamed = _contract(edges)
+        discard(edges)
         rounds.append(names)
+        edges = renamed
     if not rounds:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     found = rounds[-1].withColumnRenamed("name", "component")
     for names in reversed(rounds[:-1]):
         later = found.select(F.col("node").alias("name"), "component")
-        found = store(names.join(later, "name", "left")
+        whole = store(names.join(later, "name", "left")
                       .select("node", F.coalesce("component", "name").alias("component")), "components")
+        discard(found)
+        discard(names)
+        found = whole
     return found

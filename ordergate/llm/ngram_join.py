@@ -9,9 +9,10 @@ link. Documents already joined by earlier links are not verified again, so a
 group of copies costs links in proportion to its documents.
 
 Groups come from a lossless partition of the sets: a linked pair differs in at
-most d shingles, so of d + 2 hash parts of the sets two are equal, and one of them is
-not empty. Equal parts are found by a shuffle on their hashes; connected equal parts
-form a group. A group beyond BLOCK documents is refined by its own shingle
+most d shingles, so of d + 1 + e hash parts of the sets 1 + e are equal; unless both
+sets leave more than e parts empty (these then count too), one equal part is not
+empty. Equal parts are found by a shuffle on their hashes; each set leaves out the
+most frequent parts that it can spare, and what equal parts connect is a group. A group beyond BLOCK documents is refined by its own shingle
 rarities (two linked sets share one of their rarest shingles), then checked
 against its most typical member, and only the rest is searched against all of it,
 block by block.
@@ -30,14 +31,15 @@ from __future__ import annotations
 import functools
 import heapq
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordergate.llm.common import (LOWER, bitmap, byte_slices, marked, shingle_hashes, split_words, store,
+from ordergate.llm.common import (LOWER, bitmap, byte_slices, discard, marked, shingle_hashes, split_words, store,
                                   translated, without, word_hashes)
 from ordergate.llm.components import components
 
@@ -45,7 +47,7 @@ SHINGLE = 3
 PERCENT = 90
 BLOCK = 512                 # documents searched together
 BLOCK_SHINGLES = 1_000_000  # and their shingles
-SPARE = 1                   # parts beyond the d + 1 of the pigeonhole argument
+RARE = 1e-4                 # share of sets that may leave more parts empty than there are spare ones
 HEAP_WEIGHT = 0.0085        # DivideSkip's weight of the longest list's logarithm
 
 
@@ -76,16 +78,36 @@ def sets_of(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @functools.lru_cache(maxsize=8)
-def size_classes(percent: int, upto: int) -> tuple[np.ndarray, np.ndarray]:
-    """(lower bounds, number of parts) of set-size classes: linked sets lie in the
-    same class or in neighbouring ones, and differ in less than parts - SPARE shingles."""
-    bounds, parts = [1, 2], []
+def size_classes(percent: int, upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lower bounds, number of parts, spare parts) of set-size classes: linked sets lie in
+    the same class or in neighbouring ones, and differ in less than parts - spare shingles."""
+    bounds, parts, spares = [1, 2], [], []
     while bounds[-2] <= upto:
-        most = bounds[-1] - 1
+        most, least = bounds[-1] - 1, bounds[-2]
         largest = 100 * most // percent
-        parts.append((100 - percent) * (most + largest) // (100 + percent) + 1 + SPARE)
+        needed = (100 - percent) * (most + largest) // (100 + percent) + 1
+        spare = 1
+        while spare < needed + 4 and _above(needed + spare, least, spare) > RARE:
+            spare += 1
+        parts.append(needed + spare)
+        spares.append(spare)
         bounds.append(max(bounds[-1] + 1, largest + 1))
-    return np.array(bounds), np.array(parts)
+    return np.array(bounds), np.array(parts), np.array(spares)
+
+
+def _above(parts: int, size: int, spare: int) -> float:
+    """How likely a set of ``size`` leaves more than ``spare`` of its parts empty (beyond
+    64 parts by the normal distribution)."""
+    if parts <= 64:
+        filled = np.zeros(parts + 1)
+        filled[0] = 1.0
+        grow = (parts - np.arange(parts)) / parts
+        for _ in range(size):
+            filled[1:] = filled[1:] * np.arange(1, parts + 1) / parts + filled[:-1] * grow
+            filled[0] = 0.0
+        return float(filled[:parts - spare].sum())
+    mean = parts * (1 - 1 / parts) ** size
+    return 0.5 * math.erfc((spare + 0.5 - mean) / math.sqrt(2 * mean + 1e-9))
 
 
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -96,12 +118,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def part_signatures(h: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text of each signature, signature): hashes of each set's parts, for its own
-    size class and as the larger partner of the class below."""
+def part_signatures(h: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """(text, signature, family, surplus) of the parts of each set, for its own size class
+    (family 0) and as the larger partner of the class below (family 1). Linked sets
+    have more than ``surplus`` filled parts in common within a family."""
     size = np.diff(first)
-    bounds, parts = size_classes(percent, 1 << max(4, int(size.max(initial=1)).bit_length()))
-    of, out = [], []
+    bounds, parts, spares = size_classes(percent, 1 << max(4, int(size.max(initial=1)).bit_length()))
+    columns = [[], [], [], []]
     for below in (0, 1):
         texts = np.flatnonzero(size > below)
         kind = np.searchsorted(bounds, size[texts], "right") - 1 - below
@@ -116,68 +139,75 @@ def part_signatures(h: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.
         np.add.at(total, base[:-1][mine] + part, _mixed(x + _ODD))
         filled = np.bincount(base[:-1][mine] + part, minlength=base[-1]) > 0
         owner = np.repeat(np.arange(len(texts)), m)
-        empty = np.bincount(owner[~filled], minlength=len(texts))
-        use = filled | (empty > SPARE)[owner]
+        surplus = spares[kind] - np.bincount(owner[~filled], minlength=len(texts))
+        use = filled | (surplus < 0)[owner]
         name = (kind[owner] << 32) + np.arange(base[-1]) - base[:-1][owner]
-        of.append(texts[owner][use])
-        out.append(_mixed(_mixed(total) + _mixed(name.astype(np.uint64) + _ODD))[use])
-    return np.concatenate(of), np.concatenate(out)
+        signature = _mixed(_mixed(total) + _mixed(name.astype(np.uint64) + _ODD))
+        for column, values in zip(columns, (texts[owner], signature, np.full(len(owner), below, np.int32),
+                                            np.maximum(surplus, 0).astype(np.int32)[owner])):
+            column.append(values[use])
+    return tuple(np.concatenate(c) for c in columns)
 
 
 def _node(own: np.ndarray, seed: int) -> int:
     return xxhash.xxh64_intdigest(own.tobytes(), seed) - (1 << 63)
 
 
-def scan(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, seed: int) -> DataFrame:
-    """doc_id, n_shingles, node (null for empty sets), digest, parts (packed signatures)."""
+def scan(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
+    """doc_id, n_shingles, node (null for empty sets), digest."""
     def run(batches):
         for batch in batches:
             for row, texts in byte_slices(batch.column(1)):
                 h, first = sets_of(texts, shingle)
-                of, signature = part_signatures(h, first, percent)
-                order = np.argsort(of, kind="stable")
-                cuts = np.searchsorted(of[order], np.arange(len(texts) + 1))
-                packed = signature[order].astype("<u8")
                 sets = [h[a:b] for a, b in zip(first, first[1:])]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(row, len(texts)), pa.array(np.diff(first)),
                     pa.array([_node(s, seed) if len(s) else None for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    pa.array([packed[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
-                ], ["doc_id", "n_shingles", "node", "digest", "parts"])
+                ], ["doc_id", "n_shingles", "node", "digest"])
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(
-        run, f"doc_id {kind}, n_shingles bigint, node bigint, digest binary, parts binary")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node bigint, digest binary")
 
 
-def part_rows(scanned: DataFrame, bits=None) -> DataFrame:
-    """(hash, node) of every part, or of those that a bitmap marks."""
+def part_rows(docs: DataFrame, text_col: str, shingle: int, percent: int, seed: int, bits=None) -> DataFrame:
+    """(hash, node, family, surplus) of every part of every set, or of those that a bitmap
+    marks; made anew for each use, which costs a scan but no disk."""
     def run(batches):
         for batch in batches:
-            seen, node, out = set(), [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-            for n, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if n in seen:
-                    continue
-                seen.add(n)
-                own = np.frombuffer(packed, "<u8")
+            for _, texts in byte_slices(batch.column(0)):
+                h, first = sets_of(texts, shingle)
+                of, signature, family, surplus = part_signatures(h, first, percent)
                 if bits is not None:
-                    own = own[marked(bits.value, own)]
-                node.append(np.full(len(own), n))
-                out.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(node))], ["hash", "node"])
-    return scanned.where("node IS NOT NULL").select("node", "parts").mapInArrow(run, "hash bigint, node bigint")
-
-
-def groups(scanned: DataFrame) -> DataFrame:
-    """(node, component): nodes connected by equal parts."""
-    shared = store(part_rows(scanned).groupBy("hash").agg(F.min("node").alias("a"), F.max("node").alias("z"))
-                   .where("a != z").select("hash", "a"), "shared")
-    rows = part_rows(scanned, bitmap(scanned.sparkSession, shared))
-    return components(rows.join(shared, "hash").select("a", F.col("node").alias("b")))
+                    at = marked(bits.value, signature)
+                    of, signature, family, surplus = of[at], signature[at], family[at], surplus[at]
+                nodes = np.array([_node(h[a:b], seed) if b > a else 0 for a, b in zip(first, first[1:])], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(nodes[of]), pa.array(family), pa.array(surplus)],
+                                                 ["hash", "node", "family", "surplus"])
+    return docs.select(text_col).mapInArrow(run, "hash bigint, node bigint, family int, surplus int")
+
+
+def groups(docs: DataFrame, text_col: str, shingle: int, percent: int, seed: int) -> DataFrame:
+    """(node, component): nodes connected by equal parts.
+
+    Linked sets have more than ``surplus`` parts in common, so each set may leave out as
+    many of its parts, the most frequent ones: in one order for all sets, the rarest
+    common part is left out by neither. That keeps passages which many documents
+    share from connecting them.
+    """
+    shared = store(part_rows(docs, text_col, shingle, percent, seed).groupBy("hash")
+                   .agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).where("a != z").select("hash", "n"), "shared")
+    rows = part_rows(docs, text_col, shingle, percent, seed, bitmap(docs.sparkSession, shared)).join(shared, "hash").distinct()
+    place = F.row_number().over(Window.partitionBy("node", "family").orderBy(F.desc("n"), "hash"))   # at most a set's parts
+    kept = store(rows.withColumn("place", place).where("place > surplus").select("hash", "node"), "parts")
+    first = kept.groupBy("hash").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").drop("z")
+    found = components(kept.join(first, "hash").select("a", F.col("node").alias("b")))
+    discard(kept)
+    discard(shared)
+    return found
 
 
 def member_sets(docs: DataFrame, text_col: str, shingle: int, seed: int, grouped: DataFrame) -> DataFrame:
-    """(node, set, n, component) of the grouped nodes, once each; set holds packed sorted hashes."""
+    """The rows of ``grouped`` with each node's set (packed sorted hashes) and its size n."""
     bits = bitmap(docs.sparkSession, grouped.select(F.col("node").alias("hash")))
 
     def run(batches):
@@ -190,7 +220,8 @@ def member_sets(docs: DataFrame, text_col: str, shingle: int, seed: int, grouped
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([sets[x].astype("<u8").tobytes() for x in nodes], pa.binary()),
                                                   pa.array([len(sets[x]) for x in nodes], pa.int64())], ["node", "set", "n"])
     rows = docs.select(text_col).mapInArrow(run, "node bigint, set binary, n bigint")
-    return rows.dropDuplicates(["node", "set", "n"]).join(grouped, "node")
+    # Equal nodes have equal sets: any one will do.
+    return rows.groupBy("node").agg(F.first("set").alias("set"), F.first("n").alias("n")).join(grouped, "node")
 
 
 class DivideSkip:
@@ -211,11 +242,13 @@ class DivideSkip:
     def search(self, query: np.ndarray, skip) -> list[int]:
         """Documents of the block that link with ``query``; ``skip(d)`` says which need no answer."""
         n, p = len(query), self.percent
+        if not n or not len(self.tokens):
+            return []
         at = np.minimum(np.searchsorted(self.tokens, query), max(0, len(self.tokens) - 1))
-        lists = at[self.tokens[at] == query] if len(self.tokens) else at
+        lists = at[self.tokens[at] == query]
         length = self.bounds[lists + 1] - self.bounds[lists]
         least = int(required(n, -(-p * n // 100), p))
-        if len(lists) < least or not n:
+        if len(lists) < least:
             return []
         lists = lists[np.argsort(-length, kind="stable")]
         long = min(least - 1, int(least / (HEAP_WEIGHT * np.log2(max(2, length.max())) + 1)))
@@ -313,20 +346,26 @@ def hub_links(members: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "component bigint, blocks int, node bigint, set binary, n bigint, hub bigint, linked boolean")
 
 
-def links_of(members: DataFrame, percent: int, block: int, block_shingles: int) -> DataFrame:
+def links_of(docs: DataFrame, text_col: str, shingle: int, percent: int, seed: int, scanned: DataFrame, grouped: DataFrame,
+             block: int, block_shingles: int) -> DataFrame:
     """(a, b): links that connect all that links connect."""
-    sized = store(members.join(_blocks(members, block, block_shingles), "component"), "members")
+    sizes = scanned.where("node IS NOT NULL").select("node", F.col("n_shingles").alias("n")).distinct().join(grouped, "node")
+    sized = store(grouped.join(_blocks(sizes, block, block_shingles), "component"), "sized")
+    members = member_sets(docs, text_col, shingle, seed, sized)
     yes = F.lit(True)
-    small = sized.where("blocks = 1").select(F.struct("component", F.lit(0).alias("i"), F.lit(0).alias("j")).alias("tile"),
-                                             "node", "set", yes.alias("query"), yes.alias("index"))
-    large = sized.where("blocks > 1").drop("blocks")
-    if large.isEmpty():
-        return store(tile_links(small, percent), "links")
+
+    def whole(rows, kind):
+        return rows.select(F.struct("component", F.lit(kind).alias("i"), F.lit(kind).alias("j")).alias("tile"),
+                           "node", "set", yes.alias("query"), yes.alias("index"))
+    if sized.where("blocks > 1").isEmpty():
+        return store(tile_links(whole(members, 0), percent), "links")
+    members = store(members, "members")
+    small = whole(members.where("blocks = 1"), 0)
+    large = members.where("blocks > 1").drop("blocks")
     finer, typical = refine(large, percent)
     again = large.drop("component").join(finer, "node")
     again = store(again.join(_blocks(again, block, block_shingles), "component"), "finer")
-    small = small.unionByName(again.where("blocks = 1").select(
-        F.struct("component", F.lit(1).alias("i"), F.lit(1).alias("j")).alias("tile"), "node", "set", yes.alias("query"), yes.alias("index")))
+    small = small.unionByName(whole(again.where("blocks = 1"), 1))
     rest = again.where("blocks > 1")
     hubs = (rest.join(typical, "node").groupBy("component").agg(F.max_by(F.struct("node", "set"), F.struct("typical", "node")).alias("h"))
             .select("component", F.col("h.node").alias("hub"), F.col("h.set").alias("hub_set")))
@@ -352,12 +391,12 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                percent: int = PERCENT, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     for seed in itertools.count():
-        scanned = store(scan(docs, id_col, text_col, shingle, percent, seed), "sets")
+        scanned = store(scan(docs, id_col, text_col, shingle, seed), "sets")
         collided = scanned.groupBy("node", "digest").count().groupBy("node").count().where("node IS NOT NULL AND count > 1")
         if collided.isEmpty():
             break
-    grouped = groups(scanned)
-    linked = components(links_of(member_sets(docs, text_col, shingle, seed, grouped), percent, block, block_shingles))
+    grouped = groups(docs, text_col, shingle, percent, seed)
+    linked = components(links_of(docs, text_col, shingle, percent, seed, scanned, grouped, block, block_shingles))
     rows = scanned.select("doc_id", "n_shingles", "node")
     named = store(rows.join(linked, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("class")), "classes")
     several = store(named.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("k"))

@@ -91,8 +91,16 @@ def test_linked_sets_share_a_part(percent):
         b = np.unique(np.concatenate([a[rng.random(len(a)) > rng.choice([0, 0.05, 0.15])], rng.integers(0, 1 << 60, rng.integers(0, 1 + n // 8)).astype(np.uint64)]))
         if 100 * len(np.intersect1d(a, b)) < percent * len(np.union1d(a, b)):
             continue
-        of, signature = N.part_signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), percent)
-        assert set(signature[of == 0]) & set(signature[of == 1])
+        of, signature, family, surplus = N.part_signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), percent)
+        # With any order of the parts, leaving out each set's surplus first ones leaves a common one.
+        order = {x: (rng.random() < 0.5, i) for i, x in enumerate(sorted(set(signature.tolist())))}
+        kept = [set(), set()]
+        for text in (0, 1):
+            for f in (0, 1):
+                mine = (of == text) & (family == f)
+                if mine.any():
+                    kept[text] |= set(sorted(signature[mine].tolist(), key=order.get)[surplus[mine][0]:])
+        assert kept[0] & kept[1]
 
 
 def test_repeated_rows_and_empty_table(spark):
