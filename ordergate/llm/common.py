@@ -168,7 +168,34 @@ def marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.flatnonzero(bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
 
 
-def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is not in ``dropped`` (null ids stay)."""
-    gone = dropped.select(F.col(id_col).alias("_gone")).where("_gone IS NOT NULL")
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+def row_keys(docs: DataFrame, id_col: str, nulls_first: bool) -> tuple[DataFrame, str]:
+    """``docs`` with one more column, a key that no other row has, and its name.
+
+    The key orders rows by id, null ids first or last. An id that only one row
+    has is its key; rows with null or repeated ids are written once with a
+    number, so the key does not change on a recomputation.
+    """
+    name = "_row_key"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+
+    def key(rows, number):
+        null = F.col(id_col).isNull()
+        return rows.withColumn(name, F.struct((~null if nulls_first else null).alias("rank"), F.col(id_col).alias("id"),
+                                              number.alias("number")))
+    single = F.lit(-1).cast("long")
+    odd = store(docs.groupBy(F.col(id_col).alias(name)).count().where((F.col("count") > 1) | F.col(name).isNull()).select(name), "odd-ids")
+    if odd.isEmpty():
+        return key(docs, single), name
+    known, repeated = docs.where(F.col(id_col).isNotNull()), odd.where(F.col(name).isNotNull())
+    same = known[id_col] == repeated[name]
+    # Null ids take no part in a join, where they would meet in one task.
+    several = docs.where(F.col(id_col).isNull()).unionByName(known.join(repeated, same, "left_semi"))
+    numbered = store(key(several, F.monotonically_increasing_id()), "numbered")
+    return key(known.join(repeated, same, "left_anti"), single).unionByName(numbered), name
+
+
+def without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """The rows of ``docs`` whose key (see :func:`row_keys`) is not in ``dropped``; the key goes."""
+    gone = dropped.select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs[key] == gone["_gone"], "left_anti").drop(key)

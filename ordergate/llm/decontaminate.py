@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordergate.llm.common import (byte_slices, shingle_hashes, split_words, store, translated, utf8,
+from ordergate.llm.common import (byte_slices, row_keys, shingle_hashes, split_words, store, translated, utf8,
                                   without, word_hashes)
 
 WINDOW = 13
@@ -190,6 +190,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, **columns) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the contaminated ones (all columns)."""
-    bad = decontaminate(docs, items, id_col=id_col, text_col=text_col).where("contaminated").select("doc_id")
-    return without(docs, store(bad, "contaminated"), id_col)
+    """``docs`` without the contaminated ones (all columns), decided per row whatever the ids."""
+    rows, key = row_keys(docs, id_col, nulls_first=False)
+    bad = decontaminate(rows, items, id_col=key, text_col=text_col).where("contaminated").select("doc_id")
+    return without(rows, store(bad, "contaminated"), key)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordergate.llm.common import slices, store, utf8
+from ordergate.llm.common import row_keys, slices, store, utf8, without
 
 WINDOW = 32                       # bytes that decide a cut
 MIN_CHUNK, MAX_CHUNK = 128, 2048  # bytes; the minimum covers the window
@@ -149,16 +149,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row per distinct normalised text (all columns).
 
-    Rows are dropped by id; where repeated rows share the id that stays, one
-    of them is taken."""
-    decisions = store(exact_dedup(docs, id_col, text_col).select("doc_id", "kept"), "decisions")
-    kept = decisions.where("kept").select(F.col("doc_id").alias("_kept"))
-    gone = decisions.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    twice = store(gone.join(kept, F.col("_gone").eqNullSafe(F.col("_kept")), "left_semi"), "repeated")
-    left = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
-    if twice.isEmpty():
-        return left
-    again = docs.join(twice, docs[id_col].eqNullSafe(twice["_gone"]), "left_semi")
-    keep = decisions.where("kept").select("doc_id")
-    one = again.join(keep.distinct(), docs[id_col].eqNullSafe(keep["doc_id"]), "left_semi")
-    return left.unionByName(one.dropDuplicates([id_col]))
+    Decided per row: rows with null or repeated ids stay or go by their own text."""
+    rows, key = row_keys(docs, id_col, nulls_first=True)
+    return without(rows, store(exact_dedup(rows, key, text_col).where("NOT kept").select("doc_id"), "copies-gone"), key)

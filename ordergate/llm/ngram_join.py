@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordergate.llm.common import (LOWER, bitmap, byte_slices, discard, marked, shingle_hashes, split_words, store,
+from ordergate.llm.common import (LOWER, bitmap, byte_slices, discard, marked, row_keys, shingle_hashes, split_words, store,
                                   translated, without, word_hashes)
 from ordergate.llm.components import components
 
@@ -406,7 +406,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the smallest id of each component (all columns)."""
-    found = ngram_join(docs, id_col, text_col, **options)
-    gone = store(found.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)), "near-copies")
-    return without(docs, gone, id_col)
+    """``docs`` with one row of each component, the smallest id's (all columns).
+
+    Decided per row: null ids come last, of rows with the smallest id one stays."""
+    rows, key = row_keys(docs, id_col, nulls_first=False)
+    found = ngram_join(rows, key, text_col, **options)
+    return without(rows, store(found.where("doc_id != component_id").select("doc_id"), "near-copies"), key)

@@ -1,0 +1,51 @@
+"""The dropping stages decide per row where ids are null or repeated."""
+
+import pytest
+
+from ordergate.llm import decontaminate as D
+from ordergate.llm import exact_dedup as X
+from ordergate.llm import ngram_join as N
+from tests.llm.helpers import documents
+
+
+@pytest.fixture(params=["-1", "10m"])
+def joins(spark, request):
+    """Sorted and broadcast joins."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, request.param)
+    yield
+    spark.conf.set(name, before)
+
+
+def left(df):
+    return sorted(((r.doc_id or 0, r.text) for r in df.collect()))
+
+
+def test_exact_copies(spark, joins):
+    rows = [(None, "one"), (None, "two"), (None, "three"), (None, "copy of 9"), (9, "copy of 9"), (None, "twice"), (None, "TWICE"),
+            (5, "unique A"), (5, "Copy of 9"), (7, "x"), (7, "X"), (3, None)]
+    docs = documents(spark, rows).withColumnRenamed("_gone", "_row_key")
+    got = X.drop_copies(docs)
+    assert got.columns == docs.columns
+    texts = sorted(((i, (t or "").lower()) for i, t in left(got)))
+    assert texts == [(0, "one"), (0, "three"), (0, "twice"), (0, "two"), (3, ""), (5, "unique a"), (7, "x"), (9, "copy of 9")]
+
+
+def test_near_copies(spark, joins):
+    words = [f"w{i}" for i in range(60)]
+    base, near, other = " ".join(words), " ".join(words[1:]), " ".join(f"o{i}" for i in range(60))
+    rows = [(None, base), (4, near), (8, base + " z"), (None, other), (None, other + " z"), (None, "alone one two"), (None, "apart three four"),
+            (6, "single five six"), (6, near + " y"), (2, None), (None, "")]
+    assert left(N.keep_one(documents(spark, rows)))[:2] == [(0, ""), (0, "alone one two")]
+    got = left(N.keep_one(documents(spark, rows)))
+    assert [r for r in got if r[0]] == [(2, None), (4, near), (6, "single five six")]
+    assert len([t for i, t in got if not i and t and t.startswith("o0")]) == 1
+    assert {t for i, t in got if not i} - {other, other + " z"} == {"", "alone one two", "apart three four"}
+
+
+def test_contaminated(spark, joins):
+    item = " ".join(f"b{i}" for i in range(13))
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    rows = [(None, item), (None, "clean one"), (None, "clean two"), (5, item + " more"), (5, "clean five"), (6, item), (7, "clean seven")]
+    assert left(D.drop_contaminated(documents(spark, rows), items)) == [(0, "clean one"), (0, "clean two"), (5, "clean five"), (7, "clean seven")]
