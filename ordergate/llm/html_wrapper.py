@@ -59,21 +59,44 @@ OUT_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "
              "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "footer", "masthead", "sidebar", "aside", "widget",
              "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter",
              "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "comment",
-             "comments", "reply", "replies", "respond", "discussion", "disqus", "pagination", "pager", "toolbar", "copyright",
+             "comments", "reply", "replies", "respond", "disqus", "pagination", "pager", "toolbar", "copyright",
              "complementary", "contentinfo", "search"}
+#: Words and tags that mark boilerplate even where it is most of a page.
+FIRM = {"comment", "comments", "reply", "replies", "respond", "disqus", "ad", "ads", "advert", "adverts", "advertisement", "advertising",
+        "cookie", "cookies", "consent", "gdpr", "notice", "notices", "popup", "modal", "overlay", "copyright"} | OUT - {"form", "fieldset"}
+COMMENTS = {"comment", "comments", "reply", "replies", "respond", "disqus"}
+#: Last words that say how a thing is laid out; the word before them says what it is ("share-links", "sidebar-left").
+LAYOUT = {"links", "link", "list", "lists", "item", "items", "box", "block", "bar", "container", "wrapper", "wrap", "area", "section",
+          "button", "buttons", "icon", "icons", "form", "panel", "widget", "widgets", "slot", "unit", "row", "col", "column", "inner",
+          "outer", "content", "left", "right", "top", "bottom", "primary", "secondary", "posts", "articles", "stories", "text", "title",
+          "this", "group", "message", "body"}
+#: Words that make a name speak of what else is there ("with-sidebar").
+STATES = {"with", "without", "has", "no", "not", "is", "show", "hide", "before", "after", "above", "below"}
+ARTICLE_PARTS = {"entry", "post", "article", "story", "content", "section", "title"}
 PAGE_HEADS = {"header"}
 MAIN = {"article", "main"}
 HOLDERS = {"article", "main", "section", "div", "td", "body"}
 
 
-def _key(name: str, tag: str) -> tuple[str, bool]:
-    """(name with class, id and role; whether those mark something outside the main text)."""
+def _role(name: str) -> str:
+    """What a class, id or role says the element is: "ad" for top-ad and adBox, nothing for with-sidebar."""
+    words = [w.lower() for w in WORD.findall(name)]
+    while len(words) > 1 and words[-1] in LAYOUT:
+        words.pop()
+    if not words or STATES & set(words[:-1]) or words[-1] == "header" and ARTICLE_PARTS & set(words[:-1]):
+        return ""
+    return words[-1]
+
+
+def _key(name: str, tag: str) -> tuple[str, str]:
+    """(name with class, id and role; the tag or role word that marks something outside the main text, or nothing)."""
     kinds = [(k.lower(), a or b or c) for k, a, b, c in KIND.findall(tag)]
-    out = name in OUT
-    for kind, value in kinds:
-        if name not in ("html", "body") and not out:
-            words = {w.lower() for w in WORD.findall(value)}
-            out = bool(words & OUT_WORDS) or ("header" in words and name not in MAIN)
+    out = name if name in OUT or name in PAGE_HEADS else ""
+    if not out and name not in ("html", "body"):
+        roles = {_role(v) for _, value in kinds for v in value.split()}
+        # An article can be a reader's comment; nothing else takes a main element out.
+        marks = roles & COMMENTS if name == "article" else set() if name in MAIN else roles & (OUT_WORDS | PAGE_HEADS)
+        out = min(marks, key=lambda w: (w in PAGE_HEADS, w not in FIRM, w), default="")
     # Numbers in names differ from page to page.
     return name + "".join(f".{re.sub('[0-9]+', '0', v)}" for _, v in sorted(kinds)), out
 
@@ -84,7 +107,10 @@ class Page:
     def __init__(self, source: str):
         self.tokens: list[tuple] = []   # ("t", key) and ("s", text)
         self.blocks: list[tuple[str, str, bool, bool, int]] = []  # text, path, outside, in article, letters in links
-        self._stack: list[tuple[str, str, bool]] = []
+        self._stack: list[tuple[str, str, str, int]] = []  # name, key, mark, number
+        self._marks: list[dict[int, str]] = []              # of each block: the marked elements that hold it
+        self._holders: dict[str, set[int]] = {name: set() for name in MAIN}  # elements that hold such a one
+        self._opened = 0
         self._text: list[str] = []
         self._linked = 0
         at = 0
@@ -110,6 +136,7 @@ class Page:
             else:
                 self._open(name, m.group())
         self._flush()
+        self._settle()
 
     def _add(self, raw: str) -> None:
         self._text.append(raw)
@@ -123,8 +150,8 @@ class Page:
             holders = [s for s in self._stack if s[0] in HOLDERS]
             path = "/".join(s[1] for s in holders)
             inside = any(s[0] in MAIN for s in self._stack)
-            outside = any(s[2] for s in self._stack) or (not inside and any(s[0] in PAGE_HEADS for s in self._stack))
-            self.blocks.append((text, path, outside, inside, self._linked))
+            self.blocks.append((text, path, False, inside, self._linked))
+            self._marks.append({s[3]: s[2] for s in self._stack if s[2] and not (inside and s[2] in PAGE_HEADS)})
             self.tokens.append(("s", text))
         self._linked = 0
 
@@ -138,7 +165,10 @@ class Page:
         key, out = _key(name, tag)
         self.tokens.append(("t", key))
         if name not in VOID and not tag.endswith("/>"):
-            self._stack.append((name, key, out))
+            if name in MAIN and not out:
+                self._holders[name].update(s[3] for s in self._stack)
+            self._opened += 1
+            self._stack.append((name, key, out, self._opened))
 
     def _close(self, name: str) -> None:
         if name not in INLINE:
@@ -148,6 +178,29 @@ class Page:
                 pass
             self.tokens.append(("t", "/" + name))
 
+    def _settle(self) -> None:
+        """Which blocks are outside. A marked element is not, whatever its name, if it holds
+        <main>, the page's only articles or, its mark not being firm, most of the text."""
+        free = set(self._holders["main"])
+        for step in range(3):
+            held = [{n: m for n, m in marks.items() if n not in free} for marks in self._marks]
+            if step == 0 and not any(b[3] and not h for b, h in zip(self.blocks, held)):
+                free |= {n for h in held for n, m in h.items() if n in self._holders["article"] and m not in COMMENTS}
+            elif step == 1:
+                plain, size = sum(map(plain_size, self.blocks)), Counter()
+                for b, h in zip(self.blocks, held):
+                    size.update({n: plain_size(b) for n, m in h.items()
+                                 if m not in FIRM and m not in PAGE_HEADS and n not in self._holders["article"]})
+                free |= {n for n, k in size.items() if 2 * k > plain}
+        if held and all(held):  # nothing is left: then what only a name marks is the page's text
+            held = [{n: m for n, m in h.items() if m in OUT} for h in held]
+        self.blocks = [(b[0], b[1], bool(h), *b[3:]) for b, h in zip(self.blocks, held)]
+
+
+def plain_size(block: tuple) -> int:
+    """Letters outside links."""
+    return max(0, len(block[0]) - block[4])
+
 
 # ------------------------------------------------------------------ wrappers
 # A wrapper is a list of items: ["t", key], ["s", text or None], ["?", items],
