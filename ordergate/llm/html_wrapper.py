@@ -12,8 +12,8 @@ of at most FAN, so no task holds a host's pages.
 Extraction keeps the text blocks of the article (or, in pages without one, of the
 container where the host's pages hold most of their text), outside menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments, and without texts that the wrapper found constant over the host's
-pages.
+comments. Texts inside an article all stay; on pages without one, those are left
+out that the wrapper holds as constant at their place (unless nothing else is there).
 
 Defined results: null or empty html gives empty text; pages without a
 recognisable host are wrapped together; markup that never ends is closed at the end
@@ -37,7 +37,6 @@ from ordergate.llm.common import store
 
 FAN = 32             # partial wrappers that one task aligns
 PERIOD = 12          # longest repeated structure, in tokens
-CONSTANT = 5         # pages from which on an unchanged text belongs to the wrapper
 OPTIONS = 32         # adjacent optional groups from which on anything is allowed there
 BROADCAST = 16 << 20  # bytes of wrappers up to which extraction broadcasts them
 
@@ -178,6 +177,9 @@ class Page:
                 pass
             self.tokens.append(("t", "/" + name))
 
+    def has_article(self) -> bool:
+        return any(b[3] and not b[2] for b in self.blocks)
+
     def _settle(self) -> None:
         """Which blocks are outside. A marked element is not, whatever its name, if it holds
         <main>, the page's only articles or, its mark not being firm, most of the text."""
@@ -245,6 +247,11 @@ def fold(items: list) -> list:
     return items
 
 
+def flat(items: list) -> list:
+    """Tags and texts of the items in order, those of a group once."""
+    return [y for x in items for y in (flat(x[1]) if x[0] in "?+" else [x])]
+
+
 def _repeats(names: list[str], period: int) -> bool:
     """Whether some ``period`` adjacent names come again right after."""
     run = 0
@@ -256,8 +263,10 @@ def _repeats(names: list[str], period: int) -> bool:
 
 
 def _same(a, b):
-    """Two items of equal shape as one; differing texts become a slot."""
+    """Two items of equal shape as one; differing texts become a slot (numbers of blocks are gathered)."""
     if a[0] == "s":
+        if len(a) > 2:
+            return ["s", a[1] if a[1] == b[1] else None, a[2] + b[2]]
         return a if a[1] == b[1] else ["s", None]
     if a[0] in "?+":
         return [a[0], [_same(x, y) for x, y in zip(a[1], b[1])]]
@@ -308,6 +317,7 @@ class Wrapper:
         s = json.loads(state) if state else {"items": None, "pages": 0, "held": {}}
         self.items, self.pages, self.held = s["items"], s["pages"], Counter(s["held"])
         self._seen: dict[str, list] = {}
+        self._places: dict[str, list[tuple[int, str]]] = {}
 
     def add(self, page: Page) -> None:
         items = fold([list(t) for t in page.tokens])
@@ -333,23 +343,41 @@ class Wrapper:
     def state(self) -> str:
         return json.dumps({"items": self.items, "pages": self.pages, "held": self.held}, ensure_ascii=False)
 
-    def constants(self) -> set[str]:
-        """Texts that every page of the host has in the same place."""
-        return {x[1] for x in self.items or () if x[0] == "s" and x[1]} if self.pages >= CONSTANT else set()
+    def constants(self, page: Page) -> set[int]:
+        """Numbers of the page's blocks whose text the expression holds unchanged at their place.
+
+        Page and expression are aligned with each group once; blocks without a place
+        in the expression (beyond OPTIONS) are no constants."""
+        number, items = 0, []
+        for kind, value in page.tokens:
+            items.append([kind, value, [number]] if kind == "s" else [kind, value])
+            number += kind == "s"
+        own = flat(fold(items))
+        names = [shape(x) for x in own]
+        key = " ".join(names)
+        if key not in self._places:
+            if len(self._places) >= 256:
+                self._places.clear()
+            whole = flat(self.items or [])
+            self._places[key] = [(y + k, whole[x + k][1])
+                                 for x, y, n in SequenceMatcher(None, [shape(x) for x in whole], names, autojunk=False).get_matching_blocks()
+                                 for k in range(n) if whole[x + k][0] == "s" and whole[x + k][1]]
+        return {n for place, text in self._places[key] for n in own[place][2] if page.blocks[n][0] == text}
 
     def main_path(self) -> str | None:
         return max(self.held, key=lambda p: (self.held[p], p), default=None)
 
 
-def main_text(page: Page, constants: set[str], main_path: str | None) -> str:
-    inside = [b for b in page.blocks if not b[2]]
-    if any(b[3] for b in inside):
-        chosen = [b for b in inside if b[3]]
-    else:
-        chosen = [b for b in inside if b[1] == main_path or main_path and b[1].startswith(main_path + "/")] or inside
-        chosen = [b for b in chosen if 2 * b[4] <= len(b[0])] or chosen  # lists of links
-    own = [b for b in chosen if b[0] not in constants]
-    return " ".join(b[0] for b in own or chosen)
+def main_text(page: Page, constants: set[int], main_path: str | None) -> str:
+    inside = [n for n, b in enumerate(page.blocks) if not b[2]]
+    article = [n for n in inside if page.blocks[n][3]]
+    if article:
+        return " ".join(page.blocks[n][0] for n in article)
+    path = {n: page.blocks[n][1] for n in inside}
+    chosen = [n for n in inside if path[n] == main_path or main_path and path[n].startswith(main_path + "/")] or inside
+    chosen = [n for n in chosen if 2 * page.blocks[n][4] <= len(page.blocks[n][0])] or chosen  # lists of links
+    own = [n for n in chosen if n not in constants]
+    return " ".join(page.blocks[n][0] for n in own or chosen)
 
 
 # ------------------------------------------------------------------ Spark
@@ -389,17 +417,20 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             broadcast_bytes: int = BROADCAST) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     def run(batches):
-        known: dict[str, tuple] = {}
+        known: dict[str, Wrapper] = {}
         for batch in batches:
             ids, urls, sources, states = (batch.column(i) for i in range(4))
             texts = []
             for source, state in zip(sources.to_pylist(), states.to_pylist()):
+                page = Page(source or "")
+                if page.has_article():
+                    texts.append(main_text(page, set(), None))
+                    continue
                 if state not in known:
                     if len(known) > 1000:
                         known.clear()
-                    w = Wrapper(state)
-                    known[state] = w.constants(), w.main_path()
-                texts.append(main_text(Page(source or ""), *known[state]))
+                    known[state] = Wrapper(state)
+                texts.append(main_text(page, known[state].constants(page), known[state].main_path()))
             yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string())], ["page_id", "url", "text"])
     found = wrappers(pages, url_col, html_col).withColumnRenamed("host", "_host")
     size = found.agg(F.sum(F.octet_length("state") + F.octet_length("_host"))).first()[0] or 0

@@ -23,3 +23,27 @@ def test_names_that_only_sound_like_boilerplate():
             ("<body><p>one two three four</p><div class=cookieNotice>c</div><div id=top-ad>ad</div><div class=sidebar-left>s</div>"
              "<div class='site-header'>h</div><div class=comments>a much longer comment than the text</div></body>", "one two three four")):
         assert text_of(source) == want, source
+
+
+def extracted(spark, sources):
+    df = spark.createDataFrame([(i, "http://a.example/", s) for i, s in enumerate(sources)], "page_id bigint, url string, html string")
+    return [r.text for r in sorted(H.extract(df).collect())]
+
+
+def test_constant_texts_inside_an_article_stay(spark):
+    """Whatever the number of the host's pages."""
+    def source(i):
+        return (f"<body><div class=bar><a href=h>News</a></div><article><h1>News</h1><p class=byline>By A. Writer</p><p>Story {i}</p>"
+                "<p>Shared paragraph.</p></article></body>")
+    for n in (1, 2, 4, 5, 7):
+        assert extracted(spark, map(source, range(n))) == [f"News By A. Writer Story {i} Shared paragraph." for i in range(n)]
+
+
+def test_constant_texts_go_only_at_their_place(spark):
+    """A heading like the site's name stays, the site's name goes, at 4 pages as at 5."""
+    def source(i):
+        title = "The Site" if i == 0 else f"Title {i}"
+        return f"<body><div class=box><h5>The Site</h5><h2>{title}</h2><p>Story {i} goes on.</p><h5>The end</h5></div></body>"
+    for n in (4, 5, 7):
+        assert extracted(spark, map(source, range(n))) == ["The Site Story 0 goes on."] + [f"Title {i} Story {i} goes on." for i in range(1, n)]
+    assert extracted(spark, [source(1)] * 3) == ["The Site Title 1 Story 1 goes on. The end"] * 3
