@@ -10,7 +10,7 @@ into one wrapper per host, and partial wrappers are aligned with each other in r
 of at most FAN, so no task holds a host's pages.
 
 Extraction keeps the text blocks of the article (or, in pages without one, of the
-container where the host's pages hold most of their text), outside menus, headers,
+smallest container of all text that the page does not share with its host), outside menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments. Texts inside an article all stay; on pages without one, those are left
 out that the wrapper holds as constant at their place (unless nothing else is there).
@@ -310,8 +310,7 @@ def align(wrapper: list, other: list) -> list:
 
 
 class Wrapper:
-    """A host's expression, its number of pages, how many pages hold each text
-    unchanged, and where their text lies."""
+    """A host's expression, its number of pages, and where their text lies."""
 
     def __init__(self, state: str | None = None):
         s = json.loads(state) if state else {"items": None, "pages": 0, "held": {}}
@@ -322,9 +321,9 @@ class Wrapper:
     def add(self, page: Page) -> None:
         items = fold([list(t) for t in page.tokens])
         self.pages += 1
-        for text, path, outside, *_ in page.blocks:
-            if not outside:
-                self.held[path] += len(text)
+        for block in page.blocks:
+            if not block[2] and 2 * block[4] <= len(block[0]):
+                self.held[block[1]] += len(block[0])
         name = shapes(items)
         known = self._seen.get(name)
         merged = items if known is None else [_same(a, b) for a, b in zip(known, items)]
@@ -364,20 +363,37 @@ class Wrapper:
                                  for k in range(n) if whole[x + k][0] == "s" and whole[x + k][1]]
         return {n for place, text in self._places[key] for n in own[place][2] if page.blocks[n][0] == text}
 
-    def main_path(self) -> str | None:
-        return max(self.held, key=lambda p: (self.held[p], p), default=None)
+    def plain_paths(self) -> set[str]:
+        """Containers where some page of the host has text that is not all links."""
+        return {p for p, n in self.held.items() if n}
 
 
-def main_text(page: Page, constants: set[int], main_path: str | None) -> str:
+def common_path(paths: list[str]) -> str:
+    parts = [p.split("/") for p in paths]
+    low, high = min(parts, default=[]), max(parts, default=[])
+    same = next((k for k, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
+    return "/".join(low[:same])
+
+
+def below(path: str, holder: str) -> bool:
+    return not holder or path == holder or path.startswith(holder + "/")
+
+
+def main_text(page: Page, constants: set[int], plain_paths: set[str] | None) -> str:
     inside = [n for n, b in enumerate(page.blocks) if not b[2]]
     article = [n for n in inside if page.blocks[n][3]]
     if article:
         return " ".join(page.blocks[n][0] for n in article)
     path = {n: page.blocks[n][1] for n in inside}
-    chosen = [n for n in inside if path[n] == main_path or main_path and path[n].startswith(main_path + "/")] or inside
-    chosen = [n for n in chosen if 2 * page.blocks[n][4] <= len(page.blocks[n][0])] or chosen  # lists of links
-    own = [n for n in chosen if n not in constants]
-    return " ".join(page.blocks[n][0] for n in own or chosen)
+    linked = {n for n in inside if 2 * page.blocks[n][4] > len(page.blocks[n][0])}
+    own = [n for n in inside if n not in constants] or inside
+    region = common_path([path[n] for n in own if n not in linked] or [path[n] for n in own])
+    chosen = [n for n in own if below(path[n], region)]
+    if "/" not in region and region.partition(".")[0] in ("", "body"):
+        # The page has no container for its text: containers of links alone are menus.
+        plain = plain_paths if plain_paths is not None else {path[n] for n in inside if n not in linked}
+        chosen = [n for n in chosen if n not in linked or any(below(p, path[n]) for p in plain)] or chosen
+    return " ".join(page.blocks[n][0] for n in chosen)
 
 
 # ------------------------------------------------------------------ Spark
@@ -430,7 +446,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     if len(known) > 1000:
                         known.clear()
                     known[state] = Wrapper(state)
-                texts.append(main_text(page, known[state].constants(page), known[state].main_path()))
+                texts.append(main_text(page, known[state].constants(page), known[state].plain_paths()))
             yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string())], ["page_id", "url", "text"])
     found = wrappers(pages, url_col, html_col).withColumnRenamed("host", "_host")
     size = found.agg(F.sum(F.octet_length("state") + F.octet_length("_host"))).first()[0] or 0

@@ -47,3 +47,19 @@ def test_constant_texts_go_only_at_their_place(spark):
     for n in (4, 5, 7):
         assert extracted(spark, map(source, range(n))) == ["The Site Story 0 goes on."] + [f"Title {i} Story {i} goes on." for i in range(1, n)]
     assert extracted(spark, [source(1)] * 3) == ["The Site Title 1 Story 1 goes on. The end"] * 3
+
+
+def test_titles_above_and_sections_beside_the_longest_container(spark):
+    def source(i):
+        return (f"<body><div class=top><a href=h>Home</a></div><div class=post><h1>Title {i}</h1><p>Lead {i}.</p><div class=entry><p>{f'Body {i} text. ' * 20}</p></div>"
+                f"<section id=history><p>History {i}.</p><p><a href=x>A linked paragraph {i}</a></p></section><section id=sources><a href=y>Source {i}</a></section></div>"
+                f"<div class=more><a href=1>Next {i}</a></div><footer>f</footer></body>")
+    for n in (1, 3, 6):
+        assert extracted(spark, map(source, range(n))) == [
+            f"Title {i} Lead {i}. {' '.join([f'Body {i} text.'] * 20)} History {i}. A linked paragraph {i} Source {i}" for i in range(n)]
+
+
+def test_pages_without_any_container(spark):
+    def source(i):
+        return f"<body><h1>Title {i}</h1><p>Text {i}.</p><p><a href=x>Linked {i}</a></p><div class=entry><p>More {i}.</p></div><div class=more><a href=1>Next {i}</a></div></body>"
+    assert extracted(spark, map(source, range(3))) == [f"Title {i} Text {i}. Linked {i} More {i}." for i in range(3)]
