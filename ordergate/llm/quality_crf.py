@@ -6,16 +6,16 @@ the lines of a document together, and the forward-backward marginals, weighted
 by line length, average into the document's share of good text. A logistic
 curve turns the share into the score.
 
-Labels exist for documents only. Training takes a bounded sample of labelled
-documents (SAMPLE documents, the first TRAIN_LINES lines of each; only the
-features reach the driver). The lines of good documents are good; those of bad
+Labels exist for documents only. Training takes a bounded sample of those that
+are there (SAMPLE documents, TRAIN_LINES lines of each, in pieces of CHAIN spread
+over the whole text; only the features reach the driver). The lines of good documents are good; those of bad
 documents start as bad, and the ones a line model finds clearly good become
 good, before the chain is fitted. Scoring covers whole texts in tasks.
 
 Defined results: null text counts as empty; an empty text is one empty line
 and gets a score; repeated rows are scored alike; null ids count as held out;
-without labelled documents of both kinds every score is 0.5; an empty table
-gives an empty result; other columns are not read.
+without labelled documents of both kinds every score is 0.5, and all documents
+are kept; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -199,12 +199,25 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+def training_lines(n: int) -> np.ndarray:
+    """Numbers of the lines that training takes of ``n``: pieces of CHAIN with the smallest hashes, in order."""
+    if n <= TRAIN_LINES:
+        return np.arange(n)
+    pieces = -(-n // CHAIN)
+    h = (np.arange(pieces, dtype=np.uint64) + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    taken = np.sort(np.argsort(h ^ (h >> np.uint64(29)), kind="stable")[:TRAIN_LINES // CHAIN])
+    lines = (taken[:, None] * CHAIN + np.arange(CHAIN)).ravel()
+    return lines[lines < n]
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality", sample: int = SAMPLE) -> Model | None:
-    """Fit on the labelled documents with the smallest id hashes; None without both kinds."""
+    """Fit on those of ``docs`` with labels that have the smallest id hashes; None without both kinds."""
+    there = docs.where(~held_out(id_col)).select(F.col(id_col).alias("_id")).distinct()
     known = (labels.where(~held_out(id_col) & F.col(label_col).isNotNull())
              .groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_good"))
-             .orderBy(F.xxhash64("_id"), "_id").limit(sample))
+             .join(there, "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(sample))
     rows = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
             .join(F.broadcast(known), "_id").select("_good", "_text"))  # at most `sample` rows
 
@@ -213,9 +226,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             good, out = batch.column(0).to_pylist(), []
             for row, part in byte_slices(batch.column(1)):
                 features, weight, first = line_features(part)
-                for i, (a, b) in enumerate(zip(first, np.minimum(first[1:], first[:-1] + TRAIN_LINES))):
-                    out.append({"good": int(good[row + i]), "features": features[a:b].astype("<f4").tobytes(),
-                                "weight": weight[a:b].astype("<f4").tobytes()})
+                for i, (a, b) in enumerate(zip(first, first[1:])):
+                    lines = a + training_lines(int(b - a))
+                    out.append({"good": int(good[row + i]), "features": features[lines].astype("<f4").tobytes(),
+                                "weight": weight[lines].astype("<f4").tobytes()})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("good", pa.int32()), ("features", pa.binary()), ("weight", pa.binary())]))
     got = rows.mapInArrow(run, "good int, features binary, weight binary").toArrow().to_pydict()
     # The order in which tasks answer must not change the sums.
@@ -246,5 +260,6 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               label_col: str = "quality") -> DataFrame:
-    """``docs`` that are predicted good (all columns)."""
-    return docs.where(score_udf(train(docs, labels, id_col, text_col, label_col))(F.col(text_col)) >= ACCEPT)
+    """``docs`` that are predicted good (all columns); all of them where there is no model to judge by."""
+    model = train(docs, labels, id_col, text_col, label_col)
+    return docs if model is None else docs.where(score_udf(model)(F.col(text_col)) >= ACCEPT)
