@@ -8,8 +8,8 @@ construction.
 Plan shape (per refresh):
   * spellings: ``groupBy(cliente)`` -> key UDF on *distinct* spellings ->
     canonical name per key, written, then joined back by its known size;
-  * duplicates: first row per repeated ``pedido_id`` (map-side partial
-    aggregation, so a hot id costs one row per task) joined back on
+  * duplicates: first row per repeated ``pedido_id`` by position and cells (map-side
+    partial aggregation, so a hot id costs one row per task) joined back on
     ``pedido_id`` with null-safe equality; AQE splits a hot id's partition;
   * marks: the outlier threshold is an exact quantile found by narrowing
     (see :mod:`ordergate.operators.quantile`) and enters the plan as a literal.
@@ -38,9 +38,11 @@ VERDICT = "veredicto"
 
 def prepare(raw: DataFrame, date_formats: tuple[str, ...] = ()) -> DataFrame:
     """Typed gate input: position, parsed ``fecha``, text as text, numbers as
-    double (unreadable text and NaN -> NULL), plus ``_bad_number``."""
+    double (unreadable text and NaN -> NULL), plus ``_bad_number`` and
+    ``_bad_record`` (the source line did not parse)."""
     check_columns(raw)
     d = conform(with_row_position(raw))
+    unparsed = F.col(S.BAD_RECORD).isNotNull() if S.BAD_RECORD in raw.columns else F.lit(False)
     types = {f.name: f.dataType for f in d.schema.fields}
     bad = F.lit(False)
     for c in S.NUMBER_COLUMNS:
@@ -52,7 +54,7 @@ def prepare(raw: DataFrame, date_formats: tuple[str, ...] = ()) -> DataFrame:
         else:
             cols.append(F.col(c).cast("string").alias(c))
     cols += [to_number(F.col(c), types[c]).alias(c) for c in S.NUMBER_COLUMNS]
-    return d.select(*cols, bad.alias("_bad_number"))
+    return d.select(*cols, (bad & ~unparsed).alias("_bad_number"), unparsed.alias("_bad_record"))
 
 
 # --------------------------------------------------------------------------
@@ -92,24 +94,64 @@ def spelling_counts(spell: DataFrame) -> DataFrame:
 # G5-G10 verdict chain
 # --------------------------------------------------------------------------
 
-def flag_duplicates(typed: DataFrame) -> DataFrame:
+def flag_duplicates(typed: DataFrame, unique_positions: bool | None = None) -> DataFrame:
     """``_dup`` = another row with the same id comes first. NULL ids are one
-    group, as in the reference.
+    group, as in the reference. Records that do not parse take no part.
 
-    Rows are ranked by position (NULL last), then place in the scan, so of rows
-    that share a supplied position still only one stays. The aggregate reads the id
-    and the position alone. Only repeated ids have a partner in the join: a small side when ids are mostly
+    The order depends on the data alone, never on where a row is read: by position
+    (NULL last), then by a 128-bit digest of all cells; rows equal in every cell are
+    interchangeable, so they are counted and all but one of them are duplicates. Where
+    every position occurs once (positions made from the files, or found so by one
+    aggregate), it decides alone, and the aggregate reads two columns.
+
+    Only repeated ids have a partner in the join: a small side when ids are mostly
     unique, which Spark may broadcast by its runtime size; else a sort-merge join,
     both of whose sides are plain shuffles, so that AQE splits a hot id (or the
     NULL-id group).
     """
-    ranked = typed.withColumn("_rank", F.struct(F.coalesce(F.col(S.ROW_POSITION), F.lit(_LAST)).alias("at"),
-                                                F.monotonically_increasing_id().alias("place")))
-    first = (ranked.groupBy("pedido_id").agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    if unique_positions is None:
+        unique_positions = _positions_unique(typed)
+    cells = typed.columns
+    position = F.coalesce(F.col(S.ROW_POSITION), F.lit(_LAST))
+    ranked = typed.withColumn("_rank", position if unique_positions else F.struct(position.alias("at"), *_digest(typed)))
+    first = (ranked.where(~F.col("_bad_record")).groupBy("pedido_id")
+             .agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_n"))
              .where(F.col("_n") > 1).select(F.col("pedido_id").alias("_id"), "_first"))
-    joined = ranked.join(first, ranked["pedido_id"].eqNullSafe(first["_id"]), "left")
-    return (joined.withColumn("_dup", F.coalesce(F.col("_rank") > F.col("_first"), F.lit(False)))
-            .drop("_id", "_first", "_rank"))
+    same_id = ranked["pedido_id"].eqNullSafe(first["_id"]) & ~ranked["_bad_record"]
+    joined = ranked.join(first, same_id, "left")
+    later = F.coalesce(F.col("_rank") > F.col("_first"), F.lit(False))
+    if unique_positions:
+        return joined.select(*cells, later.alias("_dup"))
+    rest = joined.where(~F.coalesce(F.col("_rank") == F.col("_first"), F.lit(False))).select(*cells, later.alias("_dup"))
+    firsts = ranked.join(first, same_id & (ranked["_rank"] == first["_first"]))
+    copies = firsts.groupBy(*cells).agg(F.count(F.lit(1)).alias("_m"))
+    return rest.unionByName(_unfold(copies).select(*cells, (F.col("_copy") > 0).alias("_dup")))
+
+
+def _positions_unique(typed: DataFrame) -> bool:
+    """Whether every row has a position and no two share one."""
+    at = F.col(S.ROW_POSITION)
+    return typed.groupBy(at.alias("_at")).agg(F.count(F.lit(1)).alias("_n")) \
+        .where("_n > 1 OR _at IS NULL").isEmpty()
+
+
+def _digest(typed: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of all cells; nulls count (the hash itself skips them)."""
+    cells = [x for c in typed.columns for x in (F.col(c).isNull(), F.col(c))]
+    return [F.xxhash64(*cells).alias("d1"), F.xxhash64(F.lit("second"), *cells).alias("d2")]
+
+
+COPIES_AT_ONCE = 1 << 16
+
+
+def _unfold(copies: DataFrame) -> DataFrame:
+    """``_m`` rows for each row, numbered 0, 1, ... in ``_copy``; dealt out in blocks,
+    so that one row with very many copies does not fill a task."""
+    block = F.lit(COPIES_AT_ONCE)
+    blocks = copies.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_m") - 1) / block))))
+    start = F.col("_block") * block
+    return blocks.repartition("_block", "pedido_id").withColumn(
+        "_copy", F.explode(F.sequence(start, F.least(start + block, F.col("_m")) - 1)))
 
 
 _LAST = (1 << 63) - 1
@@ -122,7 +164,8 @@ def _mismatch() -> Column:
 
 def verdict_column(hoy: dt.date) -> Column:
     """First matching rule wins, in the fixed order of the gate."""
-    return (F.when(F.col("_dup"), F.lit(S.VERDICT_DUPLICATE))
+    return (F.when(F.col("_bad_record"), F.lit(S.VERDICT_BAD_RECORD))
+             .when(F.col("_dup"), F.lit(S.VERDICT_DUPLICATE))
              .when(F.col("fecha").isNull(), F.lit(S.VERDICT_BAD_DATE))
              .when(F.to_date("fecha") > F.lit(hoy),
                    F.lit(S.VERDICT_FUTURE.format(hoy=hoy.isoformat())))
@@ -131,15 +174,20 @@ def verdict_column(hoy: dt.date) -> Column:
              .otherwise(F.lit(S.VERDICT_PASS)))
 
 
-def verdict_table(typed: DataFrame, hoy) -> DataFrame:
+def verdict_table(typed: DataFrame, hoy, unique_positions: bool | None = None) -> DataFrame:
     """Raw rows (raw ``cliente``) + ``veredicto`` + internal flags."""
-    return flag_duplicates(typed).withColumn(VERDICT, verdict_column(as_date(hoy)))
+    return flag_duplicates(typed, unique_positions).withColumn(VERDICT, verdict_column(as_date(hoy)))
+
+
+def _made_here(raw: DataFrame) -> bool | None:
+    """True if the gate numbers the rows itself; supplied positions must be looked at."""
+    return None if S.ROW_POSITION in raw.columns else True
 
 
 def verdicts(raw: DataFrame, hoy, date_formats: tuple[str, ...] = ()) -> DataFrame:
     """Every raw row with its verdict; nothing dropped, nothing renamed."""
     hoy = as_date(hoy)
-    v = verdict_table(prepare(raw, date_formats), hoy)
+    v = verdict_table(prepare(raw, date_formats), hoy, _made_here(raw))
     keep = [S.ROW_POSITION, *S.TEXT_COLUMNS, *S.NUMBER_COLUMNS, VERDICT]
     return v.select(*keep)
 
@@ -189,7 +237,7 @@ def run_gate(raw: DataFrame, hoy, eager_counts: bool = True, materialize: bool =
     hoy = as_date(hoy)
     typed = prepare(raw, date_formats)
     labelled = tuple(c for c in S.BLANK_LABEL_COLUMNS if c in raw.columns)
-    v = verdict_table(typed, hoy)
+    v = verdict_table(typed, hoy, _made_here(raw))
     if materialize:
         from ordergate.plans.storage import materialize as write_back
         v = write_back(v, "verdicts")

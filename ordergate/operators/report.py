@@ -19,6 +19,10 @@ def _sql_text(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+# The counts of rows that leave the sheet; each row that leaves is in one of them.
+DISCARDS = ("duplicados", "fecha_ilegible", "fecha_futura", "no_cuadra", "importe_cero", "registro_ilegible")
+
+
 def count_row(res: GateResult) -> DataFrame:
     """One row with every count of the report, computed by Spark."""
     v = res.verdicts
@@ -37,6 +41,7 @@ def count_row(res: GateResult) -> DataFrame:
         F.count_if(passing).alias("limpias"),
         F.count_if(passing & ret).alias("devoluciones"),
         F.count_if(flagged).alias("senalados"),
+        F.count_if(F.col(VERDICT) == S.VERDICT_BAD_RECORD).alias("registro_ilegible"),
         F.count_if(F.col("_bad_number")).alias("numero_ilegible"),
         F.count_if(beyond_money(F.col("importe"))).alias("fuera_de_rango"),
         *[F.count_if(passing & F.col(c).isNull()).alias(f"huecos_{c}")
@@ -70,6 +75,7 @@ def incidents(res: GateResult) -> DataFrame:
                           _sql_text(S.ACTION_BLANKS)))
     lines.append((12, S.RULE_BAD_NUMBER, "numero_ilegible", _sql_text(S.ACTION_BAD_NUMBER)))
     lines.append((13, S.RULE_BEYOND, "fuera_de_rango", _sql_text(S.ACTION_BEYOND)))
+    lines.append((14, S.RULE_BAD_RECORD, "registro_ilegible", _sql_text(S.ACTION_BAD_RECORD)))
     body = ", ".join(f"{o}, {_sql_text(r)}, cast({n} as bigint), {a}" for o, r, n, a in lines)
     return (count_row(res)
             .select(F.expr(f"stack({len(lines)}, {body}) as (orden, regla, filas, accion)"))
@@ -79,8 +85,7 @@ def incidents(res: GateResult) -> DataFrame:
 def conservation(res: GateResult) -> DataFrame:
     """Rows in - rows out == sum of the discard counts (always checked)."""
     c = count_row(res)
-    discarded = (F.col("duplicados") + F.col("fecha_ilegible") + F.col("fecha_futura")
-                 + F.col("no_cuadra") + F.col("importe_cero"))
+    discarded = sum((F.col(c) for c in DISCARDS), F.lit(0))
     return c.select("crudas", "limpias", discarded.alias("descartadas"),
                     (F.col("crudas") - F.col("limpias") == discarded).alias("cuadra"))
 

@@ -108,6 +108,44 @@ def _src_row_position(spark, sf):
     return with_row_position(li, from_files=True)
 
 
+def text_sheet(spark: SparkSession, sf: str, name: str, write) -> str:
+    """A text export written once per session and input; ``write`` gets its path."""
+    import uuid
+    from ordergate.session import work_dir
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"), name)
+    if key not in _SHEETS:
+        path = work_dir(spark, "registro", uuid.uuid4().hex, name)
+        write(path)
+        _SHEETS[key] = path
+    return _SHEETS[key]
+
+
+@register("src_row_position_csv")
+def _src_row_position_csv(spark, sf):
+    """S3: input position of each line of a CSV export without one, cut into
+    splits by the engine."""
+    from ordergate.sources.sheet import read_orders
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey")
+    path = text_sheet(spark, sf, "lineas", lambda p: li.write.option("header", "true").csv(p))
+    placed = with_row_position(read_orders(spark, path, "csv", multiline=False))
+    return placed.select(*[F.col(f.name).cast(f.dataType) for f in li.schema.fields], S.ROW_POSITION)
+
+
+CUT_EVERY = 97     # every such position of the JSON export is a line that was cut off
+
+
+@register("src_unparsed")
+def _src_unparsed(spark, sf):
+    """Rows per verdict of a JSON export with cut lines, which get a reason of their own."""
+    from ordergate.operators.gate import verdicts
+    from ordergate.sources.sheet import read_orders
+    rows = dirty_orders(spark, sf)
+    line = F.to_json(F.struct(*rows.columns))
+    cut = F.when(F.col(S.ROW_POSITION) % CUT_EVERY == 0, F.substring(line, 1, 40)).otherwise(line)
+    path = text_sheet(spark, sf, "cortado", lambda p: rows.select(cut.alias("value")).write.text(p))
+    return R.verdict_summary(verdicts(read_orders(spark, path, "json"), P.HOY))
+
+
 # ------------------------------------------------------------------ gate
 
 
@@ -153,6 +191,16 @@ def _rule(text):
     return q
 
 
+@register("gate_duplicates_anywhere")
+def _gate_duplicates_anywhere(spark, sf):
+    """Duplicates of the sheet dealt anew over many partitions, every line twice: rows equal in every cell
+    are told apart by number alone."""
+    from ordergate.operators.gate import verdicts
+    sheet = dirty_orders(spark, sf)
+    v = verdicts(sheet.unionByName(sheet).repartition(64), P.HOY)
+    return v.groupBy(S.ROW_POSITION, "pedido_id", VERDICT).agg(F.count(F.lit(1)).alias("filas"))
+
+
 for _name, _text in (("gate_duplicates", S.VERDICT_DUPLICATE),
                      ("gate_bad_date", S.VERDICT_BAD_DATE),
                      ("gate_future", S.VERDICT_FUTURE.format(hoy=P.HOY)),

@@ -206,6 +206,19 @@ def build() -> dict[str, str]:
     o["src_orders"] = gate("select * from dirty")
     o["src_row_position"] = ("select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, l_partkey, "
                              "row_number() over () - 1 as fila_origen from lineitem")
+    o["src_row_position_csv"] = o["src_row_position"]
+    # Cut lines hold no id and no position: they leave before ids are compared.
+    o["src_unparsed"] = gate("select veredicto, count(*) as filas from v2 group by veredicto",
+                             f"""r2 as (select *, fila_origen % 97 = 0 as cortada,
+    row_number() over (partition by pedido_id, fila_origen % 97 = 0 order by fila_origen) > 1 as dup2 from typed),
+v2 as (select case when cortada then {q(S.VERDICT_BAD_RECORD)} when dup2 then {q(S.VERDICT_DUPLICATE)}
+    when fecha is null then {q(S.VERDICT_BAD_DATE)}
+    when cast(fecha as date) > date '{HOY}' then {q(S.VERDICT_FUTURE.format(hoy=HOY))}
+    when coalesce(abs(importe - cantidad * precio_unitario) > 0.02, false) then {q(S.VERDICT_MISMATCH)}
+    when coalesce(importe = 0, false) then {q(S.VERDICT_ZERO)} else {PASS} end as veredicto from r2)""")
+    o["gate_duplicates_anywhere"] = gate(f"""select fila_origen, pedido_id, veredicto, count(*) as filas from (
+  select fila_origen, pedido_id, veredicto from verdicts
+  union all select fila_origen, pedido_id, {q(S.VERDICT_DUPLICATE)} from verdicts) group by all""")
     o["load_clean"] = gate(f"select {CLEAN_COLS} from clean")
     o["save_clean_roundtrip"] = o["load_clean"]
     o["clean_typed"] = gate(f"""select pedido_id, {DAY} as fecha, comercial, zona, cliente,

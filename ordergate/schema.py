@@ -14,6 +14,8 @@ RULE_VERSION = 5
 
 # --- column contracts -------------------------------------------------------
 
+# Text sheets: the source line of a record that does not parse, else null.
+BAD_RECORD = "_registro_ilegible"
 REQUIRED_COLUMNS = (
     "pedido_id", "fecha", "cliente", "producto",
     "cantidad", "precio_unitario", "importe",
@@ -146,6 +148,7 @@ VERDICT_DUPLICATE = "DESCARTADA · pedido_id repetido (ya existe una fila con es
 VERDICT_BAD_DATE = "DESCARTADA · fecha vacía o ilegible"
 VERDICT_FUTURE = "DESCARTADA · fecha posterior a hoy ({hoy})"
 VERDICT_MISMATCH = "DESCARTADA · importe ≠ cantidad × precio"
+VERDICT_BAD_RECORD = "DESCARTADA · registro ilegible"
 VERDICT_ZERO = "DESCARTADA · importe a cero"
 
 RULE_SPELLINGS = "Cliente escrito de N maneras"
@@ -170,6 +173,8 @@ ACTION_BLANKS = "etiquetados «(sin informar)» — se ven en el gráfico"
 # column, so the null pass-through is visible.
 RULE_BAD_NUMBER = "Número ilegible"
 ACTION_BAD_NUMBER = "convertido a vacío: la fila sigue su curso y lo cuenta esta línea"
+RULE_BAD_RECORD = "Registro ilegible"
+ACTION_BAD_RECORD = "descartado: la línea del fichero no tiene la forma de la hoja"
 RULE_BEYOND = "Importe fuera de rango"
 ACTION_BEYOND = "no suma en ningún total: ningún importe real tiene tantas cifras"
 RULE_QUARANTINE = "Cuarentena: {restriccion}"

@@ -128,7 +128,7 @@ def is_folder(spark: SparkSession, path: str) -> bool:
 CSV_OPTIONS = {"header": "true", "escape": '"', "enforceSchema": "false"}
 
 
-def read_orders(spark: SparkSession, path: str | list[str], fmt: str = "parquet") -> DataFrame:
+def read_orders(spark: SparkSession, path: str | list[str], fmt: str = "parquet", multiline: bool | None = None) -> DataFrame:
     """Read the sheet. CSV/JSON cells are read as text; Parquet keeps its
     types (the gate types columns itself).
 
@@ -136,18 +136,28 @@ def read_orders(spark: SparkSession, path: str | list[str], fmt: str = "parquet"
     reading fails instead of putting cells under other names. JSON names its
     cells row by row, so finding all names takes a pass over the data.
     A list of paths is one sheet in several files.
+
+    Text sheets get one more column, :data:`ordergate.schema.BAD_RECORD`: the line of a
+    record that does not parse (too few or too many cells, cut JSON), which the gate
+    counts under its own reason. ``multiline`` lets a record go over several lines, so
+    each file is read by one task: the default for CSV, where a quoted cell
+    may hold line breaks. Turn it off for large files without such cells.
     """
     if isinstance(path, str):
         path = resolve_tab(spark, path)
     if fmt == "parquet":
         return spark.read.parquet(*([path] if isinstance(path, str) else path))
+    if fmt not in ("csv", "json"):
+        raise ValueError(f"unknown format {fmt!r}")
+    lines = (fmt == "csv") if multiline is None else multiline
+    reader = spark.read.options(columnNameOfCorruptRecord=S.BAD_RECORD, multiLine=str(lines).lower())
     if fmt == "csv":
-        header = spark.read.options(**CSV_OPTIONS).csv(path).columns
-        return spark.read.options(**CSV_OPTIONS).schema(_all_text(header)).csv(path)
-    if fmt == "json":
-        names = spark.read.option("primitivesAsString", "true").json(path).columns
-        return spark.read.schema(_all_text(names)).json(path)
-    raise ValueError(f"unknown format {fmt!r}")
+        reader = reader.options(**CSV_OPTIONS)
+        names = reader.csv(path).columns
+    else:
+        names = reader.option("primitivesAsString", "true").json(path).columns
+    names = [c for c in names if c != S.BAD_RECORD]
+    return reader.schema(_all_text([*names, S.BAD_RECORD])).format(fmt).load(path)
 
 
 def _all_text(names) -> T.StructType:
@@ -173,13 +183,16 @@ def with_row_position(df: DataFrame, from_files: bool | None = None,
                       name: str = S.ROW_POSITION) -> DataFrame:
     """S3: ``fila_origen``, the 0-based input position, if not supplied.
 
-    Position = rows of earlier files + row index within the file, for Parquet
-    (``_metadata.row_index``); for other files earlier (file, split) pairs and the
-    order within the split. Files follow each other by name, digits by value
-    (part 100000 comes after part 99999). The offsets table, one row per
-    file or split, is written to the shared folder, so the join knows its size
-    and broadcasts it only within the session's threshold. A frame that is not
-    a file scan is written there first.
+    Position = rows of earlier files + row index within the file
+    (``_metadata.row_index`` of Parquet). Files follow each other by name, digits by
+    value (part 100000 comes after part 99999). The offsets table, one row per file,
+    is written to the shared folder, so the join knows its size and broadcasts
+    it only within the session's threshold.
+
+    How text files are cut into splits depends on the cores at planning, so text rows
+    are written once, with the split and the place they were read at, and
+    everything else follows from that table. A frame that is not a file scan is
+    written once too. A row of a file without an offset is an error, never left out.
     """
     if name in df.columns:
         return df
@@ -191,22 +204,21 @@ def with_row_position(df: DataFrame, from_files: bool | None = None,
         # Fixes the rows' order: a retried task after a shuffle may see its rows
         # in another one, which would move positions.
         df = materialize(df, "unpositioned")
-    d = df.withColumn("_f", F.col("_metadata.file_path"))
     if _has_row_index(df):
-        d = d.withColumn("_i", F.col("_metadata.row_index"))
-        splits = d.groupBy("_f").agg((F.max("_i") + 1).alias("_n")).withColumn("_b", F.lit(0).cast("long"))
-        keys = ["_f"]
-        index = F.col("_i")
+        d = df.withColumns({"_f": F.col("_metadata.file_path"), "_b": F.lit(0).cast("long"), "_i": F.col("_metadata.row_index")})
+        splits = d.groupBy("_f", "_b").agg((F.max("_i") + 1).alias("_n"), F.lit(0).cast("long").alias("_i0"))
     else:
-        d = d.withColumn("_b", F.col("_metadata.file_block_start")).withColumn("_mid", F.monotonically_increasing_id())
-        splits = d.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
-        keys = ["_f", "_b"]
-        index = F.col("_mid") - F.col("_m0")
+        d = materialize(df.withColumns({"_f": F.col("_metadata.file_path"), "_b": F.col("_metadata.file_block_start"),
+                                        "_i": F.monotonically_increasing_id()}), "text-rows")
+        splits = d.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_i0"))
     w = Window.orderBy(natural_order(F.col("_f")), "_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    if keys == ["_f"]:
-        offsets = offsets.drop("_b")
-    return d.join(materialize(offsets, "offsets"), keys).select((F.col("_off") + index).alias(name), *cols)
+    offsets = splits.select(F.col("_f").alias("_of"), F.col("_b").alias("_ob"),
+                            (F.coalesce(F.sum("_n").over(w), F.lit(0)) - F.col("_i0")).alias("_off"))
+    offsets = materialize(offsets, "offsets")
+    found = d.join(offsets, (d["_f"] == offsets["_of"]) & (d["_b"] == offsets["_ob"]), "left")
+    missing = F.raise_error(F.concat(F.lit("no position for rows of "), F.col("_f"))).cast("long")
+    return found.select(F.coalesce(F.col("_off"), missing).alias("_off"), "_i", *cols) \
+        .select((F.col("_off") + F.col("_i")).alias(name), *cols)
 
 
 def natural_order(c):
@@ -246,6 +258,7 @@ class Source:
     path: str | list[str]
     fmt: str = "parquet"
     date_formats: tuple[str, ...] = ()   # how its text dates look, besides ISO ('dd/MM/yyyy', ...)
+    multiline: bool | None = None        # records over several lines; see read_orders
 
 
 @dataclass
@@ -265,7 +278,7 @@ def first_available(spark: SparkSession, candidates: list[Source]) -> Fetched:
     reasons = []
     for i, cand in enumerate(candidates):
         try:
-            df = read_orders(spark, cand.path, cand.fmt)
+            df = read_orders(spark, cand.path, cand.fmt, cand.multiline)
             check_columns(df)
         except (NoSource, MissingColumns, AnalysisException, Py4JJavaError) as exc:  # missing, wrong columns, unreadable
             reasons.append(f"{cand.origen}: {type(exc).__name__}: {exc}")

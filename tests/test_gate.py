@@ -2,13 +2,16 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ordergate import schema as S
+from ordergate.operators import gate as G
 from ordergate.operators.gate import run_gate, verdicts
-from tests.fixtures import frame, gate_rows
+from tests.fixtures import DIRTY, frame, gate_rows
 
 HOY = dt.date(2025, 6, 30)
 
@@ -167,3 +170,38 @@ def test_dates_of_a_source(spark):
     v = verdicts(frame(spark, rows), HOY, ("dd/MM/yyyy", "d/M/yyyy")).orderBy("fila_origen").collect()
     assert [str(r.fecha) for r in v[:3]] == ["2025-02-14 00:00:00", "2025-05-20 10:00:00", "2025-01-07 00:00:00"]
     assert [r.veredicto for r in v] == [S.VERDICT_PASS] * 3 + [S.VERDICT_DUPLICATE] and v[3].fecha is None
+
+
+@pytest.mark.parametrize("parts, seed", [(1, 1), (8, 2), (64, 3), (8, 3)])
+def test_duplicates_depend_on_the_data_alone(spark, parts, seed):
+    """Repeated and null positions, rows equal in every cell, null ids: one row of each id stays,
+    the same one however the sheet is dealt."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        row = dict(gate_rows()[0], pedido_id=rng.choice([None, "A", "B", *map(str, range(150))]),
+                   importe=rng.choice([124.0, 125.0, 0.0]))
+        rows += [(rng.choice([None, 1, 2, i]), row)] * rng.choice([1, 1, 2, 3])
+    random.Random(seed).shuffle(rows)
+    schema = T.StructType([T.StructField("fila_origen", T.LongType()), *DIRTY.fields])
+    raw = spark.createDataFrame([(p, *[r.get(f.name) for f in DIRTY.fields]) for p, r in rows], schema)
+    got = G.verdicts(raw.repartition(parts), "2025-06-30").collect()
+    assert len(got) == len(rows)
+    stay = [r for r in got if r.veredicto != S.VERDICT_DUPLICATE]
+    assert sorted(str(r.pedido_id) for r in stay) == sorted({str(r["pedido_id"]) for _, r in rows})
+    for r in stay:
+        least = min((p if p is not None else 1 << 62) for p, x in rows if x["pedido_id"] == r.pedido_id)
+        assert (r.fila_origen if r.fila_origen is not None else 1 << 62) == least
+    key = [(str(r.pedido_id), r.fila_origen, r.importe) for r in stay]
+    _SEEN.setdefault("key", sorted(key, key=str))
+    assert sorted(key, key=str) == _SEEN["key"]
+
+
+_SEEN = {}
+
+
+def test_very_many_equal_rows_are_unfolded_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(G, "COPIES_AT_ONCE", 7)
+    raw = frame(spark, [gate_rows()[0]] * 50, with_position=False).withColumn("fila_origen", F.lit(None).cast("long"))
+    counts = {r[0]: r[1] for r in G.verdicts(raw, "2025-06-30").groupBy("veredicto").count().collect()}
+    assert counts[S.VERDICT_DUPLICATE] == 49 and sum(counts.values()) == 50

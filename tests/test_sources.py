@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ordergate.sources.sheet import (MissingColumns, NoSource, Source, check_columns, conform,
-                                     first_available, read_orders, resolve_tab)
+                                     first_available, read_orders, resolve_tab, with_row_position)
 from ordergate.sources.testdata import dirty_orders
 
 
@@ -71,7 +71,7 @@ def test_csv_headers_and_quotes(spark, tmp_path):
     folder.mkdir()
     (folder / "a.csv").write_text('cliente,producto\n"Say ""hi""",p1\n')
     df = read_orders(spark, str(folder), "csv")
-    assert [tuple(r) for r in df.collect()] == [('Say "hi"', "p1")]
+    assert [tuple(r) for r in df.select("cliente", "producto").collect()] == [('Say "hi"', "p1")]
     (folder / "b.csv").write_text("producto,cliente\np2,c2\n")
     with pytest.raises(Exception, match="header"):
         read_orders(spark, str(folder), "csv").collect()
@@ -103,3 +103,53 @@ def test_positions_over_files(spark, small, tmp_path):
     assert fingerprint(again).first().huella == fingerprint(with_row_position(df)).first().huella
     cache_snapshot(df.limit(3), cache, "v2")              # written, not yet the cached sheet
     assert read_orders(spark, cache).count() == len(rows)
+
+
+def test_text_positions_survive_other_splits(spark, tmp_path):
+    """How a text file is cut depends on the parallelism at planning; no row goes when it changes in between."""
+    n = 200_000
+    path = str(tmp_path / "rows")
+    spark.range(n).select(F.col("id").cast("string").alias("pedido_id"), F.lit("x").alias("zona")).coalesce(3) \
+        .write.option("header", "true").csv(path)
+    old = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", "4")
+        placed = with_row_position(read_orders(spark, path, "csv", multiline=False))
+        spark.conf.set("spark.sql.files.minPartitionNum", "16")
+        assert placed.count() == n
+        assert placed.agg(F.count_distinct("fila_origen"), F.max("fila_origen")).first() == (n, n - 1)
+        assert placed.where(F.col("fila_origen") != F.col("pedido_id").cast("long")).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum") if old is None else spark.conf.set("spark.sql.files.minPartitionNum", old)
+
+
+HEADER = "pedido_id,fecha,cliente,producto,cantidad,precio_unitario,importe"
+
+
+def test_lines_that_do_not_parse_are_counted(spark, tmp_path):
+    from ordergate import schema as S
+    from ordergate.operators import report as R
+    from ordergate.operators.gate import run_gate
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text(f"""{HEADER}
+A1,2025-01-02,"Two
+lines",p,1,2,2
+A2,2025-01-02,short
+A3,2025-01-02,c,p,1,2,2,too,long
+A4,2025-01-02,c,p,1,2,2
+""")
+    (folder / "b.csv").write_text(f"{HEADER}\nA4,2025-01-03,c,p,1,2,2\n,2025-01-03,c,p,1,2,2\n")
+    raw = read_orders(spark, str(folder), "csv")
+    res = run_gate(raw, "2025-06-30", materialize=True)
+    c = res.counts
+    assert c["crudas"] == 6 and c["registro_ilegible"] == 2 and c["duplicados"] == 1 and c["limpias"] == 3
+    assert R.conservation(res).first().cuadra
+    assert {r: n for _, r, n, _ in res.incident_rows()}[S.RULE_BAD_RECORD] == 2
+    assert {r.cliente for r in res.clean.collect()} == {"Two\nlines", "c"}
+    json = tmp_path / "json"
+    json.mkdir()
+    good = '{"pedido_id":"B%d","fecha":"2025-01-02","cliente":"c","producto":"p","cantidad":1,"precio_unitario":2,"importe":2}'
+    (json / "a.json").write_text("\n".join([good % 1, (good % 2)[:50], good % 3]) + "\n")
+    res = run_gate(read_orders(spark, str(json), "json"), "2025-06-30")
+    assert (res.counts["crudas"], res.counts["registro_ilegible"], res.counts["limpias"]) == (3, 1, 2)
