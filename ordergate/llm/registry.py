@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordergate.llm import (chat_hmm, decontaminate, exact_dedup, html_wrapper, ngram_join, packing, quality_crf,
-                           token_counts, token_shards, warc_zstd)
+from ordergate.llm import (chat_hmm, decontaminate, exact_dedup, html_wrapper, license_scan, ngram_join, packing,
+                           quality_crf, token_counts, token_shards, warc_zstd)
 from ordergate.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,11 @@ def op4_chat_hmm(spark, sf_dir):
     raw = chat_hmm.raw_transcripts(table(spark, sf_dir, "conversations"))
     model = chat_hmm.train(raw.where(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 2 == 0))
     return chat_hmm.parse(raw.drop("role"), model)
+
+
+@query
+def op11_license_templates(spark, sf_dir):
+    return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents")))
+
+
+SQL["op11_license_templates"] = license_scan.sql()
