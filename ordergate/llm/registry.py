@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordergate.llm import (chat_hmm, decontaminate, exact_dedup, html_wrapper, license_scan, ngram_join, packing,
+from ordergate.llm import (chat_hmm, collocations, decontaminate, exact_dedup, html_wrapper, license_scan, ngram_join, packing,
                            quality_crf, token_counts, token_shards, warc_zstd)
 from ordergate.llm.common import table
 
@@ -127,3 +127,11 @@ def op11_license_templates(spark, sf_dir):
 
 
 SQL["op11_license_templates"] = license_scan.sql()
+
+
+@query
+def op12_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_collocations"] = collocations.SQL
