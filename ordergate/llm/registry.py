@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordergate.llm import (chat_hmm, collocations, decontaminate, exact_dedup, html_wrapper, license_scan, ngram_join, packing,
+from ordergate.llm import (chat_hmm, collocations, conversation_repair, decontaminate, exact_dedup, html_wrapper, license_scan, ngram_join, packing,
                            quality_crf, token_counts, token_shards, warc_zstd)
 from ordergate.llm.common import table
 
@@ -135,3 +135,11 @@ def op12_collocations(spark, sf_dir):
 
 
 SQL["op12_collocations"] = collocations.SQL
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    return conversation_repair.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+SQL["op13_conversation_repair"] = conversation_repair.sql()
