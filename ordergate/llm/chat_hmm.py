@@ -6,15 +6,19 @@ speaker marker in front of it, whether a blank line precedes, its length and a c
 question mark. Viterbi finds the likeliest states; the canonical rendering opens a
 turn with ``<|role|>``, drops the marker and closes it with ``<|end|>``.
 
-The model is counted from labelled transcripts. Long transcripts are cut into
-segments of SEGMENT rows: a segment's lines condense into a max-plus matrix
+The model is counted from labelled transcripts. Rows are range-partitioned and sorted by
+transcript and place, so that a transcript with most of the rows, or with no places at all, lies
+on many tasks; their number in that order cuts long transcripts into segments of at most SEGMENT rows: a segment's lines condense into a max-plus matrix
 (best score from any state before to any state at its end), matrices combine FAN at
 a time until one per transcript is left, and the states at the borders come back down the
 same tree. The result is that of Viterbi over the whole transcript, and no task
 holds more than a segment or FAN matrices.
 
-Defined results: null and empty texts have no lines and render as nothing; the last row
-of a transcript closes its last turn; rows with equal place are ordered by text; null
+Defined results: every line is rendered as it is, but for the marker that opened its turn and for blank
+lines before a transcript's first turn or directly before a line of the same row that
+begins a turn; null and empty texts have no lines and render as nothing; the last row
+of a transcript closes its last turn; rows with equal place are ordered by the first
+KEY_CHARS characters of their text, then by its SHA-256 (repeated rows are interchangeable); null
 transcript ids are one transcript; null places come first; an empty table gives an empty
 result; other columns are not read.
 """
@@ -38,6 +42,7 @@ NAMES = {"system": ("system", "instruction", "instructions", "context", "note"),
          "assistant": ("assistant", "ai", "bot", "answer", "a", "agent", "model", "support")}
 STATES = 2 * len(ROLES)  # 2 * role + 1 for a line that continues a turn
 SEGMENT, FAN = 256, 256
+KEY_CHARS = 32
 LENGTHS = (24, 80, 240)  # bounds of the length classes
 FEATURES = (len(ROLES) + 1, 2, len(LENGTHS) + 1, 2)  # marker, after a blank line, length, question
 
@@ -49,7 +54,7 @@ MARKER = re.compile(r"^[\s#*\[<>|_-]*(" + "|".join(sorted(_OF, key=len, reverse=
 def observed(text: str | None) -> list[tuple[str, str, tuple[int, ...]]]:
     """(line, line without its marker, features) of each line that is not blank."""
     out, blank = [], False
-    for line in (text or "").split("\n"):
+    for line in _split(text):
         if not line.strip():
             blank = True
             continue
@@ -62,6 +67,22 @@ def observed(text: str | None) -> list[tuple[str, str, tuple[int, ...]]]:
     return out
 
 
+def _split(text: str | None) -> list[str]:
+    lines = (text or "").split("\n")
+    return lines[:-1] if lines[-1] == "" else lines
+
+
+def blank_runs(text: str | None) -> list[list[str]]:
+    """The blank lines before each line that is not blank, and after the last one."""
+    out = [[]]
+    for line in _split(text):
+        if line.strip():
+            out.append([])
+        else:
+            out[-1].append(line)
+    return out
+
+
 @dataclass
 class Model:
     first: np.ndarray          # log weight of each state for a transcript's first line
@@ -69,7 +90,7 @@ class Model:
     emit: list[np.ndarray]     # per feature, log weight of each value in each state
 
     def scores(self, features: list[tuple[int, ...]]) -> np.ndarray:
-        f = np.array(features).reshape(-1, len(FEATURES))
+        f = np.array(features, np.int64).reshape(-1, len(FEATURES))
         return sum(table[:, f[:, k]].T for k, table in enumerate(self.emit))
 
     def step(self, row: np.ndarray) -> np.ndarray:
@@ -119,19 +140,39 @@ def _segment_matrices(model: Model, lines, opens: bool) -> list[np.ndarray]:
 
 
 def _rows(group: pa.Table) -> list[tuple]:
-    rows = list(zip(group["place"].to_pylist(), group["text"].to_pylist()))
-    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    """(number, place, text) in order."""
+    return sorted(zip(group["number"].to_pylist(), group["place"].to_pylist(), group["text"].to_pylist()), key=lambda r: r[0])
 
 
 def _lines(rows: list[tuple]) -> list[list[tuple]]:
     """Lines of each row of a segment; a row's end is no blank line."""
-    return [observed(text) for _, text in rows]
+    return [observed(text) for *_, text in rows]
+
+
+_PART = 33     # bits of a row's number within its partition
 
 
 def segments(transcripts: DataFrame, id_col: str, place_col: str, text_col: str, segment: int) -> DataFrame:
-    """(conv_id, place, text, segment): runs of ``segment`` places."""
-    return transcripts.select(F.col(id_col).alias("conv_id"), F.col(place_col).cast("bigint").alias("place"), F.col(text_col).alias("text"),
-                              F.floor(F.coalesce(F.col(place_col), F.lit(0)) / segment).cast("bigint").alias("segment"))
+    """(conv_id, place, text, number, segment, head, tail): rows of a transcript in order by number, in runs of at most
+    ``segment`` rows; its first and last run."""
+    keys = ["conv_id", "place", F.left(F.col("text"), F.lit(KEY_CHARS)), F.sha2("text", 256), "salt"]
+    rows = transcripts.select(F.col(id_col).alias("conv_id"), F.col(place_col).cast("bigint").alias("place"), F.col(text_col).alias("text"),
+                              F.monotonically_increasing_id().alias("salt"))
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("salt")
+    # Written once: the numbers must not change on a recomputation.
+    numbered = store(ordered.withColumn("number", F.monotonically_increasing_id()), "transcripts")
+    ends = numbered.groupBy("conv_id").agg(F.min("number").alias("first"), F.max("number").alias("last"))
+    ends = ends.select(F.col("conv_id").alias("_id"), "first", "last")
+
+    def run(number: F.Column) -> F.Column:
+        """Counted from the transcript's first row within that row's partition, from the partition's in later ones."""
+        parts = F.shiftright(number, _PART) - F.shiftright("first", _PART)
+        within = number.bitwiseAND(F.lit((1 << _PART) - 1))
+        inner = F.floor(F.when(parts == 0, number - F.col("first")).otherwise(within) / segment).cast("bigint")
+        return F.shiftleft(parts, _PART) + inner
+    return (numbered.join(ends, numbered["conv_id"].eqNullSafe(ends["_id"]))
+            .select("conv_id", "place", "text", "number", run(F.col("number")).alias("segment"),
+                    F.lit(0).cast("bigint").alias("head"), run(F.col("last")).alias("tail")))
 
 
 def _combine(matrices: DataFrame, fan: int) -> DataFrame:
@@ -170,9 +211,6 @@ def parse(transcripts: DataFrame, model: Model, id_col: str = "conv_id", place_c
     (of its first line), rendered. The rendered texts of a transcript, joined in order, are its canonical form."""
     kind = transcripts.schema[id_col].dataType.simpleString()
     rows = segments(transcripts, id_col, place_col, text_col, segment)
-    ends = rows.groupBy("conv_id").agg(F.min("segment").alias("head"), F.max("segment").alias("tail"))
-    ends = ends.select(F.col("conv_id").alias("_id"), "head", "tail")
-    rows = rows.join(ends, rows["conv_id"].eqNullSafe(ends["_id"])).drop("_id")
     long = rows.where("head < tail")
 
     def condense(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
@@ -191,16 +229,21 @@ def parse(transcripts: DataFrame, model: Model, id_col: str = "conv_id", place_c
         path = iter(best_path(_segment_matrices(model, [x for r in lines for x in r], opens), entry,
                               None if after in (None, NO_STATE) else after))
         open_turn = before not in (None, NO_STATE)
-        out = {"place": [r[0] for r in own], "role": [], "roles": [], "rendered": []}
+        out = {"place": [r[1] for r in own], "role": [], "roles": [], "rendered": []}
         for k, row in enumerate(lines):
             states, parts = [next(path) for _ in row], []
-            for (line, rest, f), s in zip(row, states):
+            *blanks, trailing = blank_runs(own[k][2])
+            for (line, rest, f), blank, s in zip(row, blanks, states):
                 begins = s % 2 == 0 or not open_turn
                 if begins:
                     parts.append(("<|end|>\n" if open_turn else "") + f"<|{ROLES[s // 2]}|>\n")
+                else:
+                    parts += [x + "\n" for x in blank]
                 # A marker is dropped only where it opened the turn of its own role.
                 parts.append(rest + "\n" if begins and f[0] and rest.strip() else "" if begins and f[0] else line + "\n")
                 open_turn = True
+            if open_turn:
+                parts += [x + "\n" for x in trailing]
             if closes and k == len(lines) - 1 and open_turn:
                 parts.append("<|end|>\n")
             out["role"].append(ROLES[states[0] // 2] if states else None)
@@ -248,9 +291,11 @@ def train(transcripts: DataFrame, id_col: str = "conv_id", place_col: str = "tur
         lengths[row["state"]] += row["n"]
         for k in range(len(FEATURES)):
             emit[k][row["state"], row[f"f{k}"]] += row["n"]
-    before = known.select(F.col("c").alias("_c"), (F.col("p") + 1).alias("_p"), F.col("r").alias("_r"))
-    pairs = (known.join(before, known["c"].eqNullSafe(before["_c"]) & (known["p"] == before["_p"]), "left")
-             .groupBy("_r", "r").count().collect())
+    # Counted per place and role first: many rows at one place are not paired one by one.
+    counts = known.groupBy("c", "p", "r").agg(F.count("*").cast("double").alias("n"))
+    before = counts.select(F.col("c").alias("_c"), (F.col("p") + 1).alias("_p"), F.col("r").alias("_r"), F.col("n").alias("_n"))
+    pairs = (counts.join(before, counts["c"].eqNullSafe(before["_c"]) & (counts["p"] == before["_p"]), "left")
+             .groupBy("_r", "r").agg(F.sum(F.col("n") * F.coalesce("_n", F.lit(1.0))).alias("count")).collect())
     first, turns = np.zeros(STATES), np.zeros((len(ROLES), len(ROLES)))
     for row in pairs:
         if row["_r"] is None:

@@ -65,3 +65,87 @@ def test_odd_rows(spark):
     assert one[0].rendered == "<|user|>\nhi\n" and one[1].rendered == one[2].rendered == "" and one[1].role is None
     assert sum(r.rendered.count("<|end|>") for r in one) == sum(len(r.roles) for r in one)
     assert C.parse(df.limit(0), model).collect() == []
+
+
+def rebuilt(texts, rendered):
+    """Every line of the rows, from the rendering: markers and blank lines before a turn apart."""
+    lines = [x for t in texts for x in (t or "").split("\n")[:-1 if (t or "").endswith("\n") else None] if t]
+    shown = [x for x in "".join(rendered).split("\n")[:-1] if x not in ("<|end|>", *(f"<|{r}|>" for r in C.ROLES))]
+    at = 0
+    for line in lines:
+        m = C.MARKER.match(line)
+        if at < len(shown) and shown[at] in (line, line[m.end():] if m else line):
+            at += 1
+        else:
+            assert not line.strip() or m and not line[m.end():].strip(), (line, shown[at:at + 2])
+    assert at == len(shown)
+
+
+def test_every_line_is_rendered(spark):
+    """Paragraph breaks, code with blank lines, trailing blank lines; also across segments."""
+    import random
+    rng = random.Random(3)
+    model = C.train(C.raw_transcripts(table(spark, "/root/testdata/sf0.001", "conversations")))
+    kinds = ["User: hi", "Assistant: sure", "", "  ", "def f():", "    return 1", "**Human**", "What?", "\t", "A long line. " * 9]
+    rows = [(c, t, rng.choice([None, "", "\n".join(rng.choices(kinds, k=rng.randint(1, 9))) + rng.choice(["", "\n", "\n\n"])]))
+            for c in range(12) for t in range(rng.choice([1, 5, 40]))]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string").repartition(5)
+    for segment in (256, 7):
+        got = sorted((r.conv_id, r.place, r.rendered) for r in C.parse(df, model, segment=segment, fan=2).collect())
+        assert [r[:2] for r in got] == [r[:2] for r in rows]
+        for c in range(12):
+            rebuilt([t for x, _, t in rows if x == c], [x for y, _, x in got if y == c])
+
+
+def plain_model():
+    """Markers begin turns, other lines continue them."""
+    emit = [np.log(np.full((C.STATES, n), 1 / n)) for n in C.FEATURES]
+    for s in range(C.STATES):
+        marks = np.full(C.FEATURES[0], 0.01)
+        marks[s // 2 + 1 if s % 2 == 0 else 0] = 0.97
+        emit[0][s] = np.log(marks)
+    change = np.full((C.STATES, C.STATES), -np.inf)
+    for s in range(C.STATES):
+        change[s, 0::2] = np.log(0.1)
+        change[s, s | 1] = np.log(0.7)
+    first = np.full(C.STATES, -np.inf)
+    first[0::2] = np.log(1 / 3)
+    return C.Model(first, change, emit)
+
+
+def test_blank_lines(spark):
+    """Kept inside a turn and at a row's end, dropped before the first turn and before a line that begins one."""
+    rows = [(1, 0, "\nUser: a\n\nb\n \n"), (1, 1, "\nc\n\n\nAssistant: d\n"), (1, 2, "\n"), (2, 0, "\n\n")]
+    got = sorted(C.parse(spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string"), plain_model()).collect(), key=lambda r: (r.conv_id, r.place))
+    assert [r.rendered for r in got] == ["<|user|>\na\n\nb\n \n", "\nc\n<|end|>\n<|assistant|>\nd\n", "\n<|end|>\n", ""]
+
+
+def test_many_rows_without_id_or_place(spark):
+    """A third of the rows without id, a third at one place: segments stay bounded, training does not pair rows."""
+    from pyspark.sql import functions as F
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("conv_id"), F.when(F.col("id") % 2 == 0, 5).cast("bigint").alias("turn"),
+                                    F.concat(F.lit("User: "), (F.col("id") % 50).cast("string")).alias("text"), F.lit("user").alias("role"))
+    found = C.segments(rows, "conv_id", "turn", "text", 100).groupBy("conv_id", "segment").count()
+    assert found.agg(F.max("count")).first()[0] <= 100
+    counted = C.train(rows.withColumn("turn", F.pmod(F.xxhash64("text"), F.lit(2))))
+    assert counted.change.shape == (C.STATES, C.STATES)
+    model = C.train(C.raw_transcripts(table(spark, "/root/testdata/sf0.001", "conversations")))
+    a, b = (sorted((r.conv_id or 0, r.place or 0, r.rendered) for r in C.parse(rows.drop("role"), model, segment=s, fan=4).collect()) for s in (100, 1_000_000))
+    assert a == b and len(a) == 6000
+
+
+def test_pair_counts_against_brute_force(spark):
+    """Roles that follow each other, counted per place, as if every pair of rows had been made."""
+    import random
+    rng = random.Random(9)
+    rows = [(rng.choice([None, 1, 2]), rng.choice([None, 0, 1, 2, 3]), rng.choice(C.ROLES), "x") for _ in range(300)]
+    model = C.train(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    turns = np.zeros((3, 3))
+    for c, p, r, _ in rows:
+        for c2, p2, r2, _ in rows:
+            if c == c2 and p is not None and p2 is not None and p2 == p + 1:
+                turns[C.ROLES.index(r), C.ROLES.index(r2)] += 1
+    following = C.smooth(turns)
+    for role in range(3):
+        stay = np.exp(model.change[2 * role, 2 * role + 1])
+        assert np.allclose(model.change[2 * role, 0::2], np.log1p(-stay) + following[role])
