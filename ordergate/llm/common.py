@@ -149,23 +149,32 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-SLOT_BITS = 24
+SLOTS_PER_HASH = 8
+LEAST_SLOT_BITS, MOST_SLOT_BITS = 16, 28   # bitmaps of 8 KB to 32 MB
 
 
 def bitmap(spark: SparkSession, hashes: DataFrame):
-    """Broadcast bitmap over the top SLOT_BITS bits of the column ``hash``: 2 MB for any number
-    of hashes. What it lets through must be joined exactly afterwards."""
-    slots = hashes.select(F.shiftrightunsigned("hash", 64 - SLOT_BITS).cast("int").alias("slot")).distinct()
-    marks = np.zeros(1 << SLOT_BITS, bool)
-    for batch in slots.toArrow().to_batches():
-        marks[batch.column(0).to_numpy()] = True
-    return spark.sparkContext.broadcast(np.packbits(marks))
+    """Broadcast filter over the column ``hash`` of a written table: a bit for the top bits of each hash, the table
+    made as large as the counted hashes need, within fixed bounds. Beyond the upper one it lets more
+    through; what it lets through must be joined exactly in any case."""
+    n = hashes.count()
+    width = min(MOST_SLOT_BITS, max(LEAST_SLOT_BITS, (SLOTS_PER_HASH * n).bit_length()))
+    # Put together by the tasks, in pieces of 4 KB (counted from 1, for numbers from 1 on).
+    number = F.shiftrightunsigned("hash", 64 - width) + 1
+    pieces = (hashes.select(number.alias("number")).groupBy(F.expr("bitmap_bucket_number(number)").alias("piece"))
+              .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(number))").alias("bits")))
+    out = np.zeros(1 << (width - 3), np.uint8)
+    for batch in pieces.toArrow().to_batches():
+        for piece, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out[(piece - 1) * 4096:piece * 4096] = np.frombuffer(bits, np.uint8)
+    return spark.sparkContext.broadcast(out)
 
 
 def marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Places of the uint64 hashes whose slot is set."""
-    slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-    return np.flatnonzero(bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
+    width = len(bits).bit_length() + 2
+    slot = (h >> np.uint64(64 - width)).astype(np.int64)
+    return np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
 
 
 def row_keys(docs: DataFrame, id_col: str, nulls_first: bool) -> tuple[DataFrame, str]:

@@ -8,8 +8,9 @@ scan counts the benchmark's shingles, a second one emits each occurrence of a
 prefix shingle with the words around it; an equi-join pairs them with windows,
 positions and lengths bound the start, and the words are compared exactly.
 
-Both scans filter by a bitmap of hashes of constant size, whatever the size of
-the benchmark; false positives only cost rows that the join removes.
+Both scans filter by a bitmap of the hashes, sized by their number within fixed bounds;
+false positives only cost rows that the join removes. Windows and hits are rows of their own,
+made some thousands at a time, so neither a long item nor a text that repeats one word fills a task.
 
 Defined results: null or wordless texts have no words and are clean; items
 with null or wordless text, or null id, have no windows; repeated items count
@@ -21,15 +22,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordergate.llm.common import (byte_slices, row_keys, shingle_hashes, split_words, store, translated, utf8,
-                                  without, word_hashes)
+from ordergate.llm.common import (bitmap, byte_slices, marked, row_keys, shingle_hashes, split_words, store, translated, without,
+                                  word_hashes)
 
 WINDOW = 13
 SHINGLE = 5
-SLOT_BITS = 24  # 16 MB bitmap
+ROWS = 4096     # windows or hits made at once
 #: Word bytes: 0-9, a-z and everything beyond ASCII; A-Z become a-z.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
                    for b in range(256))
@@ -44,17 +47,20 @@ def benchmark_windows(items: DataFrame, id_col: str, text_col: str, window: int,
     def run(batches):
         for batch in batches:
             out = []
-            for item, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                words = words_of(text)
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = words_of((text.as_py() or "").encode())
                 if not words or item is None:
                     continue
                 length = min(window, len(words))
                 size = min(shingle, length)
-                h = shingle_hashes(word_hashes(pa.array(words, pa.large_binary())), size).view(np.int64).tolist()
+                h = shingle_hashes(word_hashes(pa.array(words, pa.large_binary())), size).view(np.int64)
                 for s in range(len(words) - length + 1):
                     out.append({"item_id": item, "window": b" ".join(words[s:s + length]).decode(), "length": length,
-                                "parts": [{"hash": h[s + o], "offset": o, "size": size}
+                                "parts": [{"hash": int(h[s + o]), "offset": o, "size": size}
                                           for o in range(length - size + 1)]})
+                    if len(out) == ROWS:
+                        yield pa.RecordBatch.from_pylist(out, schema)
+                        out = []
             yield pa.RecordBatch.from_pylist(out, schema)
     schema = pa.schema([("item_id", pa.string()), ("window", pa.string()), ("length", pa.int32()),
                         ("parts", pa.list_(pa.struct([("hash", pa.int64()), ("offset", pa.int32()),
@@ -63,30 +69,16 @@ def benchmark_windows(items: DataFrame, id_col: str, text_col: str, window: int,
         run, "item_id string, window string, length int, parts array<struct<hash:bigint,offset:int,size:int>>")
 
 
-def _bitmap(spark, hashes: DataFrame):
-    """Broadcast byte map over the top SLOT_BITS bits of the hashes: of constant size."""
-    slots = hashes.select(F.shiftrightunsigned("hash", 64 - SLOT_BITS).cast("int").alias("slot")).distinct()
-    marks = np.zeros(1 << SLOT_BITS, bool)
-    for batch in slots.toArrow().to_batches():
-        marks[batch.column(0).to_numpy()] = True
-    return spark.sparkContext.broadcast(np.packbits(marks))
-
-
-def _marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-    return np.flatnonzero(bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
-
-
 def _occurrences(column: pa.Array, sizes: list[int], bits: np.ndarray):
-    """Per slice of texts: distinct words, word numbers, first word of each text,
+    """Per slice of texts: its first row, distinct words, word numbers, first word of each text,
     and (text, place within it, hash) arrays of the marked shingles."""
-    for _, texts in byte_slices(column):
+    for start, texts in byte_slices(column):
         words, number, first = split_words(translated(texts, WORD_BYTES))
         flat = word_hashes(words)[number]
         doc, place, found = [], [], []
         for size in sizes:
             h = shingle_hashes(flat, size)
-            at = _marked(bits, h)
+            at = marked(bits, h)
             of = np.searchsorted(first, at, "right") - 1
             ok = at + size <= first[of + 1]
             doc.append(of[ok])
@@ -95,7 +87,7 @@ def _occurrences(column: pa.Array, sizes: list[int], bits: np.ndarray):
         if not sizes:
             doc = place = [np.empty(0, np.int64)]
             found = [np.empty(0, np.uint64)]
-        yield words, number, first, np.concatenate(doc), np.concatenate(place), np.concatenate(found)
+        yield start, words, number, first, np.concatenate(doc), np.concatenate(place), np.concatenate(found)
 
 
 def shingle_counts(docs: DataFrame, text_col: str, sizes: list[int], bitmap) -> DataFrame:
@@ -110,27 +102,33 @@ def shingle_counts(docs: DataFrame, text_col: str, sizes: list[int], bitmap) ->
 
 
 def prefix_hits(docs: DataFrame, id_col: str, text_col: str, sizes: list[int], bitmap, window: int) -> DataFrame:
-    """One row per document: doc_id, n_words, hits (hash, place, from, context)."""
-    schema = "n_words bigint, hits array<struct<hash:bigint,place:int,begin:int,context:string>>"
+    """Rows (row, doc_id, n_words, hash, place, begin, context): one without hash per document, and one per occurrence of
+    a marked shingle in it, with the words around. ``row`` numbers the documents of this run: write it before use."""
+    fields = [("row", pa.int64()), ("n_words", pa.int64()), ("hash", pa.int64()), ("place", pa.int32()), ("begin", pa.int32()), ("context", pa.string())]
 
     def run(batches):
-        kind = pa.list_(pa.struct([("hash", pa.int64()), ("place", pa.int32()), ("begin", pa.int32()),
-                                   ("context", pa.string())]))
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            counts, hits = [], []
-            for words, number, first, doc, place, found in _occurrences(batch.column(1), sizes, bitmap.value):
-                counts += np.diff(first).tolist()
-                own = [[] for _ in first[1:]]
-                for d, p, h in zip(doc.tolist(), place.tolist(), found.view(np.int64).tolist()):
-                    begin = max(0, p - window + 1)
-                    around = number[first[d] + begin:min(first[d] + p + window, first[d + 1])]
-                    own[d].append({"hash": h, "place": p, "begin": begin,
-                                   "context": " ".join(words.take(pa.array(around)).to_pylist())})
-                hits += own
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(hits, kind)], ["doc_id", "n_words", "hits"])
+            for start, words, number, first, doc, place, found in _occurrences(batch.column(1), sizes, bitmap.value):
+                n, counts = len(first) - 1, np.diff(first)
+                ids = batch.column(0).slice(start, n)
+                none = [pa.nulls(n, t) for _, t in fields[2:]]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(row + np.arange(n)), pa.array(counts, pa.int64()), *none],
+                                                 ["doc_id", *(f for f, _ in fields)])
+                for a in range(0, len(doc), ROWS):
+                    d, p = doc[a:a + ROWS], place[a:a + ROWS]
+                    begin = np.maximum(0, p - window + 1)
+                    lo, hi = first[d] + begin, np.minimum(first[d] + p + window, first[d + 1])
+                    ends = np.concatenate([[0], np.cumsum(hi - lo)])
+                    around = np.repeat(lo - ends[:-1], hi - lo) + np.arange(ends[-1])
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words.take(pa.array(number[around])).cast(pa.string()))
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(d)), pa.array(row + d), pa.array(counts[d], pa.int64()), pa.array(found[a:a + ROWS].view(np.int64)),
+                         pa.array(p, pa.int32()), pa.array(begin, pa.int32()), pc.binary_join(lists, " ")], ["doc_id", *(f for f, _ in fields)])
+                row += n
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, {schema}")
+    return docs.select(id_col, text_col).mapInArrow(
+        run, f"doc_id {kind}, row bigint, n_words bigint, hash bigint, place int, begin int, context string")
 
 
 def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -142,7 +140,7 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     windows = store(benchmark_windows(items, item_col, item_text_col, window, shingle), "windows")
     parts = windows.select("window", "length", F.explode("parts").alias("p")).select("window", "length", "p.*")
     sizes = sorted(r[0] for r in parts.select("size").distinct().collect())  # at most `shingle` numbers
-    counts = store(shingle_counts(docs, text_col, sizes, _bitmap(spark, parts.select("hash"))), "counts")
+    counts = store(shingle_counts(docs, text_col, sizes, bitmap(spark, parts.select("hash"))), "counts")
     rarest = (parts.distinct().join(counts, "hash")  # a shingle without count occurs nowhere
               .groupBy("window", "length").agg(
                   F.min(F.struct("n", "hash", "offset", "size")).alias("least"),
@@ -150,9 +148,8 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
               .where(F.col("present") == F.col("length") - F.col("of_size") + 1))
     prefix = store(rarest.select(F.col("least.hash").alias("hash"), F.col("least.offset").alias("offset"),
                                  "window", "length"), "prefix")
-    scanned = store(prefix_hits(docs, id_col, text_col, sizes, _bitmap(spark, prefix.select("hash")), window)
-                    .withColumn("row", F.monotonically_increasing_id()), "hits")
-    hits = scanned.select("row", "n_words", F.explode("hits").alias("h")).select("row", "n_words", "h.*")
+    scanned = store(prefix_hits(docs, id_col, text_col, sizes, bitmap(spark, prefix.select("hash")), window), "hits")
+    hits = scanned.where("hash IS NOT NULL").drop("doc_id")
     start = F.col("place") - F.col("offset")
     candidates = (hits.join(prefix, "hash").withColumn("start", start)
                   .where((F.col("start") >= F.col("begin")) & (F.col("start") + F.col("length") <= F.col("n_words"))))
@@ -161,7 +158,7 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
              .select("row", "start", (F.col("start") + F.col("length")).alias("end"), "window").distinct()
              .join(windows.select("window", "item_id").distinct(), "window")
              .select("row", "start", "end", "item_id"))
-    return scanned.select("row", "doc_id", "n_words"), found
+    return scanned.where("hash IS NULL").select("row", "doc_id", "n_words"), found
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **columns) -> DataFrame:

@@ -43,7 +43,7 @@ def test_stages_against_brute_force(spark):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     got = QUERIES[name](spark, SF)
     rel = con.execute(SQL[name])

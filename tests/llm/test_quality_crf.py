@@ -80,3 +80,54 @@ def test_held_out_is_the_contracts_remainder(spark):
     rows = [(i, "t") for i in range(200)]
     got = by_id(Q.classify(documents(spark, rows), spark.createDataFrame([], "doc_id bigint, quality int")))
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, _ in rows)
+
+
+def test_pieces_give_the_marginals(monkeypatch):
+    """Chains cut into pieces of three lines, a few at a time, as in one go."""
+    monkeypatch.setattr(Q, "PIECE", 3)
+    monkeypatch.setattr(Q, "BLOCK_LINES", 7)
+    rng = np.random.default_rng(4)
+    for lengths in ([1], [3], [4, 1, 2, 20, 3, 6], rng.integers(1, 30, 25).tolist()):
+        first = np.concatenate([[0], np.cumsum(lengths)])
+        score, change = rng.normal(size=first[-1]) * 5, rng.normal(size=(2, 2)) * 2
+        assert Q.good_lines(score, first, change) == pytest.approx(Q.marginals(score, first, change)[0], abs=1e-12)
+
+
+def small_model(seed=1):
+    rng = np.random.default_rng(seed)
+    width = 4 * Q.SHAPES + 3
+    return Q.Model(rng.normal(size=Q.SHAPES) * 0.1, np.full(Q.SHAPES, 0.7), rng.normal(size=width) * 0.5, rng.normal(size=(2, 2)), (4.0, -2.0))
+
+
+def test_blocks_change_no_score(monkeypatch):
+    import random
+    rng = random.Random(6)
+    texts = ["\n".join("".join(rng.choices("ab A9!$é.  ", k=rng.randint(0, 30))) for _ in range(rng.randint(0, 40))) for _ in range(30)] + ["", "\n\n\n"]
+    column, model = pa.array(texts, pa.large_string()), small_model()
+    features, weight, first = Q.line_features(column)
+    want = 1 / (1 + np.exp(-(4 * model.good_share(features, weight, first) - 2)))
+    for block in (1, 5, 1 << 15):
+        monkeypatch.setattr(Q, "BLOCK_LINES", block)
+        assert model.score(column) == pytest.approx(want, abs=1e-9)
+
+
+def test_very_many_short_lines_in_bounded_memory():
+    """8 MB of one-letter lines in a fresh process: under a gigabyte."""
+    import subprocess
+    import sys
+    code = ("import resource, pyarrow as pa; from tests.llm.test_quality_crf import small_model\n"
+            "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+            "s = small_model().score(pa.array(['a\\n' * 4_000_000], pa.large_string()))\n"
+            "print(0 <= s[0] <= 1, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)")
+    shown = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    assert shown[0] == "True" and int(shown[1]) < 1000, shown
+
+
+def test_the_sample_is_bounded_in_all(spark, monkeypatch):
+    docs = documents(spark, [(i, ("Good line here.\n" if i % 2 else "!!! $$$\n") * 900) for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(Q, "TOTAL_LINES", 4000)
+    monkeypatch.setattr(Q, "fit", lambda f, w, first, good: seen.append((len(f), len(w), first[-1], len(good))))
+    Q.train(docs, labels)
+    assert len(set(seen[0][:3])) == 1 and 2000 <= seen[0][0] <= 4000
