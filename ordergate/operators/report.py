@@ -25,13 +25,23 @@ DISCARDS = ("duplicados", "fecha_ilegible", "fecha_futura", "no_cuadra", "import
 
 def count_row(res: GateResult) -> DataFrame:
     """One row with every count of the report, computed by Spark."""
-    v = res.verdicts
+    return res.verdicts.agg(*_count_aggs(res)).crossJoin(spelling_counts(spellings_of(res)))
+
+
+def figures(res: GateResult) -> DataFrame:
+    """:func:`count_row` and :func:`run_summary` side by side, from one pass over the verdicts."""
+    row = res.verdicts.agg(*_count_aggs(res), *_summary_aggs(res)).crossJoin(spelling_counts(spellings_of(res)))
+    counts = [c for c in row.columns if not c.startswith(("filas_", "_"))]
+    return row.select(*counts, *_summary_columns())
+
+
+def _count_aggs(res: GateResult) -> list:
     passing = F.col(VERDICT) == S.VERDICT_PASS
     ret = F.coalesce(F.col("cantidad") < 0, F.lit(False))
     limit = None if res.threshold is None else res.threshold * S.OUTLIER_FACTOR
     flagged = (passing & ~ret & F.coalesce(F.col("importe") > F.lit(limit), F.lit(False))
                if limit is not None else F.lit(False))
-    aggs = [
+    return [
         F.count(F.lit(1)).alias("crudas"),
         F.count_if(F.col(VERDICT) == S.VERDICT_DUPLICATE).alias("duplicados"),
         F.count_if(F.col(VERDICT) == S.VERDICT_BAD_DATE).alias("fecha_ilegible"),
@@ -47,16 +57,15 @@ def count_row(res: GateResult) -> DataFrame:
         *[F.count_if(passing & F.col(c).isNull()).alias(f"huecos_{c}")
           for c in S.BLANK_LABEL_COLUMNS],
     ]
-    spell = spelling_counts(spellings_of(res))
-    return v.agg(*aggs).crossJoin(spell)
 
 
 def spellings_of(res: GateResult) -> DataFrame:
     return res.spell if res.spell is not None else spellings(res.verdicts.select("cliente"))
 
 
-def incidents(res: GateResult) -> DataFrame:
-    """``(orden, regla, filas, accion)`` in fixed order, counts > 0 only."""
+def incidents(res: GateResult, counted: DataFrame | None = None) -> DataFrame:
+    """``(orden, regla, filas, accion)`` in fixed order, counts > 0 only; from a row of
+    :func:`count_row`'s columns, if there already is one."""
     hoy = res.hoy.isoformat()
     lines = [
         (1, S.RULE_SPELLINGS, "grafias - clientes",
@@ -77,7 +86,7 @@ def incidents(res: GateResult) -> DataFrame:
     lines.append((13, S.RULE_BEYOND, "fuera_de_rango", _sql_text(S.ACTION_BEYOND)))
     lines.append((14, S.RULE_BAD_RECORD, "registro_ilegible", _sql_text(S.ACTION_BAD_RECORD)))
     body = ", ".join(f"{o}, {_sql_text(r)}, cast({n} as bigint), {a}" for o, r, n, a in lines)
-    return (count_row(res)
+    return ((count_row(res) if counted is None else counted)
             .select(F.expr(f"stack({len(lines)}, {body}) as (orden, regla, filas, accion)"))
             .where(F.col("filas") > 0))
 
@@ -121,25 +130,30 @@ def mismatch_explained(verdicts: DataFrame) -> DataFrame:
 def run_summary(res: GateResult) -> DataFrame:
     """Raw vs clean rows and turnover (v1 whole units, v2 cents; the
     clean figures exclude flagged rows, ``filas_publicadas`` includes them)."""
-    v = res.verdicts
+    return res.verdicts.agg(*_summary_aggs(res)).select(*_summary_columns())
+
+
+def _summary_aggs(res: GateResult) -> list:
     passing = F.col(VERDICT) == S.VERDICT_PASS
     limit = None if res.threshold is None else res.threshold * S.OUTLIER_FACTOR
     ret = F.coalesce(F.col("cantidad") < 0, F.lit(False))
     flagged = (~ret & F.coalesce(F.col("importe") > F.lit(limit), F.lit(False))
                if limit is not None else F.lit(False))
     counted = passing & ~flagged
-    agg = v.agg(
+    return [
         F.count(F.lit(1)).alias("filas_crudas"),
         F.count_if(counted).alias("filas_limpias"),
         F.count_if(passing).alias("filas_publicadas"),
         money_sum(F.col("importe")).alias("_cruda"),
-        money_sum(F.when(counted, F.col("importe"))).alias("_limpia"))
-    return agg.select(
-        "filas_crudas", "filas_limpias", "filas_publicadas",
-        F.col("_cruda").cast("double").alias("facturacion_cruda"),
-        F.col("_limpia").cast("double").alias("facturacion_limpia"),
-        whole_even(F.col("_cruda")).alias("fact_crudo"),
-        whole_even(F.col("_limpia")).alias("fact_limpio"))
+        money_sum(F.when(counted, F.col("importe"))).alias("_limpia")]
+
+
+def _summary_columns() -> list:
+    return ["filas_crudas", "filas_limpias", "filas_publicadas",
+            F.col("_cruda").cast("double").alias("facturacion_cruda"),
+            F.col("_limpia").cast("double").alias("facturacion_limpia"),
+            whole_even(F.col("_cruda")).alias("fact_crudo"),
+            whole_even(F.col("_limpia")).alias("fact_limpio")]
 
 
 def quality_header(summary: DataFrame) -> DataFrame:

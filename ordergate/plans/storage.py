@@ -10,9 +10,33 @@ from pyspark.sql import DataFrame
 
 
 def sorted_for_storage(df: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
-    """G16 layout: range partitions on the keys, sorted inside each one."""
-    n = partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return df.repartitionByRange(int(n), *keys).sortWithinPartitions(*keys)
+    """G16 layout: range partitions on the keys, sorted inside each one.
+
+    Their number is left to the engine, which merges small ones by their bytes; only where the input's size
+    asks for more than the session's number of shuffle partitions is one given, so that a
+    partition holds about TARGET_BYTES whatever the size of the table.
+    """
+    if partitions is None:
+        size = _input_bytes(df)
+        wanted = -(-size // TARGET_BYTES)
+        if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+            partitions = wanted
+    placed = df.repartitionByRange(*keys) if partitions is None else df.repartitionByRange(int(partitions), *keys)
+    return placed.sortWithinPartitions(*keys)
+
+
+TARGET_BYTES = 256 << 20
+
+
+def _input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that the frame reads (listed, not read)."""
+    return sum(int(leaf.stats().sizeInBytes()) for leaf in _file_relations(df))
+
+
+def _file_relations(df: DataFrame) -> list:
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    out = [leaves.apply(i) for i in range(leaves.size())]
+    return [x for x in out if x.getClass().getSimpleName() == "LogicalRelation"]
 
 
 def ordered_position(df: DataFrame, keys: list) -> DataFrame:

@@ -48,6 +48,12 @@ def list_dir(spark: SparkSession, path: str) -> list[str]:
     return sorted(st.getPath().getName() for st in fs.listStatus(jpath))
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    fs, jpath = _fs(spark, path)
+    if fs.exists(jpath):
+        fs.delete(jpath, True)
+
+
 CURRENT_COPY = "_CURRENT"    # names the live version of a cached sheet
 
 
@@ -295,11 +301,15 @@ def with_origin(fetched: Fetched) -> DataFrame:
     return fetched.df.withColumn("origen", F.lit(fetched.origen))
 
 
-def cache_snapshot(df: DataFrame, cache_path: str, version: str) -> DataFrame:
+def cache_snapshot(df: DataFrame, cache_path: str, version: str, write=None) -> DataFrame:
     """Write ``df``, positions included, as a new copy of the cached sheet
-    and read it back. Readers see it once :func:`switch_cache` names it."""
+    and read it back. Readers see it once :func:`switch_cache` names it. ``write(rows, path)``
+    may do the writing."""
     spark, path = df.sparkSession, f"{cache_path.rstrip('/')}/{version}"
-    with_row_position(df).write.mode("errorifexists").parquet(path)
+    if write is None:
+        with_row_position(df).write.mode("errorifexists").parquet(path)
+    else:
+        write(with_row_position(df), path)
     return spark.read.parquet(path)
 
 

@@ -174,3 +174,99 @@ def test_quality_documents(spark, root):
     got = dash_quality(PB.read_runs(spark, root), PB.read_state_frame(spark, root)).first()
     assert len(json.loads(got.sync)) == 7 and len(json.loads(got.calidad)) == 12
     assert json.loads(got.calidad)["mensaje"] is None
+
+
+def _written(monkeypatch):
+    """Paths of the tables written while it is in force."""
+    from pyspark.sql.readwriter import DataFrameWriter
+    paths, parquet = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: (paths.append(path), parquet(self, path, *a, **k))[1])
+    return paths
+
+
+def test_an_unchanged_sheet_is_neither_copied_nor_read(spark, root, tmp_path, monkeypatch):
+    """Ten files: one rewritten with the same rows is read alone; nothing is copied; a changed one gives a new load."""
+    import os
+    import shutil
+    from ordergate.plans import digest
+    folder = str(tmp_path / "hoja de pedidos" / "Pedidos")
+    dirty_orders(spark, SF).drop("fila_origen").repartition(10, "producto").write.parquet(folder)
+    src = [Source("source", str(tmp_path / "hoja de pedidos"))]
+    first = refresh(spark, src, root, TESTDATA_TODAY, quarantine=True)
+    assert first.estado == "ok"
+    raw = spark.read.parquet(folder)
+    assert first.huella == fingerprint(raw).first().huella              # of a full pass
+    read = []
+    digests = digest.file_digests
+    monkeypatch.setattr(digest, "file_digests", lambda df, paths=None: (read.append(paths), digests(df, paths))[1])
+    written = _written(monkeypatch)
+    same = refresh(spark, src, root, TESTDATA_TODAY, quarantine=True)
+    assert same.estado == "unchanged" and same.huella == first.huella and read == []
+    assert not any("/cache/" in p or "/raw/" in p or "/clean/" in p for p in written)
+    one = sorted(f for f in os.listdir(folder) if f.endswith(".parquet"))[3]
+    os.utime(f"{folder}/{one}", (1, 1))
+    touched = refresh(spark, src, root, TESTDATA_TODAY, quarantine=True)
+    assert touched.estado == "unchanged" and len(read) == 1 and len(read[0]) == 1 and read[0][0].endswith(one)
+    assert not any("/cache/" in p for p in written)
+    again = refresh(spark, src, root, TESTDATA_TODAY, quarantine=True)   # the touched file is known by now
+    assert again.estado == "unchanged" and len(read) == 1
+    spark.read.parquet(f"{folder}/{one}").limit(7).coalesce(1).write.parquet(str(tmp_path / "less"))
+    part = next(f for f in os.listdir(tmp_path / "less") if f.endswith(".parquet"))
+    for crc in (f"{folder}/.{one}.crc",):
+        os.path.exists(crc) and os.remove(crc)
+    shutil.copy(tmp_path / "less" / part, f"{folder}/{one}")
+    spark.catalog.refreshByPath(folder)
+    changed = refresh(spark, src, root, TESTDATA_TODAY, quarantine=True)
+    assert changed.estado == "ok" and changed.huella != first.huella
+    assert changed.huella == fingerprint(spark.read.parquet(folder)).first().huella
+    assert len(read) == 2 and len(read[1]) == 1
+
+
+def test_files_merge_to_the_whole(spark, tmp_path):
+    """Digests of files with their own positions and of files without, empty ones included."""
+    from ordergate.plans import digest
+    from ordergate.sources.sheet import Fetched, read_orders
+    for n, df in enumerate((dirty_orders(spark, SF), dirty_orders(spark, SF).drop("fila_origen"), dirty_orders(spark, SF).limit(0))):
+        path = str(tmp_path / f"s{n}" / "Pedidos")
+        df.repartition(7, "zona").sortWithinPartitions("importe").write.parquet(path)
+        df.limit(0).coalesce(1).write.mode("append").parquet(path)
+        sheet = read_orders(spark, str(tmp_path / f"s{n}"))
+        huella, files = digest.from_files(spark, Fetched(sheet, "source", None, str(tmp_path / f"s{n}")), None, None)
+        assert huella == fingerprint(sheet).first().huella
+        assert files.agg(F.sum("n")).first()[0] == df.count()
+
+
+def test_csv_unchanged_and_changed(spark, root, tmp_path):
+    path = tmp_path / "csv" / "Pedidos"
+    dirty_orders(spark, SF).drop("fila_origen").coalesce(3).write.option("header", "true").csv(str(path))
+    src = [Source("source", str(path), "csv")]
+    first = refresh(spark, src, root, TESTDATA_TODAY, quarantine=True)
+    assert refresh(spark, src, root, TESTDATA_TODAY, quarantine=True).estado == "unchanged"
+    part = sorted(path.glob("*.csv"))[0]
+    text = part.read_text()
+    part.write_text(text[:text.rindex("\n", 0, -1) + 1])      # a row less
+    (path / f".{part.name}.crc").unlink()
+    less = refresh(spark, src, root, TESTDATA_TODAY, quarantine=True)
+    assert less.estado == "ok" and less.delta["filas_crudas"] == -1 and less.huella != first.huella
+
+
+def test_figures_of_a_write_equal_those_of_a_scan(spark, sheet, root, monkeypatch):
+    """Constraint counts, totals and rows set aside, as the checks count them on the written tables; a broken row is
+    written once, to the quarantine."""
+    from ordergate.operators import checks
+    from ordergate.operators.gate import run_gate
+    from ordergate.plans import refresh as RF
+    raw = dirty_orders(spark, SF)
+    written = _written(monkeypatch)
+    gate = run_gate(raw, TESTDATA_TODAY, materialize=True)
+    typed = PB.clean_typed(gate.clean, "x")
+    found, aside, paths = RF.stage_observed(spark, raw, typed, root, "x", True)
+    want = checks.constraint_counts(typed, spark.read.parquet(paths["raw"])).first().asDict()
+    assert {k: found[k] for k in (*checks.CONSTRAINTS, "filas_crudas", "crudo_fila_repetida")} == {
+        k: want[k] for k in (*checks.CONSTRAINTS, "filas_crudas", "crudo_fila_repetida")}
+    broken = typed.withColumn("r", RF.broken_constraint()).where("r IS NOT NULL").groupBy("r").count().collect()
+    assert aside == {r["r"]: r["count"] for r in broken} and sum(aside.values()) > 0
+    assert found["filas_limpias"] == typed.count() - sum(aside.values()) == spark.read.parquet(paths["clean"]).count()
+    assert spark.read.parquet(f"{root}/quarantine/sync_id=x").groupBy("restriccion").count().count() == len(aside)
+    assert sum("/clean/" in p for p in written) == 1
+    gate.release()
