@@ -87,8 +87,11 @@ def dash_kpis(clean: DataFrame, f: Filters, win: Window_ | None = None) -> DataF
     """KPI row with numeric half-up rounding; null variation when the
     previous window sums to 0; returns % is 0 when gross is 0."""
     base = dash_filtered(clean, f)
-    win = win or dash_window(base, f)[0]
-    k = kpi_frame(base, win)
+    return kpi_row(kpi_frame(base, win or dash_window(base, f)[0]))
+
+
+def kpi_row(k: DataFrame) -> DataFrame:
+    """D4's figures of a ``kpi_frame``."""
     fact, prev = F.col("facturacion").cast("double"), F.col("facturacion_anterior").cast("double")
     bru, dev = F.col("bruta").cast("double"), F.col("devoluciones").cast("double")
     return k.select(

@@ -195,7 +195,11 @@ def kpi_frame(base: DataFrame, win: Window_) -> DataFrame:
 def kpis(clean: DataFrame, desde=None, hasta=None) -> DataFrame:
     """M5 KPI row (v1 rounding: half to even, whole units / one decimal)."""
     base = metric_base(clean)
-    k = kpi_frame(base, kpi_bounds(base, desde, hasta))
+    return kpi_row(kpi_frame(base, kpi_bounds(base, desde, hasta)))
+
+
+def kpi_row(k: DataFrame) -> DataFrame:
+    """The KPI row of a :func:`kpi_frame`."""
     fact, prev = F.col("facturacion").cast("double"), F.col("facturacion_anterior").cast("double")
     bru, dev = F.col("bruta").cast("double"), F.col("devoluciones").cast("double")
     return k.select(

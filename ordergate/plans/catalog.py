@@ -485,6 +485,41 @@ def _dash_json(spark, sf):
     return D.dash_json(_clean(spark, sf), P.DASH_FILTERS)
 
 
+_ROLLUPS: dict[tuple, str] = {}
+
+
+def rollup_of(spark: SparkSession, sf: str):
+    """The rollup of the clean table, written once per session and input."""
+    import uuid
+    from ordergate.operators import rollup
+    from ordergate.session import work_dir
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    if key not in _ROLLUPS:
+        path = work_dir(spark, "registro", uuid.uuid4().hex, "rollup")
+        rollup.save(rollup.build(_clean(spark, sf)), path)
+        _ROLLUPS[key] = path
+    return rollup.load(spark, _ROLLUPS[key])
+
+
+def _rolled(name, *args, **kwargs):
+    def query(spark, sf):
+        from ordergate.operators import rollup
+        return getattr(rollup, name)(rollup_of(spark, sf), *args, **kwargs)
+    query.__doc__ = f"The rollup's answer to {name}, equal to that of the order lines."
+    return query
+
+
+for _name, _query in (("rollup_kpis", _rolled("kpis")), ("rollup_kpis_window", _rolled("kpis", P.KPI_DESDE, P.KPI_HASTA)),
+                      ("rollup_monthly", _rolled("monthly_series")), ("rollup_dash_kpis", _rolled("dash_kpis", P.DASH_FILTERS)),
+                      ("rollup_dash_kpis_all", _rolled("dash_kpis", P.NO_FILTERS)),
+                      ("rollup_dash_kpis_filtered", _rolled("dash_kpis", P.DASH_ALL_FILTERS)),
+                      ("rollup_dash_monthly", _rolled("dash_monthly", P.DASH_FILTERS)),
+                      ("rollup_dash_top_product", _rolled("dash_top", P.DASH_FILTERS, "producto")),
+                      ("rollup_dash_top_customer", _rolled("dash_top", P.DASH_FILTERS, "clientes")),
+                      ("rollup_dash_top_zone", _rolled("dash_top", P.DASH_FILTERS, "zona"))):
+    register(_name)(_query)
+
+
 @register("dash_filter_values")
 def _dash_filter_values(spark, sf):
     """Values for the four filter lists and the date range."""

@@ -456,6 +456,12 @@ broken as (select count(distinct razon) as n from (select case {_reasons()} end
   (select cast(to_json(list({{'regla': regla, 'filas': filas, 'accion': accion}} order by orden)) as varchar)
    from inc) as incidencias,
   cast({S.RULE_VERSION} as bigint) as version_puerta""", *_incident_ctes(), f"inc as ({_incidents_select()})")
+    for rolled, lines in (("rollup_kpis", "kpi_default"), ("rollup_kpis_window", "kpi_window"), ("rollup_monthly", "monthly_series"),
+                          ("rollup_dash_kpis", "dash_kpis"), ("rollup_dash_kpis_all", "dash_kpis_all"),
+                          ("rollup_dash_kpis_filtered", "dash_kpis_filtered"), ("rollup_dash_monthly", "dash_monthly"),
+                          ("rollup_dash_top_product", "dash_top_product"), ("rollup_dash_top_customer", "dash_top_customer"),
+                          ("rollup_dash_top_zone", "dash_top_zone")):
+        o[rolled] = o[lines]
     return o
 
 
