@@ -1,0 +1,64 @@
+"""The exact quantile against sorting, and how often it reads its input."""
+
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from ordergate.operators import quantile as Q
+
+
+def by_sorting(values, p):
+    values = sorted(v for v in values if v is not None)
+    if not values:
+        return None
+    h = (len(values) - 1) * p
+    a = math.floor(h)
+    return values[a] + (h - a) * (values[min(a + 1, len(values) - 1)] - values[a])
+
+
+CASES = {
+    "plain": lambda r: [r.gauss(100, 30) for _ in range(3000)],
+    "ties": lambda r: [float(r.choice([1, 2, 2, 3])) for _ in range(2000)],
+    "typo": lambda r: [r.uniform(0, 10) for _ in range(2000)] + [1e300, -1e300],
+    "few": lambda r: [3.0, 1.0], "one": lambda r: [5.0], "none": lambda r: [], "nulls": lambda r: [None, 1.0, None, 4.0],
+    "close": lambda r: [1.0 + i * 2.0 ** -52 for i in range(50)],
+}
+
+
+@pytest.mark.parametrize("accuracy", [50_000, 20])
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_against_sorting(spark, monkeypatch, name, accuracy):
+    monkeypatch.setattr(Q, "ACCURACY", accuracy)
+    values = CASES[name](random.Random(3))
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
+    for p in (0.0, 0.5, 0.999, 1.0):
+        got = Q.exact_quantile(df, "v", p)
+        want = by_sorting(values, p)
+        assert got == want or got == pytest.approx(want, rel=1e-12)
+
+
+def test_two_scans_whatever_the_values(spark, monkeypatch):
+    """Rows seen: twice the input, also with a typo that stretches the range; the bracket is small."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+    n = 40_000
+    rows = spark.range(n).select(F.when(F.col("id") == 7, F.lit(1e300)).otherwise(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 7).alias("v"))
+    sizes = []
+    bracketed = Q._bracketed
+    monkeypatch.setattr(Q, "_bracketed", lambda *a: (out := bracketed(*a), sizes.append(out[2]))[0])
+    got = Q.exact_quantile(rows.mapInArrow(seen, "v double"), "v", 0.999)
+    assert got == pytest.approx(by_sorting([r.v for r in rows.collect()], 0.999), rel=1e-12)
+    assert read.value == 2 * n and len(sizes) == 1 and sizes[0] < n / 100
+
+
+def test_a_wrong_sketch_costs_a_scan_not_the_result(spark, monkeypatch):
+    values = [float(i) for i in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    monkeypatch.setattr(Q.F, "percentile_approx", lambda *a: F.array(F.lit(3.0), F.lit(4.0)))
+    assert Q.exact_quantile(df, "v", 0.9) == by_sorting(values, 0.9)
