@@ -127,7 +127,7 @@ def _src_row_position_csv(spark, sf):
     from ordergate.sources.sheet import read_orders
     li = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey")
     path = text_sheet(spark, sf, "lineas", lambda p: li.write.option("header", "true").csv(p))
-    placed = with_row_position(read_orders(spark, path, "csv", multiline=False))
+    placed = with_row_position(read_orders(spark, path, "csv"))
     return placed.select(*[F.col(f.name).cast(f.dataType) for f in li.schema.fields], S.ROW_POSITION)
 
 

@@ -134,7 +134,7 @@ def is_folder(spark: SparkSession, path: str) -> bool:
 CSV_OPTIONS = {"header": "true", "escape": '"', "enforceSchema": "false"}
 
 
-def read_orders(spark: SparkSession, path: str | list[str], fmt: str = "parquet", multiline: bool | None = None) -> DataFrame:
+def read_orders(spark: SparkSession, path: str | list[str], fmt: str = "parquet", multiline: bool = False) -> DataFrame:
     """Read the sheet. CSV/JSON cells are read as text; Parquet keeps its
     types (the gate types columns itself).
 
@@ -145,9 +145,9 @@ def read_orders(spark: SparkSession, path: str | list[str], fmt: str = "parquet"
 
     Text sheets get one more column, :data:`ordergate.schema.BAD_RECORD`: the line of a
     record that does not parse (too few or too many cells, cut JSON), which the gate
-    counts under its own reason. ``multiline`` lets a record go over several lines, so
-    each file is read by one task: the default for CSV, where a quoted cell
-    may hold line breaks. Turn it off for large files without such cells.
+    counts under its own reason. ``multiline`` lets a record go over several lines, for sheets
+    whose quoted cells hold line breaks; each file is then read by one task. Without it files
+    are split, and the lines of such a record count as unreadable.
     """
     if isinstance(path, str):
         path = resolve_tab(spark, path)
@@ -155,8 +155,7 @@ def read_orders(spark: SparkSession, path: str | list[str], fmt: str = "parquet"
         return spark.read.parquet(*([path] if isinstance(path, str) else path))
     if fmt not in ("csv", "json"):
         raise ValueError(f"unknown format {fmt!r}")
-    lines = (fmt == "csv") if multiline is None else multiline
-    reader = spark.read.options(columnNameOfCorruptRecord=S.BAD_RECORD, multiLine=str(lines).lower())
+    reader = spark.read.options(columnNameOfCorruptRecord=S.BAD_RECORD, multiLine=str(multiline).lower())
     if fmt == "csv":
         reader = reader.options(**CSV_OPTIONS)
         names = reader.csv(path).columns
@@ -264,7 +263,7 @@ class Source:
     path: str | list[str]
     fmt: str = "parquet"
     date_formats: tuple[str, ...] = ()   # how its text dates look, besides ISO ('dd/MM/yyyy', ...)
-    multiline: bool | None = None        # records over several lines; see read_orders
+    multiline: bool = False              # records over several lines; see read_orders
 
 
 @dataclass

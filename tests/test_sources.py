@@ -114,7 +114,7 @@ def test_text_positions_survive_other_splits(spark, tmp_path):
     old = spark.conf.get("spark.sql.files.minPartitionNum", None)
     try:
         spark.conf.set("spark.sql.files.minPartitionNum", "4")
-        placed = with_row_position(read_orders(spark, path, "csv", multiline=False))
+        placed = with_row_position(read_orders(spark, path, "csv"))
         spark.conf.set("spark.sql.files.minPartitionNum", "16")
         assert placed.count() == n
         assert placed.agg(F.count_distinct("fila_origen"), F.max("fila_origen")).first() == (n, n - 1)
@@ -140,7 +140,9 @@ A3,2025-01-02,c,p,1,2,2,too,long
 A4,2025-01-02,c,p,1,2,2
 """)
     (folder / "b.csv").write_text(f"{HEADER}\nA4,2025-01-03,c,p,1,2,2\n,2025-01-03,c,p,1,2,2\n")
-    raw = read_orders(spark, str(folder), "csv")
+    split = run_gate(read_orders(spark, str(folder), "csv"), "2025-06-30").counts
+    assert (split["crudas"], split["registro_ilegible"], split["limpias"]) == (7, 4, 2)      # both lines of the first record
+    raw = read_orders(spark, str(folder), "csv", multiline=True)
     res = run_gate(raw, "2025-06-30", materialize=True)
     c = res.counts
     assert c["crudas"] == 6 and c["registro_ilegible"] == 2 and c["duplicados"] == 1 and c["limpias"] == 3
