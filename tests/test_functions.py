@@ -101,3 +101,10 @@ def test_python_float_text(spark):
             assert r.t is None
         elif abs(r.x) < 1e16:
             assert r.t == repr(r.x), (r.x, r.t)
+
+
+@pytest.mark.parametrize("spelling, key", [
+    ("  Maderas\u00a0Núñez,  S.L. ", "MADERAS NUNEZ, SL"), ("a\x1cb\t\n c", "A B C"), ("\u2028x\u3000y\x85", "X Y"), ("...", ""), ("", ""), ("¨abc", "ABC"),
+    ("ﬁn½", "FIN12"), ("l·l ŀ", "LL L"), ("Ωmega ß", "MEGA"), ("i̇", "I"), ("日本 co.", "CO"), ("x . y", "X Y")])
+def test_customer_key_by_definition(spelling, key):
+    assert customer_key_py(spelling) == key
