@@ -520,6 +520,48 @@ for _name, _query in (("rollup_kpis", _rolled("kpis")), ("rollup_kpis_window", _
     register(_name)(_query)
 
 
+_INDEXED: dict[tuple, str] = {}
+
+
+def indexed_of(spark: SparkSession, sf: str, layout: str = "fecha"):
+    """The clean table with its file index, written once per session, input and layout."""
+    import uuid
+    from ordergate.plans import fileindex
+    from ordergate.session import work_dir
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"), layout)
+    if key not in _INDEXED:
+        path = work_dir(spark, "registro", uuid.uuid4().hex, f"indexado-{layout}")
+        fileindex.save(_clean(spark, sf), path, layout, at_least=P.INDEX_FILES)
+        _INDEXED[key] = path
+    return fileindex.load(spark, _INDEXED[key])
+
+
+def _indexed(name, *args, layout="fecha", **kwargs):
+    def query(spark, sf):
+        from ordergate.plans import fileindex
+        return getattr(fileindex, name)(indexed_of(spark, sf, layout), *args, **kwargs)
+    query.__doc__ = f"{name} from the files that the index does not rule out, equal to that of the whole table."
+    return query
+
+
+for _name, _query in (("indexed_search", _indexed("page", E.Query(q=P.EXPLORE_SEARCH))),
+                      ("indexed_search_id", _indexed("page", E.Query(q=P.LOOKUP_ID))),
+                      ("indexed_totals", _indexed("totals", E.Query(q=P.EXPLORE_TOTALS_SEARCH, marca="sin_senalados"))),
+                      ("indexed_totals_all", _indexed("totals", E.Query())),
+                      ("indexed_deep", _indexed("page", E.Query(limite=P.DEEP_LIMIT, offset=P.DEEP_OFFSET))),
+                      ("indexed_deep_entry", _indexed("page", E.Query(limite=P.DEEP_LIMIT, offset=P.DEEP_OFFSET, orden="registro"))),
+                      ("indexed_dash_orders", _indexed("page", P.DASH_ORDERS_ALL, layout="filtros", by_day=True)),
+                      ("indexed_date_range", _indexed("date_range"))):
+    register(_name)(_query)
+
+
+@register("indexed_dash_filtered")
+def _indexed_dash_filtered(spark, sf):
+    """D1 with all four category filters, from the files of the several-filter layout that can hold such rows."""
+    from ordergate.plans import fileindex
+    return fileindex.dash_filtered(indexed_of(spark, sf, "filtros"), P.DASH_ALL_FILTERS).select(S.ROW_POSITION, "importe")
+
+
 @register("dash_filter_values")
 def _dash_filter_values(spark, sf):
     """Values for the four filter lists and the date range."""
@@ -774,9 +816,8 @@ def _load_clean(spark, sf):
 
 @register("save_clean_roundtrip")
 def _save_clean_roundtrip(spark, sf):
-    """Save then load gives the same table."""
-    from ordergate.sources.tables import load_clean
-    return load_clean(spark, scenario(spark, sf)["saved"])
+    """Save then load gives the same table, in the layout for several filters too."""
+    return indexed_of(spark, sf, "filtros").rows
 
 
 @register("src_fallback")

@@ -462,6 +462,15 @@ broken as (select count(distinct razon) as n from (select case {_reasons()} end
                           ("rollup_dash_top_product", "dash_top_product"), ("rollup_dash_top_customer", "dash_top_customer"),
                           ("rollup_dash_top_zone", "dash_top_zone")):
         o[rolled] = o[lines]
+    # ---- file index
+    for indexed, whole in (("indexed_search", "explore_search"), ("indexed_totals", "explore_totals"), ("indexed_deep", "explore_deep"),
+                           ("indexed_deep_entry", "explore_deep_entry"), ("indexed_dash_orders", "dash_orders_filtered"),
+                           ("indexed_date_range", "date_range")):
+        o[indexed] = o[whole]
+    o["indexed_search_id"] = _explore(_search(P.LOOKUP_ID), ORDER_FECHA, 25, 0)
+    o["indexed_totals_all"] = gate(f"""select count(*) as total,
+  cast(round_even(coalesce(sum({MONEY}), 0), 0) as bigint) as importe from clean""")
+    o["indexed_dash_filtered"] = gate("select fila_origen, importe from dbase", _dash_base(P.DASH_ALL_FILTERS))
     return o
 
 

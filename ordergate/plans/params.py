@@ -27,6 +27,7 @@ DASH_NO_MATCH = Filters(zona="no such zone")
 DASH_ORDERS_ALL = Query(limite=7, offset=3, comercial="Supplier#000000012", zona="NATION_16",
                         tipo_cliente="MACHINERY", familia="MEDIUM", desde="1995-01-01", hasta="2000-12-31", orden="registro")
 DEEP_LIMIT, DEEP_OFFSET = 40, 2990
+INDEX_FILES = 16                    # the least number of files of an indexed table, so that small data has some to leave out
 
 
 def as_text(value) -> str | None:

@@ -6,26 +6,53 @@ so Parquet min/max statistics let date filters skip whole row groups.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-def sorted_for_storage(df: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
+
+def sorted_for_storage(df: DataFrame, keys: list[str], partitions: int | None = None, at_least: int = 0) -> DataFrame:
     """G16 layout: range partitions on the keys, sorted inside each one.
 
     Their number is left to the engine, which merges small ones by their bytes; only where the input's size
     asks for more than the session's number of shuffle partitions is one given, so that a
-    partition holds about TARGET_BYTES whatever the size of the table.
+    partition holds about TARGET_BYTES whatever the size of the table. ``at_least`` gives a small
+    table that many all the same.
     """
     if partitions is None:
         size = _input_bytes(df)
         wanted = -(-size // TARGET_BYTES)
-        if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-            partitions = wanted
+        if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) or wanted < at_least:
+            partitions = max(wanted, at_least)
     placed = df.repartitionByRange(*keys) if partitions is None else df.repartitionByRange(int(partitions), *keys)
     return placed.sortWithinPartitions(*keys)
 
 
 TARGET_BYTES = 256 << 20
+CURVE_BITS = 6       # an axis of the curve is cut into 2 ** CURVE_BITS parts
+
+
+def curve_key(df: DataFrame, moment: str, categories: Sequence[str]) -> Column:
+    """Place of a row on a space-filling curve through a moment and some categories (interleaved bits).
+
+    Rows near each other on any axis lie near each other on the curve, so a range of it holds a narrow
+    part of every axis. The moment is cut at its quantiles (one aggregate, 63 numbers to the driver),
+    categories by hash, nulls first. Where it is a sort key, add the moment after it: one hot value
+    of an axis then still splits into ranges.
+    """
+    parts = 1 << CURVE_BITS
+    day = F.unix_date(F.to_date(moment))
+    edges = df.agg(F.percentile_approx(day, [i / parts for i in range(1, parts)])).first()[0] or []
+    cut = F.lit(0)
+    for edge in sorted(set(edges)):
+        cut = cut + F.when(day > edge, 1).otherwise(0)
+    axes = [*[F.when(F.col(c).isNull(), 0).otherwise(F.pmod(F.xxhash64(c), F.lit(parts))) for c in categories], cut]
+    key = F.lit(0).cast("long")
+    for bit in range(CURVE_BITS):
+        for i, axis in enumerate(axes):
+            key = key.bitwiseOR(F.shiftleft(F.shiftright(axis.cast("long"), bit).bitwiseAND(F.lit(1).cast("long")), bit * len(axes) + i))
+    return key
 
 
 def _input_bytes(df: DataFrame) -> int:
@@ -47,7 +74,9 @@ def ordered_position(df: DataFrame, keys: list) -> DataFrame:
     from ordergate.sources.sheet import with_row_position
     cols = df.columns
     ordered = materialize(df.orderBy(*keys), "ordered")
-    return with_row_position(ordered, from_files=True, name="posicion").select(*cols, "posicion")
+    out = with_row_position(ordered, from_files=True, name="posicion").select(*cols, "posicion")
+    out._ordergate_folder = ordered._ordergate_folder
+    return out
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
