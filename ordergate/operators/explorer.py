@@ -8,6 +8,7 @@ Keyset paging (:func:`page_after`) starts at the last key of the page before.
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -170,7 +171,7 @@ def page(clean: DataFrame, query: Query, by_day: bool = False) -> DataFrame:
 
     The row at the offset is found by counting ranges of the sort keys; from
     there a page is a top-``limite``, so a task never holds more than a page, however
-    deep it is."""
+    deep it is. The page's last key is found first, from the sort keys alone."""
     q = query.clamped()
     filt = filtered(clean, q)
     order = order_columns(filt, q.orden, by_day)
@@ -180,11 +181,34 @@ def page(clean: DataFrame, query: Query, by_day: bool = False) -> DataFrame:
         day = None if len(keys) == 1 and S.ROW_POSITION in filt.columns else F.unix_date(F.to_date("fecha")).cast("long")
         start, skip = _from_rank(filt, keys, q.offset, day)
         rows = filt.where(start)
-    rows = rows.orderBy(*order).offset(skip).limit(q.limite)
+    rows = rows.where(_until_last(rows, q, by_day, skip)).orderBy(*order).offset(skip).limit(q.limite)
     w = Window.orderBy(*order)        # over at most 200 rows
     return project_rows(rows.withColumn("posicion", F.row_number().over(w) + F.lit(q.offset)))
 
 
+def _until_last(rows: DataFrame, q: Query, by_day: bool, skip: int) -> Column:
+    """Condition that keeps a page's last row and all before it, from the sort keys of the page (at most 200 rows).
+
+    With it only a page's rows, and those equal in the keys, are carried through what the clean table
+    still has to join; without it all rows would be."""
+    moment = F.to_date("fecha") if by_day else F.col("fecha")
+    position = [F.col(S.ROW_POSITION)] if S.ROW_POSITION in rows.columns else []
+    keys = position if q.orden == "registro" and position else [moment, *position]
+    named = [k.alias(f"k{i}") for i, k in enumerate(keys)]
+    order = order_columns(rows, q.orden, by_day)
+    page_keys = rows.orderBy(*order).offset(skip).limit(q.limite).select(*named).collect()
+    if not page_keys:
+        return F.lit(False)
+    keep, equal = F.lit(False), F.lit(True)
+    for key, last in zip(keys, page_keys[-1]):
+        if last is None:          # nulls come last: every value lies before them
+            keep, equal = keep | (equal & key.isNotNull()), equal & key.isNull()
+        else:
+            end = ntz(last) if isinstance(last, dt.datetime) else F.lit(last)
+            keep, equal = keep | (equal & (key > end)), equal & (key == end)
+    return keep | equal
+
+
 def page_after(clean: DataFrame, query: Query, last_fecha, last_fila: int) -> DataFrame:
     """Keyset paging for deep pages of the date order: rows strictly after
     ``(last_fecha, last_fila)`` in ``fecha desc, fila_origen desc`` order.
