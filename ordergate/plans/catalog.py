@@ -89,7 +89,7 @@ def sheet_of(spark: SparkSession, sf: str) -> str:
     key = (spark.sparkContext.applicationId, sf.rstrip("/"))
     if key not in _SHEETS:
         path = work_dir(spark, "registro", uuid.uuid4().hex, "hoja")
-        dirty_orders(spark, sf).write.parquet(f"{path}/Pedidos")
+        dirty_orders(spark, sf).write.option("compression", "zstd").parquet(f"{path}/Pedidos")
         _SHEETS[key] = path
     return _SHEETS[key]
 
@@ -690,11 +690,13 @@ def _refresh_delta(spark, sf):
     return delta(now, before)
 
 
-_SCENARIOS: dict[tuple, dict] = {}
+_HISTORIES: dict[tuple, str] = {}
+_STAGED: dict[tuple, dict] = {}
+_SAVED: dict[tuple, str] = {}
 
 
-def scenario(spark: SparkSession, sf: str) -> dict:
-    """A refresh history on the shared folder, run once per session/input: refused
+def history_of(spark: SparkSession, sf: str) -> str:
+    """The root of a refresh history on the shared folder, run once per session/input: refused
     by the strict checks, quarantined first load, unchanged re-run, primary source
     lost (cache), forced re-run."""
     import uuid
@@ -703,12 +705,11 @@ def scenario(spark: SparkSession, sf: str) -> dict:
     from ordergate.session import work_dir
     from ordergate.sources.sheet import Source
     key = (spark.sparkContext.applicationId, sf.rstrip("/"))
-    if key in _SCENARIOS:
-        return _SCENARIOS[key]
+    if key in _HISTORIES:
+        return _HISTORIES[key]
     root = work_dir(spark, "registro", uuid.uuid4().hex)
-    hoja = sheet_of(spark, sf)
     pub = f"{root}/pub"
-    primary, cache = Source("source", hoja), Source("cache", f"{pub}/cache")
+    primary, cache = Source("source", sheet_of(spark, sf)), Source("cache", f"{pub}/cache")
     lost = Source("source", f"{root}/no-such-sheet")
     try:
         refresh(spark, [primary, cache], pub, P.HOY)
@@ -717,21 +718,40 @@ def scenario(spark: SparkSession, sf: str) -> dict:
     for sources, forced in (([primary, cache], False), ([primary, cache], False), ([lost, cache], False),
                             ([primary, cache], True)):
         refresh(spark, sources, pub, P.HOY, forzar=forced, quarantine=True)
-    staged_root = f"{root}/staged"
-    g = gate_of(spark, sf)
-    paths = PB.stage(PB.raw_landing(orders_of(spark, sf), P.SYNC_ID), PB.clean_typed(g.clean, P.SYNC_ID),
-                     staged_root, P.SYNC_ID)
-    saved = f"{root}/limpio"
+    _HISTORIES[key] = pub
+    return pub
+
+
+def staged_of(spark: SparkSession, sf: str) -> dict:
+    """The paths of a raw landing and a clean table staged once per session/input, not published."""
+    import uuid
+    from ordergate.plans import publish as PB
+    from ordergate.session import work_dir
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    if key not in _STAGED:
+        root = work_dir(spark, "registro", uuid.uuid4().hex, "staged")
+        _STAGED[key] = PB.stage(PB.raw_landing(orders_of(spark, sf), P.SYNC_ID), PB.clean_typed(_clean(spark, sf), P.SYNC_ID),
+                                root, P.SYNC_ID)
+    return _STAGED[key]
+
+
+def saved_of(spark: SparkSession, sf: str) -> str:
+    """The clean table saved once per session/input."""
+    import uuid
+    from ordergate.session import work_dir
     from ordergate.sources.tables import save_clean
-    save_clean(g.clean, saved)
-    _SCENARIOS[key] = dict(root=root, pub=pub, sheet=f"{hoja}/Pedidos", staged=paths, saved=saved)
-    return _SCENARIOS[key]
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    if key not in _SAVED:
+        path = work_dir(spark, "registro", uuid.uuid4().hex, "limpio")
+        save_clean(_clean(spark, sf), path)
+        _SAVED[key] = path
+    return _SAVED[key]
 
 
 def _history(spark, sf) -> DataFrame:
     """The run log in order, without generated ids and times."""
     from ordergate.plans.publish import read_runs
-    runs = read_runs(spark, scenario(spark, sf)["pub"])
+    runs = read_runs(spark, history_of(spark, sf))
     # A handful of runs.
     w = Window.orderBy("started_at")
     return runs.withColumn("orden", F.row_number().over(w))
@@ -749,7 +769,7 @@ def _run_log(spark, sf):
 def _state_read(spark, sf):
     """The state row after the refresh history, without generated ids and times."""
     from ordergate.plans.publish import read_state_frame
-    return read_state_frame(spark, scenario(spark, sf)["pub"]).select(
+    return read_state_frame(spark, history_of(spark, sf)).select(
         "dataset_key", "ultimo_estado", "ultimo_error", "version_puerta", "filas_crudas", "filas_limpias", "fact_limpio",
         "hoy", "fechas_futuras", "origen_dato", "aviso")
 
@@ -773,7 +793,7 @@ def _refresh_outcome(spark, sf):
 def _publish_conservation(spark, sf):
     """Every raw row of the published version is published, discarded or quarantined."""
     from ordergate.plans.publish import current_pointer
-    pub = scenario(spark, sf)["pub"]
+    pub = history_of(spark, sf)
     ptr = current_pointer(spark, pub)
     one = [spark.read.parquet(ptr["raw"]).agg(F.count("*").alias("crudas")),
            spark.read.parquet(ptr["clean"]).agg(F.count("*").alias("publicadas")),
@@ -786,7 +806,7 @@ def _publish_conservation(spark, sf):
 @register("publish_staged")
 def _publish_staged(spark, sf):
     """The staged clean table, read back."""
-    return spark.read.parquet(scenario(spark, sf)["staged"]["clean"]).drop("created_at", "updated_at")
+    return spark.read.parquet(staged_of(spark, sf)["clean"]).drop("created_at", "updated_at")
 
 
 @register("publish_current")
@@ -794,14 +814,14 @@ def _publish_current(spark, sf):
     """The clean table the current pointer names (rows breaking a
     constraint were quarantined; the generated sync id is left out)."""
     from ordergate.plans.publish import load_current
-    return load_current(spark, scenario(spark, sf)["pub"]).drop("sync_id", "created_at", "updated_at")
+    return load_current(spark, history_of(spark, sf)).drop("sync_id", "created_at", "updated_at")
 
 
 @register("dash_quality")
 def _dash_quality(spark, sf):
     """The two documents the dashboard reads, without generated ids and times."""
     from ordergate.plans.publish import read_runs, read_state_frame
-    pub = scenario(spark, sf)["pub"]
+    pub = history_of(spark, sf)
     docs = D.dash_quality(read_runs(spark, pub), read_state_frame(spark, pub))
     def of(doc, name):
         return F.get_json_object(doc, f"$.{name}")
@@ -817,7 +837,7 @@ def _dash_quality(spark, sf):
 def _load_clean(spark, sf):
     """The saved clean table, read back with its schema."""
     from ordergate.sources.tables import load_clean
-    return load_clean(spark, scenario(spark, sf)["saved"])
+    return load_clean(spark, saved_of(spark, sf))
 
 
 @register("save_clean_roundtrip")
@@ -831,8 +851,8 @@ def _src_fallback(spark, sf):
     """First readable source meeting the contract (primary missing,
     a table without the columns, then the sheet)."""
     from ordergate.sources.sheet import Source, first_available, with_origin
-    sc = scenario(spark, sf)
-    fetched = first_available(spark, [Source("source", f"{sc['root']}/no-such-sheet"),
+    sheet = sheet_of(spark, sf)
+    fetched = first_available(spark, [Source("source", f"{sheet}/no-such-sheet"),
                                       Source("cache", f"{sf}/orders.parquet"),
-                                      Source("reference", sc["sheet"])])
+                                      Source("reference", f"{sheet}/Pedidos")])
     return with_origin(fetched)
