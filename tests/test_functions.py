@@ -108,3 +108,17 @@ def test_python_float_text(spark):
     ("ﬁn½", "FIN12"), ("l·l ŀ", "LL L"), ("Ωmega ß", "MEGA"), ("i̇", "I"), ("日本 co.", "CO"), ("x . y", "X Y")])
 def test_customer_key_by_definition(spelling, key):
     assert customer_key_py(spelling) == key
+
+
+def test_zone_is_looked_for_only_where_a_sign_of_one_stands(spark):
+    """Dates with and without zones, signs in odd places, spaces around."""
+    texts = {"2001-02-03": "2001-02-03 00:00:00", " 2001-02-03 10:30:00 ": "2001-02-03 10:30:00", "2001-02-03 10:30Z": "2001-02-03 10:30:00",
+             "2001-02-03T10:30:05+0200": "2001-02-03 10:30:05", "2001-02-03T10:30:05.25-02:00": "2001-02-03 10:30:05", "2001-02-03Z": None,
+             "2001-02-30": None, "2001-02-03+02:00": None, "-2001-02-03": None, "Z": None, "": None}
+    from ordergate.functions import parse_fecha
+    df = spark.createDataFrame([(k,) for k in texts], "t string")
+    column = parse_fecha(F.col("t"), df.schema["t"].dataType)
+    got = {r[0]: r[1] for r in df.select("t", F.date_format(column, "yyyy-MM-dd HH:mm:ss")).collect()}
+    assert got == texts
+    plan = df.select(column.alias("fecha"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains" in plan or "contains" in plan.lower()
