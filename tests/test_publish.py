@@ -5,6 +5,7 @@ import datetime as dt
 import tempfile
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ordergate import schema as S
@@ -270,3 +271,77 @@ def test_figures_of_a_write_equal_those_of_a_scan(spark, sheet, root, monkeypatc
     assert spark.read.parquet(f"{root}/quarantine/sync_id=x").groupBy("restriccion").count().count() == len(aside)
     assert sum("/clean/" in p for p in written) == 1
     gate.release()
+
+
+def test_files_read_by_a_refused_or_a_fallback_run_are_known(spark, sheet, root, monkeypatch):
+    """A run that is refused has read the files; the next ones from the same source need not, also after a run from the cache."""
+    from ordergate.plans import digest
+    read, digests = [], digest.file_digests
+    monkeypatch.setattr(digest, "file_digests", lambda df, paths=None: (read.append(df.inputFiles()), digests(df, paths))[1])
+    src = [Source("source", sheet), Source("cache", f"{root}/cache")]
+    with pytest.raises(PB.PublishError):
+        refresh(spark, src, root, TESTDATA_TODAY)
+    assert len(read) == 1
+    first = refresh(spark, src, root, TESTDATA_TODAY, quarantine=True)
+    assert first.estado == "ok" and first.huella == fingerprint(spark.read.parquet(f"{sheet}/Pedidos")).first().huella
+    assert refresh(spark, src, root, TESTDATA_TODAY, quarantine=True).estado == "unchanged" and len(read) == 1
+    lost = [Source("source", f"{root}/nothing"), src[1]]
+    assert refresh(spark, lost, root, TESTDATA_TODAY, quarantine=True).estado == "unchanged" and len(read) == 2
+    forced = refresh(spark, src, root, TESTDATA_TODAY, forzar=True, quarantine=True)
+    assert forced.estado == "ok" and forced.huella == first.huella and len(read) == 2
+    assert refresh(spark, lost, root, TESTDATA_TODAY, quarantine=True).estado == "unchanged"   # the cache is a new copy by now
+    assert len(read) == 3
+
+
+def test_a_changed_file_after_a_refused_run_is_seen(spark, root, tmp_path):
+    src = [Source("source", str(tmp_path / "hoja"))]
+    rows = dirty_orders(spark, SF).drop("fila_origen")
+    rows.write.parquet(str(tmp_path / "hoja" / "Pedidos"))
+    with pytest.raises(PB.PublishError):
+        refresh(spark, src, root, TESTDATA_TODAY)
+    rows.limit(500).write.mode("append").parquet(str(tmp_path / "hoja" / "Pedidos"))
+    spark.catalog.refreshByPath(str(tmp_path / "hoja" / "Pedidos"))
+    second = refresh(spark, src, root, TESTDATA_TODAY, quarantine=True)
+    raw = spark.read.parquet(str(tmp_path / "hoja" / "Pedidos"))
+    assert second.huella == fingerprint(raw).first().huella and second.pointer["filas"]["raw"] == raw.count()
+
+
+def test_supplied_positions_are_looked_at_once(spark, sheet, root, tmp_path, monkeypatch):
+    """Positions that the gate found unique are not grouped again; repeated ones are still counted and refused."""
+    from ordergate.operators import checks
+    grouped, rows = [], checks._duplicate_rows
+    monkeypatch.setattr(checks, "_duplicate_rows", lambda df, keys: (grouped.append(keys), rows(df, keys))[1])
+    assert refresh(spark, [Source("source", sheet)], root, TESTDATA_TODAY, quarantine=True).estado == "ok" and not grouped
+    raw = spark.read.parquet(f"{sheet}/Pedidos")
+    raw.unionByName(raw.orderBy(S.ROW_POSITION).limit(3)).write.parquet(str(tmp_path / "twice" / "Pedidos"))
+    for quarantine in (False, True):
+        with pytest.raises(PB.PublishError, match="'crudo_fila_repetida': 3"):
+            refresh(spark, [Source("source", str(tmp_path / "twice"))], str(tmp_path / "pub"), TESTDATA_TODAY, quarantine=quarantine)
+    assert grouped
+
+
+def test_published_files_are_sorted(spark, sheet, root):
+    """Inside each published file dates go up, also where rows were set aside."""
+    run = refresh(spark, [Source("source", sheet)], root, TESTDATA_TODAY, quarantine=True)
+    assert run.pointer["filas"]["cuarentena"] > 0
+    rows = PB.load_current(spark, root).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"), "fecha", "pedido_id")
+    before = F.lag(F.struct("fecha", "pedido_id")).over(Window.partitionBy("f").orderBy("i"))
+    assert rows.withColumn("p", before).where("p > struct(fecha, pedido_id)").count() == 0
+
+
+def test_side_by_side_steps(spark):
+    """Results in order; an error is raised only when every step has ended."""
+    import time
+    from ordergate.plans.storage import at_once
+    assert at_once(spark, lambda: spark.range(5).count(), lambda: "x") == [5, "x"]
+    ended = []
+
+    def slow():
+        time.sleep(1)
+        ended.append(1)
+
+    def broken():
+        raise ValueError("no")
+    with pytest.raises(ValueError):
+        at_once(spark, broken, slow)
+    assert ended == [1]
